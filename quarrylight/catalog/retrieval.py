@@ -58,7 +58,7 @@ def bm25_index_terms(t):
 )
 def bm25_index_postings(t):
     index = sparse.build_index(t.chunks())
-    return index.postings.select("chunk_id", "term", "tf", F.col("dl").cast("bigint").alias("dl"))
+    return index.postings().select("chunk_id", "term", "tf", F.col("dl").cast("bigint").alias("dl"))
 
 
 @query(

@@ -1,10 +1,10 @@
 """Sparse retrieval: inverted index and BM25 scoring.
 
-Layout. Postings are hash-partitioned by chunk. The query side (terms and weights) is the small
-side and is broadcast when its size bound holds, so scoring one chunk needs no further exchange:
-the sum over terms groups by ``(query, chunk)``, which the existing partitioning already
-satisfies, and only ``k`` rows per query and task travel to the final ranking. A very frequent
-term therefore never gathers in one task.
+A search works on the query vocabulary only. Texts are tokenised where they lie, tokens outside
+the vocabulary are dropped by a broadcast semi join before anything is shuffled, and the rest is
+hash-partitioned by chunk once. Counting terms, joining the query weights (broadcast while their
+size bound holds) and summing per ``(query, chunk)`` all run inside that partitioning, and each
+task passes on at most ``k`` rows per query. A very frequent term never gathers in one task.
 """
 
 from __future__ import annotations
@@ -26,24 +26,34 @@ TERM_GROWTH = 32
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """``postings(chunk_id, dl, term, tf)`` and ``lengths(chunk_id, dl)``; the rest derives from them."""
+    """Either tokenised chunks (``chunk_id, dl, tokens``) or stored postings with chunk lengths."""
 
-    postings: DataFrame
     lengths: DataFrame
+    tokens: DataFrame | None = None
+    stored: DataFrame | None = None
+
+    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """``chunk_id, dl, term, tf``, restricted to ``vocabulary(term)`` when given."""
+        if self.stored is not None:
+            return self.stored if vocabulary is None else self.stored.join(vocabulary, "term", "left_semi")
+        terms = self.tokens.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+        if vocabulary is not None:
+            terms = terms.join(vocabulary, "term", "left_semi").repartition("chunk_id")
+        return terms.groupBy("chunk_id", "dl", "term").agg(
+            F.least(F.count("*"), F.lit(V.BM25_TF_CAP)).alias("tf")
+        )
 
     def corpus(self) -> DataFrame:
         """One row: number of chunks (empty ones too) and their mean length."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-    def terms(self, only: DataFrame | None = None) -> DataFrame:
-        """``term, df, idf``; ``only`` restricts the work to a vocabulary."""
-        postings = self.postings.select("term")
-        if only is not None:
-            postings = postings.join(only, "term", "left_semi")
+    def terms(self, vocabulary: DataFrame | None = None) -> DataFrame:
+        """``term, df, idf``."""
         n = self.corpus().select("n_docs").scalar()
         df = F.col("df")
         return (
-            postings.groupBy("term")
+            self.postings(vocabulary)
+            .groupBy("term")
             .agg(F.count("*").alias("df"))
             .withColumn("idf", F.log((n - df + 0.5) / (df + 0.5) + 1.0))
         )
@@ -52,18 +62,17 @@ class SparseIndex:
 def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> SparseIndex:
     tokens = chunks.select(F.col(key).alias("chunk_id"), T.index_tokens(F.col(text)).alias("tokens"))
     sized = tokens.withColumn("dl", F.size("tokens"))
-    postings = (
-        sized.repartition("chunk_id")
-        .select("chunk_id", "dl", F.explode("tokens").alias("term"))
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.least(F.count("*"), F.lit(V.BM25_TF_CAP)).alias("tf"))
-    )
-    return SparseIndex(postings, sized.select("chunk_id", "dl"))
+    return SparseIndex(lengths=sized.select("chunk_id", "dl"), tokens=sized)
+
 
+def save_index(index: SparseIndex, path: str, buckets: int = 64) -> None:
+    """Write the index; the manifest comes last, so a half-written index is never loaded.
 
-def save_index(index: SparseIndex, path: str) -> None:
-    """Write the index; the manifest comes last, so a half-written index is never loaded."""
-    index.postings.write.mode("overwrite").parquet(f"{path}/postings")
+    Rows of one chunk share a file and rows are sorted by term inside it, which lets row-group
+    statistics skip terms nobody asked for.
+    """
+    placed = index.postings().repartition(buckets, "chunk_id").sortWithinPartitions("term")
+    placed.write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     n = index.lengths.agg(F.count("*").alias("n_docs"))
     n.withColumn("version", F.lit(INDEX_VERSION)).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -78,7 +87,7 @@ def load_index(spark: SparkSession, path: str, expected_docs: int) -> SparseInde
     if manifest is None or manifest["version"] != INDEX_VERSION or manifest["n_docs"] != expected_docs:
         return None
     return SparseIndex(
-        spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+        lengths=spark.read.parquet(f"{path}/lengths"), stored=spark.read.parquet(f"{path}/postings")
     )
 
 
@@ -91,10 +100,12 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
+def vocabulary_of(queries: DataFrame) -> DataFrame:
+    return broadcast_if_small(query_terms(queries).select("term").distinct(), queries, TERM_GROWTH)
+
+
 def term_weights(queries: DataFrame, index: SparseIndex) -> DataFrame:
-    wanted = query_terms(queries)
-    vocabulary = broadcast_if_small(wanted.select("term").distinct(), queries, TERM_GROWTH)
-    return wanted.join(index.terms(vocabulary), "term").select(
+    return query_terms(queries).join(index.terms(vocabulary_of(queries)), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
 
@@ -107,7 +118,8 @@ def bm25_scores(queries: DataFrame, index: SparseIndex) -> DataFrame:
     norm = tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / avgdl)
     gain = F.col("weight") * tf * (V.BM25_K1 + 1) / norm
     return (
-        index.postings.join(weights, "term")
+        index.postings(vocabulary_of(queries))
+        .join(weights, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(gain), 8).alias("score"))
     )

@@ -9,6 +9,19 @@ from quarrylight.operators.sizing import broadcast_if_small
 
 ANCHOR_WORDS = 5
 
+# Tables whose rows are costly to process (texts, vectors), with their row key.
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id", "conversations": "conv_id"}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan that has fewer splits than cores out to all cores.
+
+    A file of one row group is one split however large it is. A table of many splits is left
+    alone, so nothing is shuffled on a cluster.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
 
 class Tables:
     """Lazy parquet readers for one data folder."""
@@ -18,7 +31,8 @@ class Tables:
         self.folder = folder
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table, TEXT_KEYS[name]) if name in TEXT_KEYS else table
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
