@@ -187,8 +187,8 @@ def graph_shortest_path(t):
 
 MATCH = rf"""{ASKED}, split AS (SELECT query_id, question, list_filter(regexp_split_to_array(regexp_replace(lower(question), '[^\p{{L}}\p{{N}}_\s\-.]', ' ', 'g'), '\s+'), lambda w: length(w) > 0) AS w FROM asked),
 runs AS (SELECT query_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM split, (VALUES (4), (3), (2), (1)) AS k(n)),
-hits AS (SELECT query_id, key, min((-n, i)) AS at FROM (SELECT query_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM runs) JOIN (SELECT DISTINCT key FROM nodes) USING (key) WHERE length(key) >= 2 GROUP BY query_id, key),
-matched AS (SELECT query_id, key, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at) AS place FROM hits) WHERE place <= 5)"""
+hits AS (SELECT query_id, key, min((-n, i)) AS spot FROM (SELECT query_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS key FROM runs) JOIN (SELECT DISTINCT key FROM nodes) USING (key) WHERE length(key) >= 2 GROUP BY query_id, key),
+matched AS (SELECT query_id, key, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS place FROM hits) WHERE place <= 5)"""
 
 
 @query("graph_match_entities", f"WITH {EDGES}, {NODES}, {MATCH} SELECT query_id, key, place FROM matched")
@@ -215,11 +215,11 @@ def graph_entity_facts(t):
     "graph_context",
     f"""WITH {EDGES}, {NODES}, {MATCH}, {FACTS},
     named AS (SELECT query_id, m.key, m.place, name FROM matched m JOIN (SELECT key, min((entity_type, name)) AS e, arg_min(name, (entity_type, name)) AS name FROM nodes GROUP BY key) USING (key)),
-    lines AS (SELECT query_id, s_name || ' (' || s_type || ') ' || lower(replace(predicate, '_', ' ')) || ' ' || o_name || ' (' || o_type || ')' AS fact, min((m.place, b.place)) AS at
+    lines AS (SELECT query_id, s_name || ' (' || s_type || ') ' || lower(replace(predicate, '_', ' ')) || ' ' || o_name || ' (' || o_type || ')' AS fact, min((m.place, b.place)) AS spot
       FROM matched m JOIN best b USING (key) GROUP BY query_id, fact),
     heads AS (SELECT query_id, string_agg(name, ', ' ORDER BY place) AS names, count(*) AS n_entities FROM named GROUP BY query_id)
     SELECT query_id, n_entities, n_facts, 'Knowledge graph facts about: ' || names || chr(10) || chr(10) || facts AS text FROM heads
-    JOIN (SELECT query_id, string_agg('- ' || fact, chr(10) ORDER BY at) AS facts, count(*) AS n_facts FROM lines GROUP BY query_id) USING (query_id)""",
+    JOIN (SELECT query_id, string_agg('- ' || fact, chr(10) ORDER BY spot) AS facts, count(*) AS n_facts FROM lines GROUP BY query_id) USING (query_id)""",
 )
 def graph_context(t):
     return G.graph_context(asked(t), edges(t))

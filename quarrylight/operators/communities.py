@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.ranking import ranked
-from quarrylight.session import shared_folder
+from quarrylight.session import settle
 
 # Resolution and the smallest community that counts.
 RESOLUTION, MIN_SIZE = 1.0, 3
@@ -31,53 +31,60 @@ def modularity(links: DataFrame, labels: DataFrame, total: float, resolution: fl
 
 
 def _one_level(links: DataFrame, total: float, resolution: float, rounds: int) -> tuple[DataFrame, float]:
-    nodes = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")).checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
-    best, best_q, idle = labels, modularity(links, labels, total, resolution), 0
+    nodes = settle(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "nodes")
+    labels = nodes.select("node", F.col("node").alias("label"))
+    best, best_q = labels, modularity(links, labels, total, resolution)
     for r in range(rounds):
-        mine = nodes.join(labels, "node")
-        volume = mine.groupBy("label").agg(F.sum("degree").alias("volume"))
-        to = (
-            links.where(F.col("a") != F.col("b"))
-            .join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b")
-            .groupBy(F.col("a").alias("node"), "other")
-            .agg(F.sum("w").alias("k_in"))
-        )
-        stay = mine.select("node", F.col("label").alias("other"), F.lit(0.0).alias("k_in"))
-        options = to.unionByName(stay).groupBy("node", "other").agg(F.sum("k_in").alias("k_in"))
-        scored = (
-            options.join(mine, "node")
-            .join(volume.withColumnRenamed("label", "other"), "other")
-            .withColumn("own", F.col("other") == F.col("label"))
-            .withColumn("rest", F.col("volume") - F.when(F.col("own"), F.col("degree")).otherwise(0.0))
-            .withColumn("gain", F.round(F.col("k_in") - resolution * F.col("degree") * F.col("rest") / total, 9))
-        )
-        choice = scored.groupBy("node", "label").agg(
-            F.max(F.struct("gain", F.col("own").alias("own"), F.col("other").alias("other"))).alias("c")
-        )
-        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = choice.select("node", F.when(turn, F.col("c.other")).otherwise(F.col("label")).alias("label"), F.col("label").alias("was")).checkpoint()
-        changed = moved.where(F.col("label") != F.col("was")).count()
-        labels = moved.select("node", "label")
-        idle = idle + 1 if changed == 0 else 0
-        if changed:
-            q = modularity(links, labels, total, resolution)
-            if q > best_q + 1e-9:
-                best, best_q = labels, q
-            elif r % 2:
-                break
-        if idle == 2:
+        changed = 0
+        for half in (0, 1):
+            mine = nodes.join(labels, "node")
+            volume = mine.groupBy("label").agg(F.sum("degree").alias("volume"))
+            to = (
+                links.where(F.col("a") != F.col("b"))
+                .join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b")
+                .groupBy(F.col("a").alias("node"), "other")
+                .agg(F.sum("w").alias("k_in"))
+            )
+            stay = mine.select("node", F.col("label").alias("other"), F.lit(0.0).alias("k_in"))
+            options = to.unionByName(stay).groupBy("node", "other").agg(F.sum("k_in").alias("k_in"))
+            own = F.col("other") == F.col("label")
+            rest = F.col("volume") - F.when(own, F.col("degree")).otherwise(0.0)
+            gain = F.round(F.col("k_in") - resolution * F.col("degree") * rest / total, 9)
+            choice = (
+                options.join(mine, "node")
+                .join(volume.withColumnRenamed("label", "other"), "other")
+                .groupBy("node", "label")
+                .agg(F.max(F.struct(gain.alias("gain"), own.alias("own"), F.col("other"))).alias("c"))
+            )
+            turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half
+            moved = settle(
+                choice.select(
+                    "node",
+                    F.when(turn, F.col("c.other")).otherwise(F.col("label")).alias("label"),
+                    (turn & (F.col("c.other") != F.col("label"))).alias("changed"),
+                ),
+                "labels",
+            )
+            changed += moved.where("changed").count()
+            labels = moved.select("node", "label")
+        if changed == 0:
+            break
+        q = modularity(links, labels, total, resolution)
+        if q <= best_q + 1e-9:
             break
+        best, best_q = labels, q
     return best, best_q
 
 
-def louvain(pairs: DataFrame, resolution: float = RESOLUTION, levels: int = 5, rounds: int = 16) -> DataFrame:
+def louvain(pairs: DataFrame, resolution: float = RESOLUTION, levels: int = 4, rounds: int = 6) -> DataFrame:
     """``node, community`` for ``pairs(u, v, weight)``; a community is named by a member."""
-    shared_folder(pairs.sparkSession)
     w = F.col("weight").cast("double")
-    links = pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), w.alias("w")).unionByName(
-        pairs.select(F.col("v").alias("a"), F.col("u").alias("b"), w.alias("w"))
-    ).checkpoint()
+    links = settle(
+        pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), w.alias("w")).unionByName(
+            pairs.select(F.col("v").alias("a"), F.col("u").alias("b"), w.alias("w"))
+        ),
+        "links",
+    )
     total = float(links.agg(F.sum("w")).first()[0] or 0.0)
     members = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     if total == 0:
@@ -89,13 +96,13 @@ def louvain(pairs: DataFrame, resolution: float = RESOLUTION, levels: int = 5, r
             break
         before = q
         step = labels.select(F.col("node").alias("community"), "label")
-        members = members.join(step, "community").select("node", F.col("label").alias("community")).checkpoint()
-        links = (
+        members = settle(members.join(step, "community").select("node", F.col("label").alias("community")), "members")
+        links = settle(
             links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
             .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
             .groupBy(F.col("la").alias("a"), F.col("lb").alias("b"))
-            .agg(F.sum("w").alias("w"))
-            .checkpoint()
+            .agg(F.sum("w").alias("w")),
+            "links",
         )
     return members
 

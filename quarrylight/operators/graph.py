@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators.ranking import ranked
 from quarrylight.operators.sizing import broadcast_if_small
-from quarrylight.session import shared_folder
+from quarrylight.session import settle
 
 # Limits of the graph lookups.
 MAX_NEIGHBOURS, MAX_ENTITIES, MAX_NGRAM, MIN_ENTITY_CHARS = 50, 5, 4, 2
@@ -154,25 +154,24 @@ def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> Dat
     """Undirected unweighted shortest path of every ``(source, target)`` pair: ``hops, path``.
 
     Breadth-first search for all sources at once. A level keeps one row per source and entity with
-    its alphabetically first predecessor, is checkpointed, and the search ends early when a level
+    its alphabetically first predecessor, is written out, and the search ends early when a level
     is empty. Paths are read back through the predecessors.
     """
-    shared_folder(edges.sparkSession)
-    adjacent = both_ways(edges).select(F.col("key").alias("node"), F.col("neighbour").alias("next")).distinct().checkpoint()
+    adjacent = settle(both_ways(edges).select(F.col("key").alias("node"), F.col("neighbour").alias("next")).distinct(), "adjacent")
     level = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(None).cast("string").alias("via"))
-    levels = [level.checkpoint()]
+    levels = [settle(level, "level")]
     for _ in range(max_hops):
         seen = levels[0]
         for earlier in levels[1:]:
             seen = seen.unionByName(earlier)
-        nxt = (
+        nxt = settle(
             levels[-1].select("source", "node").join(adjacent, "node")
             .groupBy("source", F.col("next").alias("found"))
             .agg(F.min("node").alias("via"))
             .withColumnRenamed("found", "node")
             .join(seen.select("source", "node"), ["source", "node"], "left_anti")
-            .select("source", "node", "via")
-            .checkpoint()
+            .select("source", "node", "via"),
+            "level",
         )
         if nxt.isEmpty():
             break

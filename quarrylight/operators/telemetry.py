@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vocab as V
 from quarrylight.operators.ranking import ranked
-from quarrylight.session import shared_folder
+from quarrylight.session import settle
 
 SEGMENT_ROWS = 20_000
 
@@ -51,11 +51,10 @@ def global_index(df: DataFrame, order: list[str], name: str = "idx") -> DataFram
 
     Rows are range-partitioned, numbered inside their partition, and shifted by the number of
     rows in earlier partitions (a table of one row per partition). Range bounds come from a
-    sample, so the placement is checkpointed: counting and numbering must see the same one, also
+    sample, so the placement is written out: counting and numbering must see the same one, also
     when an executor is lost in between.
     """
-    shared_folder(df.sparkSession)
-    placed = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).checkpoint()
+    placed = settle(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "placed")
     inside = placed.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
     sizes = inside.groupBy("part").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
