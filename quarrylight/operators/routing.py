@@ -189,6 +189,10 @@ def overlap_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> Da
     return scored.select("query_id", "overlap", (F.col("overlap") < limit).alias("deflect"))
 
 
+def occurrences(words: Column, word: Column) -> Column:
+    return F.size(F.filter(words, lambda w: w == word))
+
+
 def focal_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Deflect when the detail a question asks for is hardly in its five best passages."""
     top5 = results.where(F.col("rank") <= 5).select("query_id", "chunk_id", "rank")
@@ -211,7 +215,7 @@ def focal_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> Data
         focal = F.regexp_extract(lowered, pattern, 1)
         tokens = F.regexp_extract_all("passage", F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
         plain = F.regexp_extract_all("passage", F.lit(T.WORD), F.lit(0))
-        count = F.greatest(F.size(F.filter(tokens, lambda w, f=focal: w == f)), F.size(F.filter(plain, lambda w, f=focal: w == f)))
+        count = F.greatest(occurrences(tokens, focal), occurrences(plain, focal))
         fails = (F.length(focal) > 3) & (count < least)
         verdict = fails if verdict is None else verdict | fails
     return rows.select("query_id", verdict.alias("deflect"))
