@@ -21,6 +21,15 @@ def find_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def unnest(array: Column) -> Column:
+    """One row per element of a computed array; an empty array gives one null to be dropped.
+
+    Plain ``explode`` makes the optimizer add a filter on the size of the array, which computes
+    the array (all regular expressions in it) a second time, below any exchange.
+    """
+    return F.explode_outer(array)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

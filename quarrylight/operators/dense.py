@@ -199,7 +199,7 @@ def hashed_group_best(queries: DataFrame, chunks: DataFrame, group: str) -> Data
 def hashed_vector(df: DataFrame, key: str, text: str) -> DataFrame:
     """Sparse unit vectors ``key, bucket, weight`` of the hashed embedder."""
     counts = (
-        df.select(key, F.explode(T.hash_buckets(F.col(text))).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("w"))
+        df.select(key, T.unnest(T.hash_buckets(F.col(text))).alias("bucket")).where("bucket IS NOT NULL").groupBy(key, "bucket").agg(F.count("*").alias("w"))
     )
     norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return counts.join(norms, key).select(key, "bucket", (F.col("w") / F.col("norm")).alias("weight"))

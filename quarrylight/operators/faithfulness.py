@@ -82,9 +82,10 @@ def relevance_aware_factuality(answers: DataFrame, passages: DataFrame) -> DataF
     joined, not passages: an answer token is relevant when a relevant passage has it, irrelevant
     when only other passages do.
     """
-    tokens = answers.select("query_id", F.explode(T.word_set(F.col("answer"))).alias("token"))
+    tokens = answers.select("query_id", T.unnest(T.word_set(F.col("answer"))).alias("token")).where("token IS NOT NULL")
     known = (
-        passages.select("query_id", "is_relevant", F.explode(T.word_set(F.col("text"))).alias("token"))
+        passages.select("query_id", "is_relevant", T.unnest(T.word_set(F.col("text"))).alias("token"))
+        .where("token IS NOT NULL")
         .groupBy("query_id", "token")
         .agg(F.max("is_relevant").alias("relevant"))
     )

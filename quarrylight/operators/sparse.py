@@ -36,10 +36,10 @@ class SparseIndex:
         """``chunk_id, dl, term, tf``, restricted to ``vocabulary(term)`` when given."""
         if self.stored is not None:
             return self.stored if vocabulary is None else self.stored.join(vocabulary, "term", "left_semi")
-        terms = self.tokens.select("chunk_id", "dl", F.explode("tokens").alias("term"))
+        terms = self.tokens.select("chunk_id", "dl", T.unnest(F.col("tokens")).alias("term"))
         if vocabulary is not None:
             terms = terms.join(vocabulary, "term", "left_semi").repartition("chunk_id")
-        return terms.groupBy("chunk_id", "dl", "term").agg(
+        return terms.where("term IS NOT NULL").groupBy("chunk_id", "dl", "term").agg(
             F.least(F.count("*"), F.lit(V.BM25_TF_CAP)).alias("tf")
         )
 
@@ -94,7 +94,8 @@ def load_index(spark: SparkSession, path: str, expected_docs: int) -> SparseInde
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term, qtf``: a word said twice counts twice."""
     return (
-        queries.select("query_id", F.explode(T.index_tokens(F.col("question"))).alias("term"))
+        queries.select("query_id", T.unnest(T.index_tokens(F.col("question"))).alias("term"))
+        .where("term IS NOT NULL")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -137,12 +138,12 @@ def title_matches(queries: DataFrame, titles: DataFrame, max_papers: int = 3) ->
     titles are ignored, and a match needs at least ``ln(N / 200)`` in total.
     """
     words = titles.select(
-        "paper_id", F.explode(T.ascii_word_set(F.col("title"))).alias("term")
+        "paper_id", T.unnest(T.ascii_word_set(F.col("title"))).alias("term")
     ).where(F.length("term") >= 2)
     n = titles.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")).select("n").scalar()
     asked = queries.select(
         "query_id",
-        F.explode(T.drop_words(T.ascii_word_set(F.col("question")), V.TITLE_STOP)).alias("term"),
+        T.unnest(T.drop_words(T.ascii_word_set(F.col("question")), V.TITLE_STOP)).alias("term"),
     )
     asked_small = broadcast_if_small(asked, queries, TERM_GROWTH)
     rare = (

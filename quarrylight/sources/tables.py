@@ -92,7 +92,7 @@ def verbatim_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, F.lit(ANCHOR_WORDS)), " ")),
     )
     long_side = chunks.withColumn("tokens", tokens).select(
-        "chunk_id", F.explode(F.array_distinct(runs)).alias("anchor")
+        "chunk_id", F.explode_outer(F.array_distinct(runs)).alias("anchor")
     )
     long_queries = anchored.where(F.col("span") == ANCHOR_WORDS)
     hits = long_side.join(
@@ -109,7 +109,7 @@ def verbatim_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         "query_id", "question", F.get("head", F.lit(0)).alias("word")
     )
     by_word = (
-        chunks.withColumn("word", F.explode(F.array_distinct(tokens)))
+        chunks.withColumn("word", F.explode_outer(F.array_distinct(tokens)))
         .join(broadcast_if_small(short, queries, 4), "word")
         .where(F.contains("text", F.col("question")))
         .select("query_id", "chunk_id")
