@@ -270,8 +270,10 @@ def chunk_recursive(t):
 
 @query("chunk_documents")
 def chunk_documents(t):
-    rows = t.documents.select("doc_id", F.lit("full_text").alias("section"), F.col("source").alias("title"), "text")
-    return C.chunk_sections(rows, "doc_id", "title")
+    rows = t.documents.select(
+        "doc_id", F.lit("full_text").alias("section"), F.col("source").alias("title"), "text", T.acronym_pairs(F.col("text")).alias("acronyms")
+    )
+    return C.chunk_sections(rows, "doc_id", "title", acronyms="acronyms")
 
 
 @query("chunk_semantic")

@@ -142,6 +142,10 @@ def describe(members: DataFrame, pairs: DataFrame, min_size: int = MIN_SIZE, ent
 
 
 def community_members(names: DataFrame, members: DataFrame, limit: int = 50) -> DataFrame:
-    """Members of the community each entity (``key``) belongs to, by name, at most ``limit``."""
+    """Members of the community each entity (``key``) belongs to, by name, at most ``limit``.
+
+    The limit is applied per community first, so a large community is never paired with itself.
+    """
+    shown = ranked(members, "community", [F.col("node")], "place").where(F.col("place") <= limit)
     home = names.select("key").distinct().join(members.withColumnRenamed("node", "key"), "key")
-    return ranked(home.join(members, "community"), "key", [F.col("node")], "place").where(F.col("place") <= limit)
+    return home.join(shown, "community")

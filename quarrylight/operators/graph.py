@@ -128,21 +128,26 @@ def neighbours_two_hops(starts: DataFrame, edges: DataFrame, limit: int = MAX_NE
 
     Rows are distinct ``(key, neighbour, predicate, weight, hops)``. With self-loops gone and the
     end different from the start, a two-step path cannot use an edge twice, so paths need not be
-    enumerated: every edge meets *distinct* adjacent pairs, on either side of the middle node.
+    enumerated: every edge meets *distinct* adjacent entities, on either side of the middle node.
+
+    A hub is not paired with everything around it. Only the first ``limit`` rows of a start are
+    asked for, so a middle node passes on its ``limit`` heaviest edges (plus as many as may lead
+    straight back to the start) and its ``limit + 1`` first neighbours by name; nothing beyond
+    those can be among the answers.
     """
-    view = both_ways(edges).drop("direction", "neighbour_type")
-    adjacent = view.select("key", "neighbour").distinct()
+    view = both_ways(edges).select("key", "neighbour", "predicate", "weight").distinct()
     first = view.join(broadcast_if_small(starts.select("key").distinct(), starts), "key", "left_semi")
-    one = first.select("key", "neighbour", "predicate", "weight", F.lit(1).alias("hops"))
+    one = first.withColumn("hops", F.lit(1))
+    parallel = view.groupBy("key", "neighbour").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    heaviest = [F.col("weight").desc(), F.col("neighbour"), F.col("predicate")]
+    step = ranked(view, "key", heaviest, "nth").where(F.col("nth") <= limit + int(parallel))
+    step = step.select(F.col("key").alias("mid"), F.col("neighbour").alias("end"), "predicate", "weight")
     reach = first.select("key", F.col("neighbour").alias("mid")).distinct()
-    step = view.select(F.col("key").alias("mid"), F.col("neighbour").alias("end"), "predicate", "weight")
     last_edge = reach.join(step, "mid").select("key", F.col("end").alias("neighbour"), "predicate", "weight")
-    onward = adjacent.select(F.col("key").alias("mid"), F.col("neighbour").alias("end"))
+    around = ranked(view.select("key", "neighbour").distinct(), "key", [F.col("neighbour")], "nth").where(F.col("nth") <= limit + 1)
+    onward = around.select(F.col("key").alias("mid"), F.col("neighbour").alias("end"))
     first_edge = (
-        first.select("key", F.col("neighbour").alias("mid"), "predicate", "weight")
-        .distinct()
-        .join(onward, "mid")
-        .select("key", F.col("end").alias("neighbour"), "predicate", "weight")
+        first.withColumnRenamed("neighbour", "mid").join(onward, "mid").select("key", F.col("end").alias("neighbour"), "predicate", "weight")
     )
     two = last_edge.unionByName(first_edge).where(F.col("key") != F.col("neighbour")).withColumn("hops", F.lit(2))
     rows = one.unionByName(two).distinct()

@@ -27,6 +27,8 @@ class Tables:
     """Lazy parquet readers for one data folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # Timestamps in the tables carry no zone; epoch arithmetic reads them as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder
 
