@@ -101,7 +101,7 @@ def answer_faithfulness(t):
 )
 def stage_events(t):
     results = reranked(t)
-    trace = routing.pipeline_trace(results, t.questions()).join(results.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
+    trace = routing.routing_trace(results, t.questions()).join(results.groupBy("query_id").agg(F.count("*").alias("n")), "query_id")
     stages = F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("classify").alias("stage"), F.col("query_type").alias("detail")),
         F.struct(F.lit(2).alias("ord"), F.lit("retrieval").alias("stage"), F.concat(F.col("n").cast("string"), F.lit(" results")).alias("detail")),

@@ -336,11 +336,11 @@ def keyword_overlap_gate(t):
 
 
 @query(
-    "pipeline_trace",
+    "routing_trace",
     f"""{BASE}, {HYBRID}, {PROFILE}, {CRAG}, kept AS (SELECT query_id, count_if(score >= 0.3) AS refined_count FROM hybrid GROUP BY query_id)
     SELECT query_id, CASE WHEN {MULTI_HOP} THEN 'multi_hop' ELSE 'simple' END AS query_type, coalesce(confidence, 'unknown') AS confidence,
     CASE WHEN confidence IS NULL THEN 'hyde_rewrite' ELSE {ACTION} END AS action, coalesce(refined_count, 0)::BIGINT AS refined_count
     FROM questions LEFT JOIN crag USING (query_id) LEFT JOIN kept USING (query_id)""",
 )
-def pipeline_trace(t):
-    return routing.pipeline_trace(reranked(t), t.questions())
+def routing_trace(t):
+    return routing.routing_trace(reranked(t), t.questions())

@@ -340,4 +340,10 @@ TOPIC_PAPERS = {
 }
 
 # Entity and relation types offered to extractors.
+ENTITY_TYPES = "MODEL DATASET METHOD METRIC TASK TOOL".split()
+RELATION_TYPES = """
+USES OUTPERFORMS EXTENDS TRAINED_ON EVALUATED_ON ACHIEVES PART_OF COMPARED_WITH VARIANT_OF PROPOSED_IN
+""".split()
+
+# Abbreviations that do not end a sentence.
 ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "jr", "sr", "vs", "etc", "approx", "i.e", "e.g"]

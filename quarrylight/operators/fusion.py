@@ -19,6 +19,8 @@ def reciprocal_rank_fusion(
     k: int = V.RRF_K,
 ) -> DataFrame:
     """Full outer merge of two ranked lists, scored by weighted reciprocal ranks."""
+    if abs(sparse_weight + dense_weight - 1.0) > 0.01:
+        raise ValueError("fusion weights must add up to 1")
     left = sparse.select("query_id", "chunk_id", F.col("rank").alias("r1"), F.col("score").alias("sparse_score"))
     right = dense.select("query_id", "chunk_id", F.col("rank").alias("r2"), F.col("score").alias("dense_score"))
     merged = left.join(right, ["query_id", "chunk_id"], "full_outer")
@@ -111,11 +113,17 @@ def keyword_rerank(
     )
     rows = featured.join(broadcast_if_small(question_features(queries), queries, 16), "query_id")
 
-    def found(phrases: str):
-        return F.size(F.filter(F.col(phrases), lambda p: F.contains(F.col("low"), p)))
-
+    # A three-word phrase can only occur where both of its two-word phrases do.
+    rows = rows.withColumn("hit", F.transform("pairs", lambda p: F.contains(F.col("low"), p)))
+    n_pairs = F.size(F.filter("hit", lambda h: h))
+    n_triples = F.size(
+        F.filter(
+            "triples",
+            lambda p, i: F.get(F.col("hit"), i) & F.get(F.col("hit"), i + 1) & F.contains(F.col("low"), p),
+        )
+    )
     overlap = F.size(F.array_intersect("q_words", "c_words")) / F.greatest(F.size("q_words"), F.lit(1))
-    bonus = found("triples") * F.lit(0.1 * 3) + found("pairs") * F.lit(0.1 * 2)
+    bonus = n_triples * F.lit(0.1 * 3) + n_pairs * F.lit(0.1 * 2)
     prior = F.col("prior") if "prior" in candidates.columns else F.lit(0.0)
     score = F.round(prior * 0.4 + overlap * 0.4 + bonus * 0.2, 8).alias("score")
     scored = rows.select(*[c for c in candidates.columns if c not in ("prior", "score")], score)

@@ -221,7 +221,7 @@ def focal_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> Data
     return rows.select("query_id", verdict.alias("deflect"))
 
 
-def pipeline_trace(results: DataFrame, queries: DataFrame) -> DataFrame:
+def routing_trace(results: DataFrame, queries: DataFrame) -> DataFrame:
     """What the router decided per question: query type, confidence, action, rows kept."""
     kept = results.groupBy("query_id").agg(F.count_if(F.col("score") >= REFINE_FLOOR).alias("refined_count"))
     asked = queries.select("query_id", T.query_type(F.col("question")).alias("query_type"))

@@ -17,6 +17,7 @@ from quarrylight.operators.fusion import (
 from quarrylight.operators.ranking import top_k
 from quarrylight.operators.sizing import broadcast_if_small
 from quarrylight.operators.sparse import bm25_search, build_index
+from quarrylight.session import settle
 
 
 def first_stage(queries: DataFrame, chunks: DataFrame, k: int = V.FIRST_STAGE_K) -> DataFrame:
@@ -39,8 +40,11 @@ def hybrid_search(
     if injections is None:
         candidates = candidates.select("query_id", "chunk_id", F.lit(False).alias("injected"))
     else:
-        candidates = inject(candidates, injections).drop("rank")
+        # Pool and reranked list are read several times; both hold at most ``pool`` rows a question.
+        candidates = settle(inject(settle(candidates, "pool"), injections).drop("rank"), "mixed")
     reranked = keyword_rerank(candidates, queries, chunks, pool)
+    if injections is not None:
+        reranked = settle(reranked, "reranked")
     best = top_k(reranked, k)
     if injections is not None:
         best = readd_injected(best, reranked)
