@@ -102,7 +102,7 @@ BOOSTED = f"""{LANDMARKS}, intents AS (SELECT query_id, {INTENT} AS intent FROM
 factors AS (SELECT h.query_id, h.chunk_id, h.score, paper_id, c.chunk_id AS paper_key, intent, coalesce(boost, 1.0)::DOUBLE AS landmark_factor,
   ({AGE})::DOUBLE AS age_factor FROM hybrid h JOIN chunks c USING (chunk_id) JOIN intents USING (query_id)
   LEFT JOIN landmarks l ON l.paper_key = c.chunk_id),
-scaled AS (SELECT *, round(score * landmark_factor * age_factor, 8) AS b FROM factors),
+scaled AS (SELECT *, round(score * landmark_factor * age_factor, 10) AS b FROM factors),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY b DESC) AS nth, count(*) OVER (PARTITION BY query_id) AS n FROM scaled),
 floored AS (SELECT *, max(CASE WHEN nth = CASE WHEN n >= 4 THEN n // 4 + 1 ELSE n END THEN b END) OVER (PARTITION BY query_id) AS lift FROM placed),
 boosted AS (SELECT query_id, chunk_id, paper_id, paper_key, score AS original_score, landmark_factor, age_factor,

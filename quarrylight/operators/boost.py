@@ -57,7 +57,7 @@ def boost_results(results: DataFrame, intents: DataFrame, landmarks: DataFrame)
         intent.alias("intent"),
         F.coalesce("boost", F.lit(1.0)).alias("landmark_factor"),
         age_factor(F.col("year"), intent).alias("age_factor"),
-    ).withColumn("boosted", F.round(F.col("score") * F.col("landmark_factor") * F.col("age_factor"), 8))
+    ).withColumn("boosted", F.round(F.col("score") * F.col("landmark_factor") * F.col("age_factor"), 10))
     whole = Window.partitionBy("query_id")
     nth = F.row_number().over(whole.orderBy(F.col("boosted").desc()))
     size = F.count("*").over(whole)
