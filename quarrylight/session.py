@@ -6,8 +6,6 @@ here. Shuffle width is left to adaptive execution, which starts wide and coalesc
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,14 +36,16 @@ def build_session(app_name: str = "quarrylight", master: str | None = None, **co
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can read: the cluster's ``spark.checkpoint.dir``.
 
-    A private folder is made only when that setting is absent, which is the case in tests.
+    Where that is unset the warehouse stands in, which every executor of a cluster reaches as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="quarrylight-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/intermediate"
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(folder, "checkpoints"))
+        spark.sparkContext.setCheckpointDir(f"{folder}/checkpoints")
     return folder
 
 
@@ -56,4 +56,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # gone when the driver's JVM ends
     return df.sparkSession.read.schema(df.schema).parquet(path)
