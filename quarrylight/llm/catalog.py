@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import lm_scoring, mixing, token_counts
+from quarrylight.llm import fingerprints, lm_scoring, mixing, quality, secrets, token_counts
 from quarrylight.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +31,31 @@ def lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("_id", "doc_id")
 
 
+@query("op2_passage_attention")
+def passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold("doc_id", 3) != 1)
+    scored = quality.score(docs, model).withColumnRenamed("_id", "doc_id")
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 @query("op4_token_counts")
 def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return counted.withColumnRenamed("_id", "doc_id")
 
 
+@query("op5_bottom_k")
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf_dir)).withColumnRenamed("_id", "doc_id")
+
+
+@query("op10_secret_spans")
+def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(documents(spark, sf_dir))
+    return found.select(F.col("_id").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
