@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import fingerprints, lm_scoring, mixing, quality, secrets, token_counts
+from quarrylight.llm import decontaminate, fingerprints, line_dedup, lm_scoring, mixing, quality, secrets, token_counts
 from quarrylight.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,41 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(documents(spark, sf_dir)).withColumnRenamed("_id", "doc_id")
 
 
+@query("op6_hamming_windows")
+def leaked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    items = F.transform("hits", lambda hit: hit["item_id"])
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        (F.size("hits") > 0).alias("leaked"),
+        F.size("hits").alias("n_items"),
+        items.alias("item_ids"),
+        F.round(F.array_max(F.transform("hits", lambda hit: hit["similarity"])), 6).alias("best"),
+    )
+
+
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+spread AS (
+  SELECT trim(line) AS line, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+placed AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+marked AS (
+  SELECT p.*, coalesce(p.doc_id > s.first, false) AS gone FROM placed p LEFT JOIN spread s ON trim(p.line) = s.line)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op7_site_spread_lines", LINES_SQL)
+def deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return kept.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_secret_spans")
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))
