@@ -21,6 +21,8 @@ PASS_BYTES = 16 << 20
 
 def plain(word: str) -> str:
     """Lower case, without what is neither letter nor digit at both ends."""
+    if word.isalnum():
+        return word.lower()
     start, end = 0, len(word)
     while start < end and not word[start].isalnum():
         start += 1
@@ -56,7 +58,7 @@ class HammingIndex:
             self.tables.append((shift, mask, values[order], order))
 
     def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in ``asked``, place in the store) of distance at most ``radius``."""
+        """Pairs (place in ``asked``, place in the store) of distance at most ``radius``, nearest first."""
         pairs = []
         for shift, mask, values, order in self.tables:
             value = (asked >> shift) & mask
@@ -67,7 +69,9 @@ class HammingIndex:
             near = np.bitwise_count(asked[left] ^ self.stored[right]) <= self.radius
             pairs.append(left[near] * len(self.stored) + right[near])
         both = np.unique(np.concatenate(pairs))
-        return both // len(self.stored), both % len(self.stored)
+        left, right = both // len(self.stored), both % len(self.stored)
+        order = np.argsort(np.bitwise_count(asked[left] ^ self.stored[right]), kind="stable")
+        return left[order], right[order]
 
 
 class Items:
@@ -78,6 +82,9 @@ class Items:
         worded = [(i, plain_words(text)) for i, text in rows]
         worded = [(i, words) for i, words in worded if words]
         self.code = {w: n for n, w in enumerate(dict.fromkeys(w for _, words in worded for w in words))}
+        coded = [[self.code[w] for w in words] for _, words in worded]
+        self.pairs = np.unique(np.array([a * len(self.code) + b for codes in coded for a, b in zip(codes, codes[1:], strict=False)], np.int64))
+        self.plains: dict[str, str] = {}
         self.spread = Counter(s for _, words in worded for s in self.shingles([self.code[w] for w in words]))
         grouped = defaultdict(list)
         for i, words in worded:
@@ -111,6 +118,13 @@ class Items:
                 return n + min(self.size, length) - 1
         return length
 
+    def plain_all(self, words: list[str]) -> list[str]:
+        """``plain`` of every word, remembered between batches for as many as a million."""
+        if len(self.plains) > 1 << 20:
+            self.plains.clear()
+        known = self.plains
+        return [p if (p := known.get(w)) is not None else known.setdefault(w, plain(w)) for w in words]
+
     def similarity(self, window: list[int], item: set) -> float:
         shingles = self.shingles(window)
         both = self.weight(shingles & item)
@@ -121,7 +135,7 @@ class Items:
         found: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(texts))]
         split = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
         coded = pc.list_flatten(split).dictionary_encode()
-        kinds = [plain(w) for w in coded.dictionary.to_pylist()]
+        kinds = self.plain_all(coded.dictionary.to_pylist())
         place = coded.indices.to_numpy()
         real = np.array([bool(w) for w in kinds], bool)[place] if kinds else np.zeros(0, bool)
         owner, place = pc.list_parent_indices(split).to_numpy()[real], place[real]
@@ -131,11 +145,23 @@ class Items:
         codes = np.array([self.code.get(w, outside) for w in kinds], np.int64)[place]
         hashes, first = None, {}
         lowest = np.array([first.setdefault(w, n) for n, w in enumerate(kinds)], np.int64)  # one number for spellings that are the same word
+        both = np.flatnonzero((codes[1:] != outside) & (codes[:-1] != outside))
+        both = both[np.isin(codes[both] * outside + codes[both + 1], self.pairs)]
+        told = np.zeros(len(codes), np.int32)
+        told[both + 1] = 1
+        sums = np.cumsum(told, dtype=np.int32)  # neighbours up to here that are neighbours in some item
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))[owner]  # where the text of each word ends
         for length, need, known, ids, sets, index in self.by_length:
             if len(codes) < length:
                 continue
-            sums = np.concatenate([[0], np.cumsum(known[codes], dtype=np.int32)])
-            starts = np.flatnonzero((sums[length:] - sums[:-length] >= need) & (owner[length - 1 :] == owner[: len(owner) - length + 1]))
+            # Enough pairs of words that stand together in items, then enough words of the items of this length.
+            starts = np.flatnonzero(sums[length - 1 :] - sums[: len(sums) - length + 1] >= need - 1)
+            starts = starts[starts + length <= ends[starts]]
+            kept = [np.zeros(0, np.int64)]
+            for part in range(0, len(starts), 1 << 14):
+                some = starts[part : part + (1 << 14)]
+                kept.append(some[known[codes[some[:, None] + np.arange(length)]].sum(axis=1) >= need])
+            starts = np.concatenate(kept)
             if not len(starts):
                 continue
             if hashes is None:
@@ -144,11 +170,14 @@ class Items:
                 some = starts[part : part + 4096]
                 for at, item in zip(*index.within(simhash(hashes[some[:, None] + np.arange(length)])), strict=True):
                     start = int(some[at])
+                    hits = found[int(owner[start])]
+                    best = hits.get(ids[item], (0.0, 0))[0]
+                    if best == 1.0:
+                        continue
                     span = slice(start, start + length)
                     window = np.where(codes[span] != outside, codes[span], -1 - lowest[place[span]]).tolist()
                     like = self.similarity(window, sets[item])
-                    hits = found[int(owner[start])]
-                    if like >= self.least - 1e-9 and like > hits.get(ids[item], (0.0, 0))[0]:
+                    if like >= self.least - 1e-9 and like > best:
                         hits[ids[item]] = (like, start - int(np.searchsorted(owner, owner[start])))
         return found
 
@@ -171,8 +200,8 @@ def find_items(
     """``_id, hits`` of every document: the items it holds as ``array<struct<item_id, similarity, word>>``.
 
     Every window of as many words as an item is met with the items of that length. Windows that
-    hold too few of those items' words to reach the similarity are set aside first (an exact
-    bound); the others are fingerprinted, all item fingerprints within ``radius`` are found by
+    hold too few words, or too few neighbouring words, of items to reach the similarity are set
+    aside first (exact bounds); the others are fingerprinted, all item fingerprints within ``radius`` are found by
     blocks, and the weighted Jaccard similarity of word shingles decides: ``least`` or more. Words
     are compared in lower case without punctuation around them. Items are the stated query set, met
     in blocks of bounded size; documents are read once per block and never shuffled. Null and empty

@@ -98,20 +98,51 @@ class Lattice:
                     into[piece] = into.get(piece, 0.0) + math.exp(alpha[i] + t - total)
 
 
+def packed(owner: np.ndarray, slots: np.ndarray, texts: int) -> list[bytes]:
+    """Each text's places in order, as differences of seven bits a byte; the last byte of one is below 128."""
+    width = int(slots.max()) + 1 if len(slots) else 1
+    keys = np.sort(owner * width + slots)
+    owner, slots = keys // width, keys % width
+    steps = np.diff(slots, prepend=0)
+    fresh = np.diff(owner, prepend=-1) != 0
+    steps[fresh] = slots[fresh]
+    sizes = 1 + sum((steps >= 1 << bits).astype(np.int64) for bits in (7, 14, 21, 28))
+    ends = np.cumsum(sizes)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for n in range(5):
+        more = sizes > n
+        out[(ends - sizes)[more] + n] = ((steps[more] >> (7 * n)) & 127) | ((sizes[more] > n + 1) << 7)
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=sizes, minlength=texts).astype(np.int64))])
+    return [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def unpacked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The text each token is of and the token's place, from what ``packed`` made."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    last = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    within = np.arange(len(data)) - np.repeat(first, last - first + 1)
+    steps = np.add.reduceat((data & 127).astype(np.int64) << (7 * within), first) if len(last) else last
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])[last]
+    sums = np.cumsum(steps)
+    fresh = np.flatnonzero(np.diff(owner, prepend=-1))
+    return owner, sums - np.repeat(sums[fresh] - steps[fresh], np.diff(fresh, append=len(owner)))
+
+
 def tokenized(rows: DataFrame, batch_bytes: int) -> DataFrame:
     """Blocks of texts as two kinds of rows: one per distinct word of a block, one per text.
 
     Word rows: ``_block, _slot, _word, _n`` (occurrences in training texts). Text rows: ``_block,
-    _id, _held, _slots`` (a place in the block's words for each token). A word that every text has
-    is one row per block, so no word is hot later.
+    _id, _held, _slots`` (the places of its tokens among the block's words, sorted and packed; common
+    words have low places). A word that every text has is one row per block, so no word is hot later.
     """
     names = ["_block", "_slot", "_word", "_n", "_id", "_held", "_slots"]
-    schema = "_block string, _slot int, _word string, _n long, _id long, _held boolean, _slots array<int>"
+    schema = "_block long, _slot int, _word string, _n long, _id long, _held boolean, _slots binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(by_bytes(batches, batch_bytes)):
-            block = f"{task}-{number}"
+            block = task << 32 | number
             split = pc.ascii_split_whitespace(pc.ascii_lower(batch.column("_text")))
             words = pc.list_flatten(split).dictionary_encode()
             slots, kinds = words.indices.to_numpy(), words.dictionary
@@ -121,18 +152,20 @@ def tokenized(rows: DataFrame, batch_bytes: int) -> DataFrame:
                 keep = slots != blank
                 slots, owner = slots[keep], owner[keep]
             held = batch.column("_held").to_numpy(zero_copy_only=False)
-            counts = np.bincount(slots[~held[owner]] if len(slots) else slots, minlength=len(kinds))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))]).astype(np.int32)
-            used = np.array([i for i in range(len(kinds)) if i != blank], np.int32)
-            n, m = len(used), batch.num_rows
+            order = np.argsort(-np.bincount(slots, minlength=len(kinds)), kind="stable")[: len(kinds) - (blank >= 0)]
+            place = np.zeros(len(kinds), np.int64)
+            place[order] = np.arange(len(order))
+            slots = place[slots]
+            counts = np.bincount(slots[~held[owner]], minlength=len(order))
+            n, m = len(order), batch.num_rows
             yield pa.record_batch(
-                [pa.array([block] * n, pa.string()), pa.array(used), kinds.take(pa.array(used)), pa.array(counts[used], pa.int64())]
-                + [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.list_(pa.int32()))],
+                [pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), kinds.take(pa.array(order)), pa.array(counts, pa.int64())]
+                + [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.binary())],
                 names=names,
             )
             yield pa.record_batch(
-                [pa.array([block] * m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
-                + [batch.column("_id"), batch.column("_held"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(slots.astype(np.int32)))],
+                [pa.array([block] * m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64())]
+                + [batch.column("_id"), batch.column("_held"), pa.array(packed(owner, slots, m), pa.binary())],
                 names=names,
             )
 
@@ -208,11 +241,10 @@ def score_texts(
         at = values["_slot"].to_numpy()
         c = values["_c"].to_numpy()
         known[at], base[at], full[at] = c > 0, np.log10(c + 1.0) - per, values["_log"].to_numpy()
-        out = []
-        for slots in texts["_slots"]:
-            slots = np.asarray(slots, np.int64)
-            out.append((len(slots) + 1, int(known[slots].sum()) + end[2], n, base[slots].sum() + end[0], full[slots].sum() + end[1]))
-        frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        owner, slots = unpacked(list(texts["_slots"]))
+        tokens, held = (np.bincount(owner, w, minlength=len(texts)) for w in (None, known[slots]))
+        sums = [np.bincount(owner, w, minlength=len(texts)) for w in (base[slots], full[slots])]
+        frame = pd.DataFrame({"n_tokens": tokens + 1, "n_known": held.astype(np.int64) + end[2], "train_tokens": n, "base_score": sums[0] + end[0], "score": sums[1] + end[1]})
         frame.insert(0, "held_out", texts["_held"].to_numpy())
         frame.insert(0, "_id", pd.array(texts["_id"], dtype="Int64"))
         return frame
