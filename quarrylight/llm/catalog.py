@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import decontaminate, fingerprints, line_dedup, lm_scoring, mixing, quality, secrets, token_counts
+from quarrylight.llm import decontaminate, fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, quality, secrets, substring_dedup, token_counts
 from quarrylight.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,11 @@ def passage_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+@query("op3_similar_classes")
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_classes(documents(spark, sf_dir)).select(F.col("_id").alias("doc_id"), "class_id", "n_links")
+
+
 @query("op4_token_counts")
 def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
@@ -85,6 +90,18 @@ def deduped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op8_sorted_suffixes")
+def deduped_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup_substrings(documents(spark, sf_dir))
+    return cut.select(
+        F.col("_id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op10_secret_spans")
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(documents(spark, sf_dir))

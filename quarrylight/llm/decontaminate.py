@@ -125,6 +125,20 @@ class Items:
         known = self.plains
         return [p if (p := known.get(w)) is not None else known.setdefault(w, plain(w)) for w in words]
 
+    def possible(self, codes: np.ndarray) -> np.ndarray:
+        """Where a shingle starts whose neighbours all are neighbours in some item, repeats of the next one left out."""
+        outside, last = len(self.code), len(codes) - self.size
+        told = np.zeros(len(codes), bool)
+        if last < 0:
+            return told
+        paired = np.zeros(len(codes), bool)
+        both = np.flatnonzero((codes[1:] != outside) & (codes[:-1] != outside))
+        paired[both[np.isin(codes[both] * outside + codes[both + 1], self.pairs)]] = True
+        equal = np.append(codes[1:] == codes[:-1], False)
+        told[: last + 1] = np.logical_and.reduce([paired[n : n + last + 1] for n in range(self.size - 1)] or [codes[: last + 1] != outside])
+        told[:last] &= ~np.logical_and.reduce([equal[n : n + last] for n in range(self.size)])
+        return told
+
     def similarity(self, window: list[int], item: set) -> float:
         shingles = self.shingles(window)
         both = self.weight(shingles & item)
@@ -145,17 +159,15 @@ class Items:
         codes = np.array([self.code.get(w, outside) for w in kinds], np.int64)[place]
         hashes, first = None, {}
         lowest = np.array([first.setdefault(w, n) for n, w in enumerate(kinds)], np.int64)  # one number for spellings that are the same word
-        both = np.flatnonzero((codes[1:] != outside) & (codes[:-1] != outside))
-        both = both[np.isin(codes[both] * outside + codes[both + 1], self.pairs)]
-        told = np.zeros(len(codes), np.int32)
-        told[both + 1] = 1
-        sums = np.cumsum(told, dtype=np.int32)  # neighbours up to here that are neighbours in some item
+        sums = np.concatenate([[0], np.cumsum(self.possible(codes), dtype=np.int32)])
         ends = np.cumsum(np.bincount(owner, minlength=len(texts)))[owner]  # where the text of each word ends
         for length, need, known, ids, sets, index in self.by_length:
             if len(codes) < length:
                 continue
-            # Enough pairs of words that stand together in items, then enough words of the items of this length.
-            starts = np.flatnonzero(sums[length - 1 :] - sums[: len(sums) - length + 1] >= need - 1)
+            # Enough shingles that items could have (the last start may have been told as a repeat), then
+            # enough words of the items of this length. Items below the shingle size only have the latter.
+            count, room = len(codes) - length + 1, length - self.size + 1
+            starts = np.flatnonzero(sums[room : room + count] - sums[:count] >= need - self.size) if room > 0 else np.arange(count)
             starts = starts[starts + length <= ends[starts]]
             kept = [np.zeros(0, np.int64)]
             for part in range(0, len(starts), 1 << 14):

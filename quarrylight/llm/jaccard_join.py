@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import by_bytes, pick
+from quarrylight.llm.common import by_bytes, pick, whole_text
 from quarrylight.llm.fingerprints import shingle_hashes
 from quarrylight.llm.graphs import components
 from quarrylight.session import settle
@@ -157,10 +157,14 @@ def each_pair_once(keep: np.ndarray, left: np.ndarray, right: np.ndarray) -> tup
     return a[once], b[once]
 
 
+def text_key(text: Column) -> Column:
+    """What texts share that are equal but for white space."""
+    return F.md5(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
+
+
 def sketched(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``_id, _key, _node, _signature, _bands`` of every row; equal texts (but for white space) share a key."""
-    plain = F.trim(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", " "))
-    rows = pick(df, id_col, text_col).withColumn("_key", F.md5(plain))
+    rows = pick(df, id_col, text_col).withColumn("_key", text_key(F.col("_text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
@@ -243,7 +247,7 @@ def verified(grouped: DataFrame, threshold: float, size: int) -> DataFrame:
 
 
 def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, size: int = 5, tolerance: float = 1e-6) -> DataFrame:
-    """``_id, _key, class_id, n_links`` of every row.
+    """``_id, _key, _class, class_id, n_links`` of every row.
 
     Two documents are linked when the Jaccard similarity of their sets of ``size``-word shingles is
     ``threshold`` or more; a class is what links connect, named by its smallest id, and ``n_links``
@@ -262,7 +266,7 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = components(candidate_edges(nodes, threshold, tolerance)).select("node", F.col("label").alias("_group"))
     some = grouped.join(nodes.select(F.col("_node").alias("node"), "_rep", "_copies"), "node")
     some = some.select(F.col("node").alias("_node"), "_group", F.col("_rep"), "_copies")
-    texts = pick(df, id_col, text_col).withColumn("_node", F.xxhash64(F.md5(F.trim(F.regexp_replace("_text", r"[\x20\x09-\x0D]+", " ")))))
+    texts = pick(df, id_col, text_col).withColumn("_node", F.xxhash64(text_key(F.col("_text"))))
     texts = texts.alias("t").join(some.alias("s"), F.expr("t._node = s._node AND t._id <=> s._rep")).select("_group", F.col("s._node").alias("_node"), "_copies", "_text")
     found = settle(verified(texts.dropDuplicates(["_node"]), threshold, size), "links")
     links = found.groupBy("_node").agg(F.sum("_links").alias("_links"))
@@ -270,5 +274,20 @@ def similar_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = nodes.select("_node", "_rep", "_copies").join(links, "_node", "left").join(roots.select(F.col("node").alias("_node"), "label"), "_node", "left")
     classes = classes.select("_node", "_rep", F.coalesce("label", "_node").alias("_class"), (F.coalesce("_links", F.lit(0)) + F.col("_copies") - 1).alias("n_links"))
     names = classes.groupBy("_class").agg(F.min("_rep").alias("class_id"))
-    named = classes.join(names, "_class").select("_node", "class_id", "n_links")
-    return rows.select("_id", "_key", "_node").join(named, "_node").select("_id", "_key", "class_id", "n_links")
+    named = classes.join(names, "_class").select("_node", "_class", "class_id", "n_links")
+    return rows.select("_id", "_key", "_node").join(named, "_node").select("_id", "_key", "_class", "class_id", "n_links")
+
+
+def one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each class, with the columns it came with: the smallest id, null ids last.
+
+    Rows that repeat both id and text are one document and come once.
+    """
+    found = similar_classes(df, id_col, text_col, **options).select("_id", "_key", "_class")
+    first = found.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_key").alias("key"))).alias("first"))
+    keep = settle(first.select("first.id", "first.key"), "kept")
+    rows = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_id"), text_key(whole_text(text_col)).alias("_key"))
+    kept = rows.join(keep, F.expr("_key = key AND _id <=> id"), "left_semi")
+    if not found.groupBy("_id", "_key").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_key"])
+    return kept.select("_row.*")
