@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import pick
+from quarrylight.llm.common import by_bytes, pick
 from quarrylight.session import settle
 
 LENGTH, GRAM = 50, 16
@@ -30,6 +30,8 @@ BASE = 0x9E3779B97F4A7C15
 #: A place packs start, tag of the text, hashes of both sides and length of the run.
 TAG_BITS, SIDE_BITS, RUN_BITS = 10, 8, 6
 LAST = (1 << 63) - 1
+#: The multikey quicksort leaves parts of this many rows to a plain sort by all words left.
+LEAF = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -96,7 +98,10 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All runs: the text's number, start, length, gram hash, hash of the run's bytes, hashes of both sides."""
+    """All runs: the text's number, start, length, gram hash, hash of the run's bytes, hashes of both sides.
+
+    The low six bits of a run's hash are the place of its anchor.
+    """
     found = {k: [] for k in ("owner", "start", "run", "gram", "whole", "left", "right")}
     for data, owner, offset, sizes in pieces(texts):
         rolling = Rolling(data)
@@ -116,7 +121,8 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         found["start"].append(start - first[piece] + offset[piece])
         found["run"].append(run)
         found["gram"].append(grams[anchor])
-        found["whole"].append(rolling.between(start, end) ^ mixed((run * 64 + anchor - start).astype(np.uint64)))
+        whole = rolling.between(start, end) ^ mixed((run * 64 + anchor - start).astype(np.uint64))
+        found["whole"].append(whole & ~np.uint64(63) | (anchor - start).astype(np.uint64))
         for side, a, b in (("left", anchor - SIDE, anchor), ("right", anchor + GRAM, anchor + GRAM + SIDE)):
             there = (a >= first[piece]) & (b <= first[piece] + sizes[piece])
             hashed = rolling.between(np.where(there, a, 0), np.where(there, b, 0)) % np.uint64((1 << SIDE_BITS) - 1) + np.uint64(1)
@@ -180,11 +186,11 @@ def run_rows(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, 8 << 20):
             found = anchors([t.encode() for t in batch.column("_text").to_pylist()])
             doc, tag = (batch.column(n).to_numpy()[found["owner"]] for n in ("_doc", "_tag"))
             gram, whole = found["gram"].astype(np.uint64), found["whole"].astype(np.uint64).view(np.int64)
-            settled = earlier_here(doc, whole, gram)
+            settled = earlier_here(doc, whole)
             *at, end = joined_spans(doc[settled], tag[settled], found["start"][settled], (found["start"] + found["run"] - 1 + LENGTH)[settled])
             none = np.zeros(len(end), np.int64)
             place = place_of(*(x[~settled] for x in (found["start"], tag, found["left"], found["right"], found["run"])))
@@ -221,6 +227,16 @@ def compared_runs(rows: DataFrame, width: int) -> DataFrame:
             start, tag, _, _, run = place_parts(rows[:, 3])
             return told(rows[:, 2], tag, start, start + run - 1 + LENGTH, is_open)
 
+        def narrowed(rows: np.ndarray, by_left: np.ndarray, by_right: np.ndarray) -> np.ndarray:
+            """Open rows with only the windows that a run with the same left or right side can share."""
+            start, tag, left, right, run = place_parts(rows[:, 3])
+            anchor = start + (rows[:, 1] & 63)
+            low = np.where(by_left, start, np.maximum(start, anchor - SIDE + 1))
+            high = np.where(by_right, start + run, np.minimum(start + run, anchor - SIDE))
+            out = rows.copy()
+            out[:, 3] = place_of(low, tag, left, right, np.maximum(high - low, 0))
+            return out[high > low]
+
         for batch in batches:
             rows = np.column_stack([batch.column(n).to_numpy().astype(np.int64) for n in ("_gram", "_whole", "_doc", "_place")])
             settled = rows[rows[:, 3] < 0]
@@ -261,8 +277,8 @@ def compared_runs(rows: DataFrame, width: int) -> DataFrame:
                 # Two runs of a gram share a window only if they agree on one side of it.
                 _, _, left, right, _ = place_parts(mine[:, 3])
                 kind = np.cumsum(run_new)[opening][inner]
-                near = shared(of, left, kind) | shared(of, right, kind)
-                out.append(mine[more & (near | ends)])
+                by_left, by_right = shared(of, left, kind) | ends, shared(of, right, kind) | ends
+                out.append(narrowed(mine[more], by_left[more], by_right[more]))
                 if kinds[gram[-1]] > 1:
                     several = True
                 else:
@@ -289,34 +305,42 @@ def shared(gram: np.ndarray, side: np.ndarray, kind: np.ndarray) -> np.ndarray:
 
 
 def suffix_rows(open_docs: DataFrame) -> DataFrame:
-    """``_suffix, _doc, _tag, _start`` at every window of the open runs.
+    """``_suffix, _doc, _tag, _starts`` for every window of the open runs, one row per text for equal ones.
 
     Of equal windows a batch tells only those of its first document. The others are settled: in
     place of a suffix they have a few bytes that only spread them.
     """
+    names, lists = ["_suffix", "_doc", "_tag", "_starts"], pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, doc, tag, start = [np.zeros((0, LENGTH), np.uint8)], [], [], []
-            docs, tags = batch.column("_doc").to_numpy(), batch.column("_tag").to_numpy()
-            for row, (text, runs) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist(), strict=True)):
-                data = np.frombuffer(text.encode(), np.uint8)
-                # Texts whose tags agree by chance share a list, so a place may lie behind the end.
-                at = np.unique(np.concatenate([np.arange(r["_start"], min(r["_end"], len(data)) - LENGTH + 1) for r in runs]))
-                if len(at):
-                    texts.append(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at])
-                doc.append(np.full(len(at), docs[row]))
-                tag.append(np.full(len(at), tags[row]))
-                start.append(at)
-            if not doc:
+        for batch in by_bytes(batches, 2 << 20):
+            texts = batch.column("_text").cast(pa.large_binary())
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            data, base = np.frombuffer(b"".join(texts.to_pylist()), np.uint8), np.cumsum(sizes) - sizes
+            owner, runs = pc.list_parent_indices(batch.column("_runs")).to_numpy(), batch.column("_runs").flatten()
+            low, high = (runs.field(n).to_numpy() for n in ("_start", "_end"))
+            # Texts whose tags agree by chance share a list, so a place may lie behind the end.
+            high = np.minimum(high, sizes[owner]) - LENGTH + 1
+            owner, low, high = (x[high > low] for x in (owner, low, high))
+            counts = high - low
+            at = np.unique(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low + base[owner], counts))
+            if not len(at):
                 continue
-            suffix, doc, tag, start = (np.concatenate(x) for x in (texts, doc, tag, start))
-            settled = earlier_here(doc, *as_words(suffix).T)
-            spread = mixed((doc + start).astype(np.uint64))
-            told = [spread[i].tobytes() if settled[i] else suffix[i].tobytes() for i in range(len(doc))]
-            yield pa.record_batch([pa.array(told, pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int64())], names=["_suffix", "_doc", "_tag", "_start"])
-
-    return open_docs.mapInArrow(run, "_suffix binary, _doc long, _tag int, _start long")
+            owner = np.searchsorted(base, at, side="right") - 1
+            window = Rolling(data).between(at, at + LENGTH)
+            doc, tag = (batch.column(n).to_numpy()[owner] for n in ("_doc", "_tag"))
+            order = np.lexsort((at, owner, window))
+            fresh = np.flatnonzero(np.concatenate([[True], (window[order][1:] != window[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
+            first = order[fresh]
+            starts = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(order)).astype(np.int32)), pa.array((at - base[owner])[order]))
+            settled = earlier_here(doc[first], window[first])
+            suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[first[~settled]]]
+            for which, bytes_ in ((~settled, suffix), (settled, mixed(at[first[settled]].astype(np.uint64)).view(np.uint8).reshape(-1, 8))):
+                some = first[which]
+                told = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bytes_.shape[1]), len(some), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
+                yield pa.record_batch([told, pa.array(doc[some], pa.int64()), pa.array(tag[some], pa.int32()), starts.filter(pa.array(which)).cast(lists)], names=names)
+
+    return open_docs.mapInArrow(run, "_suffix binary, _doc long, _tag int, _starts array<long>")
 
 
 def as_words(suffix: np.ndarray) -> np.ndarray:
@@ -334,7 +358,7 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
         if high - low < 2 or depth == done:
             continue
         rows = order[low:high]
-        if high - low <= 64:
+        if high - low <= LEAF:
             order[low:high] = rows[np.lexsort(words[rows, depth:].T[::-1])]
             continue
         column = words[rows, depth]
@@ -358,17 +382,19 @@ def sorted_buckets(suffixes: DataFrame, width: int) -> DataFrame:
         sent = list(batches)
         if not sent:
             return
-        table = pa.Table.from_batches(sent)
+        table = pa.Table.from_batches(sent).combine_chunks()
         real = pc.equal(pc.binary_length(table["_suffix"]), LENGTH)
-        before = table.filter(pc.invert(real))
-        table = table.filter(real)
-        words = as_words(np.frombuffer(b"".join(table["_suffix"].to_pylist()), np.uint8).reshape(-1, LENGTH))
-        doc, tag, start = (table[n].to_numpy() for n in ("_doc", "_tag", "_start"))
+        before, table = table.filter(pc.invert(real)), table.filter(real).combine_chunks()
+        doc, tag = (table[n].to_numpy() for n in ("_doc", "_tag"))
+        data = b"".join(table["_suffix"].to_pylist())
+        words = as_words(np.frombuffer(data, np.uint8).reshape(-1, LENGTH))
         order = multikey_quicksort(words)
         fresh = np.flatnonzero(np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(axis=1)])) if len(order) else order
         lowest = np.repeat(np.minimum.reduceat(doc[order], fresh), np.diff(np.append(fresh, len(order)))) if len(order) else order
-        late = order[doc[order] > lowest]
-        doc, tag, start = (np.concatenate([x[late], before[n].to_numpy()]) for x, n in ((doc, "_doc"), (tag, "_tag"), (start, "_start")))
+        late = pa.array(np.sort(order[doc[order] > lowest]))
+        taken = pa.concat_tables([table.take(late), before]).combine_chunks()
+        row, start = (f(taken["_starts"].combine_chunks()).to_numpy() for f in (pc.list_parent_indices, pc.list_flatten))
+        doc, tag = taken["_doc"].to_numpy()[row], taken["_tag"].to_numpy()[row]
         spans = joined_spans(doc, tag, start, start + LENGTH)
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(c).cast(kind) for c, kind in zip(spans, kinds, strict=True)], names=["_doc", "_tag", "_start", "_end"])
