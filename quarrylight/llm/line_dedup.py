@@ -21,7 +21,7 @@ def line_hashes(text: Column) -> Column:
 def site_lines(df: DataFrame, id_col: str, text_col: str, site: Column) -> DataFrame:
     return df.select(
         F.col(id_col).cast("long").alias("_id"),
-        F.coalesce(site.cast("string"), F.lit("")).alias("_site"),
+        F.concat(F.lit("="), F.coalesce(site.cast("string"), F.lit(""))).alias("_site"),  # sketches skip empty strings
         F.explode(line_hashes(whole_text(text_col))).alias("_line"),
     )
 
