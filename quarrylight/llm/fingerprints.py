@@ -115,7 +115,9 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def merged(df: DataFrame, key: Column, k: int = 256) -> DataFrame:
     """Fingerprints of groups: the ``k`` smallest hashes of each group's fingerprints, for parts of any number."""
-    hashes = F.transform(F.sequence(F.lit(0), F.length("fingerprint") / DIGITS - 1), lambda i: F.substring(F.col("fingerprint"), i * DIGITS + 1, F.lit(DIGITS)))
+    digits = F.lit(DIGITS)
+    starts = F.sequence(F.lit(1), F.length("fingerprint"), digits)
+    hashes = F.transform(starts, lambda at: F.substring(F.col("fingerprint"), at, digits))
     rows = df.where("fingerprint <> ''").select(key.alias("key"), F.explode_outer(hashes).alias("hash")).distinct()
     smallest = rows.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("hash"))).where(F.col("place") <= k)
     return smallest.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("hash")), "").alias("fingerprint"))
