@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarrylight.catalog import parts as P
 from quarrylight.catalog.registry import query
 from quarrylight.catalog.routing import big
-from quarrylight.functions import splitting as S
+from quarrylight.operators import splits as S
 from quarrylight.functions import text as T
 from quarrylight.functions import vocab as V
 from quarrylight.operators import corpus as C
@@ -278,19 +278,19 @@ def chunk_documents(t):
 
 @query("chunk_semantic")
 def chunk_semantic(t):
-    return t.documents.select("doc_id", F.posexplode(S.semantic_chunks()(F.col("text"))).alias("ord", "chunk"))
+    return S.semantic_chunks(t.documents, "doc_id", "text")
 
 
 @query("pdf_sections")
 def pdf_sections(t):
-    rows = t.documents.select("doc_id", F.posexplode(S.pdf_sections(F.col("text"))).alias("ord", "s"))
-    named = rows.select("doc_id", "ord", F.when(F.col("s.header").isin("preamble", "full_text"), F.col("s.header")).otherwise(T.section_name(F.col("s.header"))).alias("section"), F.col("s.text").alias("text"))
+    rows = S.pdf_sections(t.documents, "doc_id", "text")
+    named = rows.select("doc_id", "ord", F.when(F.col("header").isin("preamble", "full_text"), F.col("header")).otherwise(T.section_name(F.col("header"))).alias("section"), "text")
     return named.groupBy("doc_id", "section").agg(F.min("ord").alias("ord"), F.max_by("text", "ord").alias("text"))
 
 
 @query("repaired_texts")
 def repaired_texts(t):
-    return t.documents.select("doc_id", S.strip_preamble(S.fix_encoding(F.col("text"))).alias("text"))
+    return S.strip_preambles(t.documents.select("doc_id", S.fix_encoding(F.col("text")).alias("text")), "doc_id", "text")
 
 
 @query(

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions import vocab as V
-from quarrylight.functions.splitting import expand_acronyms, split_chunks
+from quarrylight.functions.splitting import split_chunks
+from quarrylight.operators.splits import expand_acronyms
 
 
 def parse_papers(rows: DataFrame) -> DataFrame:

