@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TEXTS_PER_BATCH = 2000
 #: What separates words in every contract here: space, tab and the four line characters after it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,8 +27,16 @@ def fold(key: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold few rows from here on: texts are long, and a task holds a batch several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXTS_PER_BATCH:
+        spark.conf.set(name, str(TEXTS_PER_BATCH))
+
+
 def pick(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """Only the columns an operator needs, under names of its own, so that others can't clash."""
+    short_batches(df.sparkSession)
     return df.select(
         F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"), *(c.alias(n) for n, c in more.items())
     )

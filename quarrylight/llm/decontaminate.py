@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import by_bytes, pick, whole_text
+from quarrylight.llm.common import by_bytes, pick, short_batches, whole_text
 
 #: Text of benchmark items that one pass holds in every task; more items take more passes.
 PASS_BYTES = 16 << 20
@@ -228,7 +228,7 @@ def find_items(
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
             for shared in stored:
                 for told, found in zip(hits, shared.value.matches(batch.column("_text")), strict=True):
@@ -243,11 +243,12 @@ def find_items(
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
     """The documents that hold no item, with the columns they came with."""
+    short_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     stored = [context.broadcast(block) for block in passes(items, item_id, item_text, size, least, radius)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             keep = np.ones(batch.num_rows, bool)
             for shared in stored:
                 keep &= np.array([not found for found in shared.value.matches(pc.fill_null(batch.column(text_col), ""))], bool)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import by_bytes, pick
+from quarrylight.llm.common import by_bytes, pick, short_batches
 
 PASSAGE_WORDS = 64
 #: Byte classes: lower case, upper case, digits, control, beyond ASCII, and every other ASCII character by itself.
@@ -114,7 +114,7 @@ def encoded(rows: DataFrame) -> DataFrame:
     """``_id, _n, _x``: the number of passages of each text and their features, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             x, counts = passages(batch.column("_text"))
             flat = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]) * FEATURES), pa.array(x.reshape(-1)))
             yield pa.record_batch([batch.column("_id"), pa.array(counts, pa.int32()), flat.cast(pa.list_(pa.float32()))], names=["_id", "_n", "_x"])
@@ -145,7 +145,7 @@ def score(df: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             found = model.scores(*passages(batch.column("_text")))
             yield pa.record_batch([batch.column("_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["_id", "score", "predicted"])
 
@@ -154,9 +154,10 @@ def score(df: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_col
 
 def accepted(df: DataFrame, model: AttentionModel, text_col: str = "text") -> DataFrame:
     """The rows the model predicts 1 for, with the columns they came with."""
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, 4 << 20):
+        for batch in by_bytes(batches, 1 << 20):
             texts = pc.fill_null(batch.column(text_col), "")
             yield batch.filter(pa.array(model.scores(*passages(texts)) >= 0.5))
 
