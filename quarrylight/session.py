@@ -49,14 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Removes a query's shuffle files when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
 
     Unlike an RDD checkpoint the table keeps its statistics, so later joins can be planned by size.
+    The shuffle files behind it go at once, as nothing reads them again; the table goes when the
+    driver's JVM ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # gone when the driver's JVM ends
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
