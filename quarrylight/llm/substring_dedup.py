@@ -414,12 +414,13 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(df, id_col, text_col)
     rows = rows.select(F.coalesce("_id", F.lit(LAST)).alias("_doc"), F.pmod(F.xxhash64("_text"), F.lit(1 << TAG_BITS)).cast("int").alias("_tag"), "_text")
+    keys = ["_doc", "_tag"]
+    pair = F.collect_list(F.struct("_start", "_end"))  # of one text
     found = settle(compared_runs(run_rows(rows), width), "runs")
-    texts = rows.repartition(width, "_doc", "_tag")  # one exchange of the texts, read for the suffixes and for the cut
-    opened = found.where("_open").groupBy("_doc", "_tag").agg(F.collect_list(F.struct("_start", "_end")).alias("_runs"))
-    suffixes = suffix_rows(texts.join(opened, ["_doc", "_tag"]).select("_doc", "_tag", "_text", "_runs"))
-    spans = found.where("not _open").drop("_open").unionByName(sorted_buckets(suffixes, width))
-    spans = spans.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("_start", "_end")).alias("_spans"))
+    opened = found.where("_open").groupBy(keys).agg(pair.alias("_runs"))
+    suffixes = settle(suffix_rows(rows.join(opened, keys).select("_doc", "_tag", "_text", "_runs")), "suffixes")
+    spans = settle(sorted_buckets(suffixes, width), "spans").unionByName(found.where("not _open").drop("_open"))
+    spans = spans.groupBy(keys).agg(pair.alias("_spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -440,5 +441,5 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = pc.if_else(pc.equal(batch.column("_doc"), LAST), pa.scalar(None, pa.int64()), batch.column("_doc"))
             yield pa.record_batch([ids, pa.array(sizes, pa.int64()), pa.array(taken, kind), pa.array(kept, pa.binary())], names=["_id", "n_bytes", "spans", "kept"])
 
-    whole = texts.join(spans, ["_doc", "_tag"], "left").select("_doc", "_text", "_spans")
+    whole = rows.join(spans, keys, "left").select("_doc", "_text", "_spans")
     return whole.mapInArrow(cut, "_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary")
