@@ -95,9 +95,9 @@ def graph_provenance(t):
 )
 def graph_merge_batches(t):
     rows = triples(t)
-    # Two write batches that share no document; together they are the whole table.
-    first, second = (G.edges_of(rows.where(F.pmod("doc_id", F.lit(2)) == i)) for i in (0, 1))
-    return G.merge_edges(first, second).select("s_key", "predicate", "o_key", "weight", "n_docs", F.round("confidence_sum", 4).alias("confidence_sum"))
+    # Two write batches whose chunks are of the same documents; together they are the whole table.
+    first, second = (G.evidence(rows.where(F.pmod("chunk_id", F.lit(2)) == i)) for i in (0, 1))
+    return G.edges_from(G.merge_evidence(first, second)).select("s_key", "predicate", "o_key", "weight", "n_docs", F.round("confidence_sum", 4).alias("confidence_sum"))
 
 
 @query("graph_nodes", f"WITH {EDGES}, {NODES} SELECT key, entity_type, name FROM nodes")

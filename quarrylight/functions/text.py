@@ -254,7 +254,7 @@ def author_line(authors: Column) -> Column:
 
 
 def acronym_pairs(text: Column) -> Column:
-    """``ARRAY<STRUCT<acronym, full_form>>`` for every ``Full Form (FF)`` of two or more words."""
+    """``ARRAY<STRUCT<acronym, full_form>>`` for every ``Full Form (FF)`` of two or more words; of repeated acronyms the last."""
     pattern = r"([A-Za-z][A-Za-z\s\-]{2,50})\s*\(([A-Z][A-Z0-9]{1,10})\)"
     pairs = F.arrays_zip(
         find_all(text, pattern, 2).alias("acronym"), find_all(text, pattern, 1).alias("full_form")
@@ -267,7 +267,8 @@ def acronym_pairs(text: Column) -> Column:
         ),
     )
     letters = r"(?:^|\s)[A-Za-z]"
-    return F.filter(named, lambda p: F.size(find_all(p["full_form"], letters)) >= 2)
+    kept = F.filter(named, lambda p: F.size(find_all(p["full_form"], letters)) >= 2)
+    return F.filter(kept, lambda p, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda later: later["acronym"] == p["acronym"]))
 
 
 def tidy_whitespace(text: Column) -> Column:

@@ -9,6 +9,8 @@ modularity; communities then become the nodes of the next level.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,11 @@ def modularity(links: DataFrame, labels: DataFrame, total: float, resolution: fl
     return float(value or 0.0)
 
 
-def _one_level(links: DataFrame, total: float, resolution: float, rounds: int) -> tuple[DataFrame, float]:
+def _one_level(links: DataFrame, total: float, resolution: float) -> tuple[DataFrame, float]:
     nodes = settle(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "nodes")
     labels = nodes.select("node", F.col("node").alias("label"))
     best, best_q = labels, modularity(links, labels, total, resolution)
-    for r in range(rounds):
+    for r in count():
         changed = 0
         for half in (0, 1):
             mine = nodes.join(labels, "node")
@@ -76,8 +78,11 @@ def _one_level(links: DataFrame, total: float, resolution: float, rounds: int) -
     return best, best_q
 
 
-def louvain(pairs: DataFrame, resolution: float = RESOLUTION, levels: int = 4, rounds: int = 6) -> DataFrame:
-    """``node, community`` for ``pairs(u, v, weight)``; a community is named by a member."""
+def louvain(pairs: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+    """``node, community`` for ``pairs(u, v, weight)``; a community is named by a member.
+
+    Rounds and levels go on until nothing moves or modularity stops rising.
+    """
     w = F.col("weight").cast("double")
     links = settle(
         pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), w.alias("w")).unionByName(
@@ -90,8 +95,8 @@ def louvain(pairs: DataFrame, resolution: float = RESOLUTION, levels: int = 4, r
     if total == 0:
         return members
     before = None
-    for _ in range(levels):
-        labels, q = _one_level(links, total, resolution, rounds)
+    while True:
+        labels, q = _one_level(links, total, resolution)
         if before is not None and q <= before + 1e-9:
             break
         before = q
@@ -141,11 +146,8 @@ def describe(members: DataFrame, pairs: DataFrame, min_size: int = MIN_SIZE, ent
     return table.select("community", "size", text.alias("summary"))
 
 
-def community_members(names: DataFrame, members: DataFrame, limit: int = 50) -> DataFrame:
-    """Members of the community each entity (``key``) belongs to, by name, at most ``limit``.
-
-    The limit is applied per community first, so a large community is never paired with itself.
-    """
-    shown = ranked(members, "community", [F.col("node")], "place").where(F.col("place") <= limit)
+def community_members(names: DataFrame, members: DataFrame) -> DataFrame:
+    """All members of the community each entity (``key``) belongs to, in order of name (``place``)."""
+    placed = ranked(members, "community", [F.col("node")], "place")
     home = names.select("key").distinct().join(members.withColumnRenamed("node", "key"), "key")
-    return home.join(shown, "community")
+    return home.join(placed, "community")

@@ -102,14 +102,13 @@ def keyword_rerank(
     ``candidates`` holds at most ``per_query`` rows a query and may carry ``prior``, the score a
     candidate brings along; fused rows bring none. Candidate ids are the small side of the text
     join, so only texts of candidates are looked at and the corpus is not shuffled. Question
-    features are computed once per question, chunk features once per candidate.
+    features are computed once per question, chunk features once per candidate chunk. A candidate
+    whose text is missing stays and counts as empty.
     """
-    few = broadcast_if_small(candidates, queries.select("query_id"), per_query * 8)
-    texts = chunks.select("chunk_id", "text").join(few, "chunk_id")
-    featured = texts.select(
-        *candidates.columns,
-        F.lower("text").alias("low"),
-        T.ascii_word_set(F.col("text")).alias("c_words"),
+    wanted = broadcast_if_small(candidates.select("chunk_id").distinct(), queries.select("query_id"), per_query * 8)
+    features = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", F.lower("text").alias("low"), T.ascii_word_set(F.col("text")).alias("c_words"))
+    featured = candidates.join(features, "chunk_id", "left").select(
+        *candidates.columns, F.coalesce("low", F.lit("")).alias("low"), F.coalesce("c_words", F.array().cast("array<string>")).alias("c_words")
     )
     rows = featured.join(broadcast_if_small(question_features(queries), queries, 16), "query_id")
 

@@ -62,31 +62,43 @@ def edges_of(triples: DataFrame, chunk: str = "chunk_id", doc: str = "doc_id") -
     Provenance is counted, not listed: a frequent edge may come from a third of all documents.
     ``provenance`` gives the lists as rows. Display names are the first in sort order.
     """
+    return edges_from(evidence(triples, chunk, doc))
+
+
+def evidence(triples: DataFrame, chunk: str = "chunk_id", doc: str = "doc_id") -> DataFrame:
+    """One row per edge, document and chunk that states it, with how often and how surely."""
     keyed = triples.withColumn("s_key", F.lower("s_name")).withColumn("o_key", F.lower("o_name"))
-    return keyed.groupBy(*EDGE_KEY).agg(
-        F.min("s_name").alias("s_name"),
-        F.min("o_name").alias("o_name"),
-        F.count("*").alias("weight"),
-        F.count_distinct(chunk).alias("n_chunks"),
-        F.count_distinct(doc).alias("n_docs"),
-        F.sum("confidence").alias("confidence_sum"),
+    return keyed.groupBy(*EDGE_KEY, F.col(doc).alias("doc_id"), F.col(chunk).alias("chunk_id")).agg(
+        F.min("s_name").alias("s_name"), F.min("o_name").alias("o_name"), F.count("*").alias("weight"), F.sum("confidence").alias("confidence_sum")
     )
 
 
+def edges_from(rows: DataFrame) -> DataFrame:
+    """Edges counted from their evidence: by document first, so a frequent edge is small before it meets.
+
+    A chunk is part of one document, so chunks add up over documents.
+    """
+    names = [F.min("s_name").alias("s_name"), F.min("o_name").alias("o_name")]
+    sums = [F.sum("weight").alias("weight"), F.sum("confidence_sum").alias("confidence_sum")]
+    by_doc = rows.groupBy(*EDGE_KEY, "doc_id").agg(*names, *sums, F.count_distinct("chunk_id").alias("n_chunks"))
+    found = by_doc.groupBy(*EDGE_KEY).agg(*names, *sums, F.sum("n_chunks").alias("n_chunks"), F.count("*").alias("n_docs"))
+    return found.select(*EDGE_KEY, "s_name", "o_name", "weight", "n_chunks", "n_docs", "confidence_sum")
+
+
 def provenance(triples: DataFrame, doc: str = "doc_id") -> DataFrame:
     keyed = triples.select(F.lower("s_name").alias("s_key"), "s_type", "predicate", F.lower("o_name").alias("o_key"), "o_type", doc)
     return keyed.distinct()
 
 
-def merge_edges(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Add two edge tables: weights and confidences sum up.
+def merge_evidence(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Add a batch of evidence to what is stored: the same edge in the same chunk is one row.
 
-    Document counts add as well, which is right when the two come from different documents, as
-    they do when a batch is written once.
+    Occurrences and confidences add up. Counts of documents and chunks come from ``edges_from``
+    afterwards, so batches may share documents.
     """
-    sums = ["weight", "n_chunks", "n_docs", "confidence_sum"]
-    return existing.unionByName(new).groupBy(*EDGE_KEY).agg(
-        F.min("s_name").alias("s_name"), F.min("o_name").alias("o_name"), *[F.sum(c).alias(c) for c in sums]
+    rows = existing.unionByName(new)
+    return rows.groupBy(*EDGE_KEY, "doc_id", "chunk_id").agg(
+        F.min("s_name").alias("s_name"), F.min("o_name").alias("o_name"), F.sum("weight").alias("weight"), F.sum("confidence_sum").alias("confidence_sum")
     )
 
 

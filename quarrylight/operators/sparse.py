@@ -65,13 +65,13 @@ def build_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text") ->
     return SparseIndex(lengths=sized.select("chunk_id", "dl"), tokens=sized)
 
 
-def save_index(index: SparseIndex, path: str, buckets: int = 64) -> None:
+def save_index(index: SparseIndex, path: str) -> None:
     """Write the index; the manifest comes last, so a half-written index is never loaded.
 
     Rows of one chunk share a file and rows are sorted by term inside it, which lets row-group
     statistics skip terms nobody asked for.
     """
-    placed = index.postings().repartition(buckets, "chunk_id").sortWithinPartitions("term")
+    placed = index.postings().repartition("chunk_id").sortWithinPartitions("term")
     placed.write.mode("overwrite").parquet(f"{path}/postings")
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
     n = index.lengths.agg(F.count("*").alias("n_docs"))

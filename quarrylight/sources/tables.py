@@ -106,7 +106,7 @@ def verbatim_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         .where(F.contains("text", F.col("question")))
         .select("query_id", "chunk_id")
     )
-    # Passages of fewer than seven words: one-word anchors (or none) over the few short queries.
+    # Passages of fewer than seven words: one-word anchors over the few short queries.
     short = anchored.where((F.col("span") > 0) & (F.col("span") < ANCHOR_WORDS)).select(
         "query_id", "question", F.get("head", F.lit(0)).alias("word")
     )
@@ -116,4 +116,7 @@ def verbatim_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         .where(F.contains("text", F.col("question")))
         .select("query_id", "chunk_id")
     )
-    return verified.unionByName(by_word)
+    # Passages of one or two words have no whole inner word; as a stated, small set they meet every text.
+    brief = broadcast_if_small(anchored.where((F.col("span") == 0) & (F.col("question") != "")).select("query_id", "question"), queries, 2)
+    by_text = chunks.join(brief, F.contains("text", F.col("question"))).select("query_id", "chunk_id")
+    return verified.unionByName(by_word).unionByName(by_text)

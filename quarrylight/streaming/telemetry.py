@@ -1,7 +1,7 @@
 """Structured Streaming twins of the telemetry operators.
 
 Both read a growing folder of event files, process whatever is available, and leave their result
-in tables below the shared folder. State is bounded: windows by a watermark, rings by their size.
+in tables below the shared folder. No state is kept between triggers but those tables.
 """
 
 from __future__ import annotations
@@ -38,39 +38,39 @@ def new_home(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def stream_rate(spark: SparkSession, folder: str, home: str | None = None, pattern: str = "events.parquet") -> DataFrame:
+def stream_rate(spark: SparkSession, folder: str, home: str | None = None, pattern: str = "events.parquet", per_trigger: int = 64) -> DataFrame:
     """Rate per event type in 5-minute windows every 15 seconds: ``start, event_type, n, rate``.
 
-    The stream keeps 15-second counts only (one state row per step and type, dropped once the
-    watermark has passed); every trigger appends the counts it changed under its batch id, so a
-    repeated batch overwrites itself. The windows are summed from the latest counts.
+    Every trigger counts its own events per 15-second step and writes the counts under its batch
+    id, so a repeated batch overwrites itself. The stream keeps no state and drops nothing, however
+    late an event comes; the windows add up the counts of all batches.
     """
     home = home or new_home(spark, "rate")
-    steps = (
-        event_stream(spark, folder, pattern)
-        .withWatermark("ts", "10 minutes")
-        .groupBy(F.window("ts", "15 seconds").alias("w"), "event_type")
-        .agg(F.count("*").alias("c"))
-        .select(F.unix_timestamp("w.start").alias("step"), "event_type", "c")
-    )
+    events = event_stream(spark, folder, pattern, per_trigger).select("ts", "event_type")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{home}/counts/batch={batch_id}")
+        step = F.unix_timestamp(F.window("ts", "15 seconds")["start"]).alias("step")
+        batch.groupBy(step, "event_type").agg(F.count("*").alias("c")).write.mode("overwrite").parquet(f"{home}/counts/batch={batch_id}")
 
-    run_available(steps, keep, home, "update")
-    latest = spark.read.parquet(f"{home}/counts").groupBy("step", "event_type").agg(F.max_by("c", "batch").alias("c"))
+    run_available(events, keep, home, "append")
+    steps = spark.read.parquet(f"{home}/counts").groupBy("step", "event_type").agg(F.sum("c").alias("c"))
     starts = F.sequence(F.col("step") - 285, F.col("step"), F.lit(15))
-    windows = latest.select(F.explode(starts).alias("start"), "event_type", "c")
+    windows = steps.select(F.explode(starts).alias("start"), "event_type", "c")
     return windows.groupBy("start", "event_type").agg(F.sum("c").alias("n")).withColumn("rate", F.col("n") / 300)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stream_ring(
-    spark: SparkSession, folder: str, n: int = V.RING_REQUESTS, home: str | None = None, pattern: str = "events.parquet"
+    spark: SparkSession, folder: str, n: int = V.RING_REQUESTS, home: str | None = None, pattern: str = "events.parquet", per_trigger: int = 64
 ) -> DataFrame:
     """The last ``n`` events of every type, merged batch by batch with the ring so far.
 
     Each batch writes ring number ``batch_id`` from ring ``batch_id - 1`` and its own newest rows,
-    which makes a repeated batch harmless. At most ``n`` rows per type are kept.
+    which makes a repeated batch harmless; older rings are deleted. At most ``n`` rows per type are kept.
     """
     home = home or new_home(spark, "ring")
     newest = Window.partitionBy("event_type").orderBy(F.col("ts").desc(), F.col("event_id").desc())
@@ -85,8 +85,9 @@ def stream_ring(
         rows.write.mode("overwrite").parquet(f"{home}/ring-{batch_id}")
         with_mark = batch.sparkSession.range(1).select(F.lit(batch_id).cast("bigint").alias("last"))
         with_mark.write.mode("overwrite").parquet(f"{home}/marks/batch={batch_id}")
+        drop_folder(batch.sparkSession, f"{home}/ring-{batch_id - 2}")
 
-    events = event_stream(spark, folder, pattern).select("event_id", "ts", "event_type", "value")
+    events = event_stream(spark, folder, pattern, per_trigger).select("event_id", "ts", "event_type", "value")
     run_available(events, merge, home, "append")
     last = spark.read.parquet(f"{home}/marks").agg(F.max("last")).first()[0]
     return spark.read.parquet(f"{home}/ring-{last}").withColumn("age", F.row_number().over(newest))
