@@ -189,3 +189,37 @@ def test_sections_and_upsert(spark):
     assert sorted(map(tuple, corpus.upsert(old, new, "k").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     stats = corpus.length_stats(spark.createDataFrame([("a",), ("bbb",), ("cc",), ("dddd",)], "text string")).first()
     assert (stats.n, stats.min_len, stats.max_len, stats.avg_len, stats.median_len) == (4, 1, 4, 2.5, 3)
+
+
+def test_topic_paper_gets_place_two(spark):
+    from quarrylight.plans import answering
+
+    columns = "query_id long, chunk_id long, paper_key long, rank int, place int"
+    pool = spark.createDataFrame([(1, c, c, c, None) for c in range(1, 8)] + [(2, c, c, c, None) for c in range(1, 4)] + [(3, 9, 9, 1, None), (3, 5, 5, 2, None)], columns)
+    chosen = spark.createDataFrame([(1, c, c, c, c) for c in range(1, 5)] + [(2, c, c, c, c) for c in range(1, 4)] + [(3, 9, 9, 1, 1)], columns)
+    topics = spark.createDataFrame([(1, 7), (1, 6), (2, 3), (3, 5)], "query_id long, paper_key long")
+    got = answering.with_topic_paper(chosen, pool, topics).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.chunk_id, r.place) for r in got] == [(1, 1, 1), (1, 6, 2), (1, 2, 3), (1, 3, 4), (2, 1, 1), (2, 2, 2), (2, 3, 3), (3, 5, 1)]
+
+
+def test_landmark_comes_back_after_the_filter(spark):
+    from quarrylight.plans import answering
+
+    rows = spark.createDataFrame([(q, c, c, c) for q in (1, 2) for c in range(1, 6)], "query_id long, chunk_id long, paper_key long, rank int")
+    picked = rows.where("rank <= 3").withColumn("source_number", F.col("rank"))
+    marks = spark.createDataFrame([(5,), (4,)], "paper_key long")
+    got = answering.with_landmark(picked, rows, marks).orderBy("query_id", "source_number").collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(1, 1), (1, 2), (1, 4), (2, 1), (2, 2), (2, 4)]
+    none = answering.with_landmark(picked, rows, marks.where("paper_key = 0"))
+    assert none.count() == 6
+
+
+def test_evidence_of_batches_that_share_documents(spark):
+    from quarrylight.operators import graph
+
+    columns = "s_name string, s_type string, predicate string, o_name string, o_type string, chunk_id long, doc_id long, confidence double"
+    rows = [("A", "X", "uses", "B", "Y", c, 1, 0.5) for c in (1, 2, 3, 3)]
+    frame = spark.createDataFrame(rows, columns)
+    parts = [graph.evidence(frame.where(f"chunk_id % 2 = {i}")) for i in (0, 1)]
+    edge = graph.edges_from(graph.merge_evidence(*parts)).first()
+    assert (edge.weight, edge.n_chunks, edge.n_docs, edge.confidence_sum) == (4, 3, 1, 2.0)
