@@ -110,12 +110,8 @@ _COUNTS = ", ".join(f"count_if(value <= {b}) AS b{i}" for i, b in enumerate(V.BU
 )
 def histogram_quantile_5m(t):
     start = (F.floor(F.unix_timestamp("ts") / 300) * 300).cast("bigint").alias("start")
-    out = None
-    for p in (0.5, 0.9, 0.99):
-        q = M.histogram_quantile(t.events, "value", V.BUCKETS["request"], [start], p)
-        q = q.withColumn(f"p{round(p * 100)}", F.round("quantile", 6)).drop("quantile")
-        out = q if out is None else out.join(q.drop("n"), "start")
-    return out
+    found = M.histogram_quantiles(t.events, "value", V.BUCKETS["request"], [start], [0.5, 0.9, 0.99])
+    return found.select("start", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
 RATE = """steps AS (SELECT (floor(epoch(ts))::BIGINT // {step}) * {step} AS step, {label}, count(*) AS c FROM events GROUP BY ALL),

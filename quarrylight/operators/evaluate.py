@@ -58,9 +58,11 @@ def retrieval_metrics(
     )
 
 
-def citation_metrics(answers: DataFrame, sources: DataFrame, expected: DataFrame) -> DataFrame:
+def citation_metrics(answers: DataFrame, sources: DataFrame, expected: DataFrame, acceptable: DataFrame | None = None) -> DataFrame:
     """Citation precision, recall and coverage, with density and unsupported claims.
 
+    ``acceptable`` is a wider set of papers that count as right for precision only.
+
     ``answers(query_id, answer)``, ``sources(query_id, source_number, paper)``,
     ``expected(query_id, paper)``.
     """
@@ -69,7 +71,10 @@ def citation_metrics(answers: DataFrame, sources: DataFrame, expected: DataFrame
     named = cited.join(sources.select("query_id", F.col("source_number").cast("bigint"), "paper"), ["query_id", "source_number"])
     right = named.join(truth, ["query_id", "paper"], "left_semi")
     n_cited = cited.groupBy("query_id").agg(F.count("*").alias("n_cited"))
-    n_right = right.groupBy("query_id").agg(F.count("*").alias("n_right"), F.count_distinct("paper").alias("n_papers"))
+    wide = truth if acceptable is None else truth.unionByName(acceptable.select("query_id", "paper")).distinct()
+    fine = named.join(wide, ["query_id", "paper"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n_right"))
+    found = right.groupBy("query_id").agg(F.count_distinct("paper").alias("n_papers"))
+    n_right = fine.join(found, "query_id", "left")
     n_truth = truth.groupBy("query_id").agg(F.count("*").alias("n_truth"))
     n_sources = sources.groupBy("query_id").agg(F.count("*").alias("n_sources"))
     out = answers.select(

@@ -108,8 +108,9 @@ def histogram(events: DataFrame, value: str, bounds: list[float], by: list[str |
     return counted.select(*names, F.explode(F.array(*pairs)).alias("b")).select(*names, "b.le", "b.n")
 
 
-def histogram_quantile(events: DataFrame, value: str, bounds: list[float], by: list[str | Column], p: float) -> DataFrame:
-    """Linear interpolation inside the first cumulative bucket that reaches ``p`` of the rows.
+def histogram_quantiles(events: DataFrame, value: str, bounds: list[float], by: list[str | Column], points: list[float]) -> DataFrame:
+    """``..., n`` and a column ``p50`` (and so on) per point: linear interpolation inside the first
+    cumulative bucket that reaches that share of the rows, all from one aggregation.
 
     Above the last finite bound the last finite bound is returned.
     """
@@ -117,16 +118,19 @@ def histogram_quantile(events: DataFrame, value: str, bounds: list[float], by: l
     counted = events.groupBy(*by).agg(
         *[F.count_if(F.col(value) <= b).alias(n) for n, b in zip(names, bounds)], F.count("*").alias("b_all")
     )
-    target = F.lit(p) * F.col("b_all")
-    result = F.lit(float(bounds[-1]))
-    for i in range(len(bounds) - 1, -1, -1):
-        low = F.lit(float(bounds[i - 1])) if i else F.lit(0.0)
-        below = F.col(names[i - 1]) if i else F.lit(0)
-        inside = F.col(names[i]) - below
-        step = F.when(inside > 0, (target - below) / F.greatest(inside, F.lit(1))).otherwise(F.lit(1.0))
-        result = F.when(F.col(names[i]) >= target, low + (F.lit(float(bounds[i])) - low) * step).otherwise(result)
+
+    def quantile(p: float) -> Column:
+        target, result = F.lit(p) * F.col("b_all"), F.lit(float(bounds[-1]))
+        for i in range(len(bounds) - 1, -1, -1):
+            low = F.lit(float(bounds[i - 1])) if i else F.lit(0.0)
+            below = F.col(names[i - 1]) if i else F.lit(0)
+            inside = F.col(names[i]) - below
+            step = F.when(inside > 0, (target - below) / F.greatest(inside, F.lit(1))).otherwise(F.lit(1.0))
+            result = F.when(F.col(names[i]) >= target, low + (F.lit(float(bounds[i])) - low) * step).otherwise(result)
+        return result
+
     keys = [c for c in counted.columns if c not in (*names, "b_all")]
-    return counted.select(*keys, F.col("b_all").alias("n"), result.alias("quantile"))
+    return counted.select(*keys, F.col("b_all").alias("n"), *[quantile(p).alias(f"p{round(p * 100)}") for p in points])
 
 
 def sliding_counts(events: DataFrame, ts: str, by: list[str], window_s: int = 300, step_s: int = 15) -> DataFrame:
