@@ -36,7 +36,7 @@ def test_rolling_percentiles_across_segments(spark, monkeypatch):
 
 def test_histogram_quantile_interpolates(spark):
     frame = spark.createDataFrame([(v,) for v in (0.05, 0.2, 0.3, 0.4, 99.0)], "value double")
-    q = lambda p: M.histogram_quantile(frame, "value", [0.1, 0.5, 1.0], [F.lit(1).alias("k")], p).first()["quantile"]
+    q = lambda p: M.histogram_quantiles(frame, "value", [0.1, 0.5, 1.0], [F.lit(1).alias("k")], [p]).first()[f"p{round(p * 100)}"]
     assert abs(q(0.5) - (0.1 + 0.4 * (2.5 - 1) / 3)) < 1e-12 and q(0.99) == 1.0 and abs(q(0.1) - 0.05) < 1e-12
 
 
@@ -93,3 +93,18 @@ def test_registry_is_consistent(spark, folder):
     queries, oracles = entry_point.queries(), entry_point.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 150
     assert entry_point.entry(spark).limit(1).count() == 1
+
+
+def test_streams_keep_late_events_over_many_triggers(spark, tmp_path):
+    rows = events(600)
+    folder = tmp_path / "in"
+    for part in (2, 0, 1):  # files out of time order, one a trigger
+        spark.createDataFrame(rows[part * 200 : (part + 1) * 200], SCHEMA).coalesce(1).write.mode("append").parquet(str(folder))
+    whole = spark.createDataFrame(rows, SCHEMA)
+    streamed = S.stream_rate(spark, str(folder), home=str(tmp_path / "rate"), pattern="*.parquet", per_trigger=1)
+    batch = M.rate(whole, "ts", ["event_type"])
+    assert sorted(map(tuple, streamed.select("start", "event_type", "n").collect())) == sorted(map(tuple, batch.select("start", "event_type", "n").collect()))
+    ring = S.stream_ring(spark, str(folder), 20, home=str(tmp_path / "ring"), pattern="*.parquet", per_trigger=1)
+    want = M.ring_buffer(whole, "event_type", [F.col("ts").desc(), F.col("event_id").desc()], 20)
+    assert sorted(r.event_id for r in ring.collect()) == sorted(r.event_id for r in want.collect())
+    assert len([p for p in (tmp_path / "ring").iterdir() if p.name.startswith("ring-")]) <= 2
