@@ -46,8 +46,9 @@ def boilerplate(lines: DataFrame, min_sites: int = 10, band: float = 0.3, lg_siz
     spread = spread.where(F.col("_sites") >= min_sites * (1 - band))
     near = F.col("_sites") <= min_sites * (1 + band)
     clear = spread.where(~near)
-    counted = lines.join(spread.where(near).select("_line"), "_line", "left_semi").groupBy("_line", "_site").agg(F.min("_id").alias("_first"))
-    exact = counted.groupBy("_line").agg(F.min("_first").alias("_first"), F.count("*").alias("_sites"))
+    # A line that is everywhere is a row per site before it meets anything.
+    counted = lines.groupBy("_line", "_site").agg(F.min("_id").alias("_first"))
+    exact = counted.join(spread.where(near).select("_line"), "_line", "left_semi").groupBy("_line").agg(F.min("_first").alias("_first"), F.count("*").alias("_sites"))
     return clear.unionByName(exact.where(F.col("_sites") >= min_sites))
 
 
