@@ -17,7 +17,7 @@ from quarrylight.session import settle
 
 HASHES, BANDS, STEP = 128, 32, 16
 #: Members of a bucket or component that one task compares with as many others.
-BLOCK = 512
+BLOCK = 256
 _DRAW = np.random.default_rng(11)
 FACTORS = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _DRAW.integers(0, 1 << 63, HASHES, dtype=np.uint64)
