@@ -163,18 +163,21 @@ CLAIMS = (
 )
 
 
+# Openings with and without marks and claims, so that densities and counts differ.
+TOLD = ["", "It holds [Source 1]. ", "The model has 12 layers in its architecture. ", "The model has 12 layers in its architecture [Source 2]. And [3] says so. "]
+
+
 @query(
     "citation_density_claims",
-    rf"""WITH {P.EXCHANGES} SELECT query_id,
+    rf"""WITH {P.EXCHANGES}, told AS (SELECT query_id, {P.led_sql('query_id', TOLD, 'answer')} AS answer FROM exchanges) SELECT query_id,
       round(CASE WHEN len(s) > 0 THEN len(regexp_extract_all(answer, '\[Source\s+\d+\]|\[\d{{1,2}}\]')) / len(s) ELSE 0.0 END, 6) AS density,
       {CLAIMS.format(s='s', number=P.lit(V.CLAIM_NUMBER), term=P.lit(V.CLAIM_TERM))}::BIGINT AS unsupported_claims
-    FROM (SELECT query_id, answer, {P.sentences("answer")} AS s FROM exchanges)""",
+    FROM (SELECT query_id, answer, {P.sentences("answer")} AS s FROM told)""",
 )
 def citation_density_claims(t):
+    answer = P.led(F.col("query_id"), TOLD, F.col("answer"))
     return t.exchanges().select(
-        "query_id",
-        F.round(T.citation_density(F.col("answer")), 6).alias("density"),
-        T.unsupported_claims(F.col("answer")).cast("bigint").alias("unsupported_claims"),
+        "query_id", F.round(T.citation_density(answer), 6).alias("density"), T.unsupported_claims(answer).cast("bigint").alias("unsupported_claims")
     )
 
 
@@ -237,18 +240,21 @@ FOCUS = [
     for p in (r"what\s+(?:specific|particular|exact)", r"how\s+much", r"how\s+many")
 ]
 SKIP = P.words(V.ALIGNMENT_SKIP)
+# Questions with a focus, with one that does not count, and without; answers that meet it or not.
+ASKED_FOR = ["", "What specific accuracy was reached? ", "How many layers are there? ", "How much data is it? "]
+REPLIED = ["", "The accuracy is high. ", "It has a layer. "]
 
 
 @query(
     "answer_alignment",
-    f"""WITH {P.EXCHANGES}, f AS (SELECT query_id, lower(answer) AS a, [{", ".join(FOCUS)}] AS words FROM exchanges),
+    f"""WITH {P.EXCHANGES}, led AS (SELECT query_id, {P.led_sql('query_id', ASKED_FOR, 'question')} AS question, {P.led_sql('query_id // 2', REPLIED, 'answer')} AS answer FROM exchanges),
+    f AS (SELECT query_id, lower(answer) AS a, [{", ".join(FOCUS)}] AS words FROM led),
     u AS (SELECT query_id, a, list_filter(words, lambda w: w <> '' AND NOT list_contains({SKIP}, w)) AS words FROM f)
     SELECT query_id, words[1] AS focus, len(list_filter(words, lambda w: NOT contains(a, w) AND NOT contains(a, {P.stem("w")}))) > 0 AS tangential FROM u""",
 )
 def answer_alignment(t):
-    return t.exchanges().select(
-        "query_id", T.alignment_focus(F.col("question")).alias("focus"), T.misses_focus(F.col("question"), F.col("answer")).alias("tangential")
-    )
+    question, answer = P.led(F.col("query_id"), ASKED_FOR, F.col("question")), P.led(F.floor(F.col("query_id") / 2), REPLIED, F.col("answer"))
+    return t.exchanges().select("query_id", T.alignment_focus(question).alias("focus"), T.misses_focus(question, answer).alias("tangential"))
 
 
 # -------------------------------------------------------------- faithfulness

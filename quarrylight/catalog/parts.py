@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from quarrylight.functions import vocab as V
 
 
@@ -129,3 +132,12 @@ def top(name: str, source: str, k: int, key: str = "chunk_id", where: str = "TRU
         f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
         f"ORDER BY score DESC, {key}) AS rank FROM {source} WHERE {where}) WHERE rank <= {k})"
     )
+
+
+def led_sql(key: str, leads: list[str], text: str) -> str:
+    """SQL: the text behind one of the leads, chosen by a key, so that every kind of text occurs."""
+    return f"([{', '.join(map(lit, leads))}])[{key} % {len(leads)} + 1] || {text}"
+
+
+def led(key: Column, leads: list[str], text: Column) -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, leads)), (F.pmod(key, F.lit(len(leads))) + 1).cast("int")), text)

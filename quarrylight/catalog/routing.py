@@ -52,7 +52,12 @@ MULTI_DOC = (
     f"({P.any_of('question', V.MULTI_DOC_WORDS)} OR regexp_matches(question, '[\\p{{L}}\\p{{N}}_],\\s*[\\p{{L}}\\p{{N}}_]') "
     "OR (contains(lower(question), ' and ') AND NOT starts_with(lower(question), 'what is')))"
 )
-USER_TURNS = "turns AS (SELECT conv_id, turn, role, text AS question FROM conversations)"
+# Openings that bring about every class; turns of the last kind are nothing but the opening.
+LEADS = [
+    "", "What is the transformer? ", "latest state of the art ", "Compare BERT and GPT: ", V.OPINION_PHRASES[0] + " about ", V.REFUSAL_PHRASES[0] + " ",
+    V.ABSTRACT_WORDS[0] + " ", "What is attention, latest? ", "Hello!",
+]
+USER_TURNS = f"turns AS (SELECT conv_id, turn, role, {P.led_sql('(conv_id + turn)', LEADS, f'CASE WHEN (conv_id + turn) % {len(LEADS)} = {len(LEADS) - 1} THEN {P.lit("")} ELSE text END')} AS question FROM conversations)"
 
 
 @query(
@@ -66,7 +71,8 @@ USER_TURNS = "turns AS (SELECT conv_id, turn, role, text AS question FROM conver
       OR length(regexp_replace(lower({P.strip('question')}), '[!?.,]+$', '')) < 3 AS casual FROM turns""",
 )
 def query_predicates(t):
-    q = F.col("text")
+    key = F.col("conv_id") + F.col("turn")
+    q = P.led(key, LEADS, F.when(key % len(LEADS) == len(LEADS) - 1, "").otherwise(F.col("text")))
     return t.conversations.select(
         "conv_id",
         "turn",
