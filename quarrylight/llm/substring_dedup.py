@@ -4,13 +4,14 @@ Only suffixes that can matter are sorted. Every string of ``LENGTH`` bytes holds
 gram of ``GRAM`` bytes with the smallest hash in it, wherever it occurs; so equal strings have equal
 anchors at equal places, and the strings (windows) of one anchor are a run. Runs that are equal as a
 whole are settled by their first document. Where only part of a run can be equal, at the borders of
-repeated passages, the suffixes at each of its windows go into the suffix array: range-partitioned
-by sampled splitters, each bucket sorted by multikey quicksort, neighbours compared.
+repeated passages, the suffix at its anchor goes into the suffix array: range-partitioned by sampled
+splitters, each bucket sorted by multikey quicksort, neighbours compared, also across buckets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +24,15 @@ from quarrylight.session import settle
 
 LENGTH, GRAM = 50, 16
 WINDOW = LENGTH - GRAM + 1
-SIDE = (LENGTH - GRAM) // 2
+#: Lengths of the bytes on either side of a gram whose hashes a run carries, with the bits of each.
+SIDES = ((3, 12), (9, 10), (17, 10))
+#: Rows that are compared together.
+ROWS = 1 << 16
 #: Bytes of one piece of a long text, and of the pieces that are hashed together.
 PIECE, TOGETHER = 1 << 20, 1 << 20
 BASE = 0x9E3779B97F4A7C15
-#: A place packs start, tag of the text, hashes of both sides and length of the run.
-TAG_BITS, SIDE_BITS, RUN_BITS = 10, 8, 6
+#: A place packs start, tag of the text and length of the run.
+TAG_BITS, RUN_BITS = 10, 6
 LAST = (1 << 63) - 1
 #: The multikey quicksort leaves parts of this many rows to a plain sort by all words left.
 LEAF = 1024
@@ -98,11 +102,11 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """All runs: the text's number, start, length, gram hash, hash of the run's bytes, hashes of both sides.
+    """All runs: the text's number, start, length, gram hash, hash of the run's bytes, packed hashes of both sides.
 
     The low six bits of a run's hash are the place of its anchor.
     """
-    found = {k: [] for k in ("owner", "start", "run", "gram", "whole", "left", "right")}
+    found = {k: [] for k in ("owner", "start", "run", "gram", "whole", "sides")}
     for data, owner, offset, sizes in pieces(texts):
         rolling = Rolling(data)
         grams = rolling.grams(GRAM)
@@ -123,27 +127,34 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
         found["gram"].append(grams[anchor])
         whole = rolling.between(start, end) ^ mixed((run * 64 + anchor - start).astype(np.uint64))
         found["whole"].append(whole & ~np.uint64(63) | (anchor - start).astype(np.uint64))
-        for side, a, b in (("left", anchor - SIDE, anchor), ("right", anchor + GRAM, anchor + GRAM + SIDE)):
-            there = (a >= first[piece]) & (b <= first[piece] + sizes[piece])
-            hashed = rolling.between(np.where(there, a, 0), np.where(there, b, 0)) % np.uint64((1 << SIDE_BITS) - 1) + np.uint64(1)
-            found[side].append(np.where(there, hashed, np.uint64(0)))
+        sides = np.zeros(len(start), np.uint64)
+        for length, bits in SIDES:
+            for a, b in ((anchor - length, anchor), (anchor + GRAM, anchor + GRAM + length)):
+                there = (a >= first[piece]) & (b <= first[piece] + sizes[piece])
+                hashed = rolling.between(np.where(there, a, 0), np.where(there, b, 0)) % np.uint64((1 << bits) - 1) + np.uint64(1)
+                sides = sides << np.uint64(bits) | np.where(there, hashed, np.uint64(0))
+        found["sides"].append(sides)
     return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
 
 
-def place_of(start: np.ndarray, tag: np.ndarray, left: np.ndarray, right: np.ndarray, run: np.ndarray) -> np.ndarray:
-    packed = start.astype(np.int64)
-    for value, bits in ((tag, TAG_BITS), (left, SIDE_BITS), (right, SIDE_BITS), (run, RUN_BITS)):
-        packed = packed << bits | value.astype(np.int64)
-    return packed
+def place_of(start: np.ndarray, tag: np.ndarray, run: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << TAG_BITS | tag.astype(np.int64)) << RUN_BITS | run.astype(np.int64)
 
 
-def place_parts(place: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Start, tag, left, right and run of packed places."""
-    out = []
-    for bits in (RUN_BITS, SIDE_BITS, SIDE_BITS, TAG_BITS):
-        out.append(place & ((1 << bits) - 1))
-        place = place >> bits
-    return (place, *out[::-1])
+def place_parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, tag and run of packed places."""
+    return place >> (TAG_BITS + RUN_BITS), place >> RUN_BITS & ((1 << TAG_BITS) - 1), place & ((1 << RUN_BITS) - 1)
+
+
+def side_hashes(packed: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Left and right hash of each length in ``SIDES``; 0 where the text does not reach that far."""
+    out, low = [], packed.view(np.uint64)
+    for _, bits in reversed(SIDES):
+        mask = np.uint64((1 << bits) - 1)
+        right, left = low & mask, low >> np.uint64(bits) & mask
+        out.append((left, right))
+        low = low >> np.uint64(2 * bits)
+    return out[::-1]
 
 
 def earlier_here(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -161,6 +172,12 @@ def earlier_here(doc: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 SPANS = "_doc long, _tag int, _start long, _end long"
 
 
+def spans_batch(columns: list[np.ndarray], last) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    told = [pa.array(c).cast(kind) for c, kind in zip(columns, kinds, strict=True)]
+    return pa.record_batch([*told, last(len(told[0]), pa.int64())], names=["_doc", "_tag", "_start", "_end", "_anchor"])
+
+
 def joined_spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Spans with those that touch made one."""
     if not len(doc):
@@ -177,8 +194,11 @@ def joined_spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.nd
     return [doc[first], tag[first], start[first], reach[last] - group[last] * stride]
 
 
+COLUMNS = ["_gram", "_whole", "_doc", "_place", "_sides"]
+
+
 def run_rows(docs: DataFrame) -> DataFrame:
-    """``_gram, _whole, _doc, _place`` of all runs.
+    """``_gram, _whole, _doc, _place, _sides`` of all runs.
 
     Of equal runs a batch tells only those of its first document, so a passage that every document
     has is a row or two per batch. The others are spans already: their place is negative, ``_whole``
@@ -193,20 +213,23 @@ def run_rows(docs: DataFrame) -> DataFrame:
             settled = earlier_here(doc, whole)
             *at, end = joined_spans(doc[settled], tag[settled], found["start"][settled], (found["start"] + found["run"] - 1 + LENGTH)[settled])
             none = np.zeros(len(end), np.int64)
-            place = place_of(*(x[~settled] for x in (found["start"], tag, found["left"], found["right"], found["run"])))
+            place = place_of(*(x[~settled] for x in (found["start"], tag, found["run"])))
             columns = [
                 (np.concatenate([gram[~settled], mixed((at[0] + at[2]).astype(np.uint64))]) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 np.concatenate([whole[~settled], end]),
                 np.concatenate([doc[~settled], at[0]]),
-                np.concatenate([place, -1 - place_of(at[2], at[1], none, none, none)]),
+                np.concatenate([place, -1 - place_of(at[2], at[1], none)]),
+                np.concatenate([found["sides"][~settled].astype(np.uint64).view(np.int64), none]),
             ]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["_gram", "_whole", "_doc", "_place"])
+            yield pa.record_batch([pa.array(c) for c in columns], names=COLUMNS)
 
-    return docs.mapInArrow(run, "_gram int, _whole long, _doc long, _place long")
+    return docs.mapInArrow(run, "_gram int, _whole long, _doc long, _place long, _sides long")
 
 
 def compared_runs(rows: DataFrame, width: int) -> DataFrame:
-    """Spans (``_open`` false) of runs that an earlier document has whole, and runs that may be so in part.
+    """Spans of runs that an earlier document has whole, and runs that may be so in part (with ``_anchor``).
+
+    Of the latter start and end are those of the windows, and the anchor is the place of the gram.
 
     Rows arrive by gram, then run, then document. A run's rows after its first document are spans.
     Of grams with one kind of run nothing else is left; of the others the first document's runs are
@@ -214,35 +237,21 @@ def compared_runs(rows: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)  # first-document rows of the last run, while its gram has no other
+        held = np.zeros((0, 5), np.int64)  # first-document rows of the last run, while its gram has no other
         last, several = None, False  # gram, run and first document seen last; whether its gram has told rows
 
-        def told(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray, is_open: bool) -> pa.RecordBatch:
-            columns = [doc, tag, start, end] if is_open else joined_spans(doc, tag, start, end)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-            told = [pa.array(c).cast(kind) for c, kind in zip(columns, kinds, strict=True)]
-            return pa.record_batch([*told, pa.array([is_open] * len(columns[0]), pa.bool_())], names=["_doc", "_tag", "_start", "_end", "_open"])
-
-        def runs_told(rows: np.ndarray, is_open: bool) -> pa.RecordBatch:
-            start, tag, _, _, run = place_parts(rows[:, 3])
-            return told(rows[:, 2], tag, start, start + run - 1 + LENGTH, is_open)
-
-        def narrowed(rows: np.ndarray, by_left: np.ndarray, by_right: np.ndarray) -> np.ndarray:
-            """Open rows with only the windows that a run with the same left or right side can share."""
-            start, tag, left, right, run = place_parts(rows[:, 3])
-            anchor = start + (rows[:, 1] & 63)
-            low = np.where(by_left, start, np.maximum(start, anchor - SIDE + 1))
-            high = np.where(by_right, start + run, np.minimum(start + run, anchor - SIDE))
-            out = rows.copy()
-            out[:, 3] = place_of(low, tag, left, right, np.maximum(high - low, 0))
-            return out[high > low]
+        def told(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+            return spans_batch(joined_spans(doc, tag, start, end), pa.nulls)
 
-        for batch in batches:
-            rows = np.column_stack([batch.column(n).to_numpy().astype(np.int64) for n in ("_gram", "_whole", "_doc", "_place")])
+        def open_told(rows: np.ndarray) -> pa.RecordBatch:
+            start, tag, run = place_parts(rows[:, 3])
+            return spans_batch([rows[:, 2], tag, start, start + run], lambda n, kind: pa.array(start + (rows[:, 1] & 63), kind))
+
+        for rows in row_blocks(batches):
             settled = rows[rows[:, 3] < 0]
             if len(settled):
-                start, tag, *_ = place_parts(-1 - settled[:, 3])
-                yield told(settled[:, 2], tag, start, settled[:, 1], False)
+                start, tag, _ = place_parts(-1 - settled[:, 3])
+                yield told(settled[:, 2], tag, start, settled[:, 1])
             rows = rows[rows[:, 3] >= 0]
             if not len(rows):
                 continue
@@ -254,7 +263,8 @@ def compared_runs(rows: DataFrame, width: int) -> DataFrame:
             lowest = np.where(first >= 0, rows[np.maximum(first, 0), 2], before[0, 2])
             spans = rows[rows[:, 2] > lowest]
             if len(spans):
-                yield runs_told(spans, False)
+                start, tag, run = place_parts(spans[:, 3])
+                yield told(spans[:, 2], tag, start, start + run - 1 + LENGTH)
             gram = np.cumsum(gram_new)  # 0: the gram of the batch before
             kinds = np.bincount(gram[run_new], minlength=gram[-1] + 1)
             opening = rows[:, 2] == lowest
@@ -274,82 +284,121 @@ def compared_runs(rows: DataFrame, width: int) -> DataFrame:
                 mine, of = mine[inner], of[inner]
                 ends = of == gram[-1]
                 more = kinds[of] > 1
-                # Two runs of a gram share a window only if they agree on one side of it.
-                _, _, left, right, _ = place_parts(mine[:, 3])
                 kind = np.cumsum(run_new)[opening][inner]
-                by_left, by_right = shared(of, left, kind) | ends, shared(of, right, kind) | ends
-                out.append(narrowed(mine[more], by_left[more], by_right[more]))
+                out.append(shareable(mine[more], of[more], kind[more], ends[more]))
                 if kinds[gram[-1]] > 1:
                     several = True
                 else:
                     held = mine[ends]
             out = np.concatenate(out) if out else held[:0]
             if len(out):
-                yield runs_told(out, True)
+                yield open_told(out)
             last = (rows[-1, 0], rows[-1, 1], lowest[-1])
 
     rows = rows.repartition(width, "_gram").sortWithinPartitions("_gram", "_whole", "_doc")
-    return rows.mapInArrow(run, SPANS + ", _open boolean")
+    return rows.mapInArrow(run, SPANS + ", _anchor long")
 
 
-def shared(gram: np.ndarray, side: np.ndarray, kind: np.ndarray) -> np.ndarray:
+def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The sorted rows as arrays of ``ROWS`` rows or so, however they were sent."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(np.column_stack([batch.column(n).to_numpy().astype(np.int64) for n in COLUMNS]))
+        size += len(held[-1])
+        if size >= ROWS:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def shareable(rows: np.ndarray, gram: np.ndarray, kind: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Open rows with only the windows that another kind of run of their gram can share.
+
+    The bytes a window has to the left of the gram must stand there in the other run as well, and
+    so on the right. A side that no other run agrees with at some length is shared over fewer bytes
+    than that. Rows in ``whole`` keep all windows, as not all runs of their gram are here.
+    """
+    start, tag, run = place_parts(rows[:, 3])
+    anchor = start + (rows[:, 1] & 63)
+    reach = [np.full(len(rows), LENGTH - GRAM) for _ in range(2)]
+    for (length, bits), hashes in zip(reversed(SIDES), reversed(side_hashes(rows[:, 4].copy())), strict=True):
+        for side, hashed in enumerate(hashes):
+            reach[side] = np.where(shared(gram, hashed.astype(np.int64), kind, bits), reach[side], length - 1)
+    left, right = (np.where(whole, LENGTH - GRAM, r) for r in reach)
+    low, high = np.maximum(start, anchor - left), np.minimum(start + run, anchor - (LENGTH - GRAM) + right + 1)
+    out = rows.copy()
+    out[:, 3] = place_of(low, tag, np.maximum(high - low, 0))
+    out[:, 1] = (rows[:, 1] & ~np.int64(63)) | (anchor - low)
+    return out[high > low]
+
+
+def shared(gram: np.ndarray, side: np.ndarray, kind: np.ndarray, bits: int) -> np.ndarray:
     """Rows whose side (not 0) another kind of run of the same gram has."""
-    key = gram.astype(np.int64) << SIDE_BITS | side
+    key = gram.astype(np.int64) << bits | side
     order = np.lexsort((kind, key))
     k, v = key[order], kind[order]
-    fresh = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    fresh = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     ends = np.append(fresh[1:], len(k)) - 1
     out = np.empty(len(key), bool)
-    out[order] = np.repeat(v[fresh] != v[ends], ends - fresh + 1)
+    out[order] = np.repeat(v[fresh] != v[ends], ends - fresh + 1) if len(k) else False
     return out & (side > 0)
 
 
 def suffix_rows(open_docs: DataFrame) -> DataFrame:
-    """``_suffix, _doc, _tag, _starts`` for every window of the open runs, one row per text for equal ones.
+    """The suffixes at the anchors of the open runs: ``_suffix`` from the gram on, ``_left`` before it.
 
-    Of equal windows a batch tells only those of its first document. The others are settled: in
-    place of a suffix they have a few bytes that only spread them.
+    ``_low`` and ``_high`` bound how far left of the gram the run's windows start. Runs of one text
+    that agree in all of this are one row with the places of their anchors, ``_at``. Bytes beyond
+    the text are 0; no window of the row reaches them.
     """
-    names, lists = ["_suffix", "_doc", "_tag", "_starts"], pa.list_(pa.int64())
+    names, lists = ["_suffix", "_left", "_low", "_high", "_doc", "_tag", "_at"], pa.list_(pa.int64())
+    before = LENGTH - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 2 << 20):
             texts = batch.column("_text").cast(pa.large_binary())
             sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
-            data, base = np.frombuffer(b"".join(texts.to_pylist()), np.uint8), np.cumsum(sizes) - sizes
+            edge = b"\0" * LENGTH
+            data = np.frombuffer(edge + edge.join(texts.to_pylist()) + edge, np.uint8)
+            base = np.cumsum(sizes + LENGTH) - sizes
             owner, runs = pc.list_parent_indices(batch.column("_runs")).to_numpy(), batch.column("_runs").flatten()
-            low, high = (runs.field(n).to_numpy() for n in ("_start", "_end"))
+            start, end, anchor = (runs.field(n).to_numpy() for n in ("_start", "_end", "_anchor"))
             # Texts whose tags agree by chance share a list, so a place may lie behind the end.
-            high = np.minimum(high, sizes[owner]) - LENGTH + 1
-            owner, low, high = (x[high > low] for x in (owner, low, high))
-            counts = high - low
-            at = np.unique(np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low + base[owner], counts))
-            if not len(at):
+            end = np.minimum(end, sizes[owner] - LENGTH + 1)
+            owner, start, end, anchor = (x[(end > start) & (anchor >= start)] for x in (owner, start, end, anchor))
+            if not len(owner):
                 continue
-            owner = np.searchsorted(base, at, side="right") - 1
-            window = Rolling(data).between(at, at + LENGTH)
-            doc, tag = (batch.column(n).to_numpy()[owner] for n in ("_doc", "_tag"))
-            order = np.lexsort((at, owner, window))
-            fresh = np.flatnonzero(np.concatenate([[True], (window[order][1:] != window[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
+            at = base[owner] + anchor
+            low, high = anchor - end + 1, anchor - start
+            around = Rolling(data).between(at - before, at + LENGTH) ^ mixed((low * 64 + high).astype(np.uint64))
+            order = np.lexsort((anchor, owner, around))
+            fresh = np.flatnonzero(np.concatenate([[True], (around[order][1:] != around[order][:-1]) | (owner[order][1:] != owner[order][:-1])]))
             first = order[fresh]
-            starts = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(order)).astype(np.int32)), pa.array((at - base[owner])[order]))
-            settled = earlier_here(doc[first], window[first])
-            suffix = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[first[~settled]]]
-            for which, bytes_ in ((~settled, suffix), (settled, mixed(at[first[settled]].astype(np.uint64)).view(np.uint8).reshape(-1, 8))):
-                some = first[which]
-                told = pa.FixedSizeBinaryArray.from_buffers(pa.binary(bytes_.shape[1]), len(some), [None, pa.py_buffer(np.ascontiguousarray(bytes_))]).cast(pa.binary())
-                yield pa.record_batch([told, pa.array(doc[some], pa.int64()), pa.array(tag[some], pa.int32()), starts.filter(pa.array(which)).cast(lists)], names=names)
+            view = np.lib.stride_tricks.sliding_window_view
+            pieces_ = [np.ascontiguousarray(view(data, LENGTH)[at[first]]), np.ascontiguousarray(view(data, before)[at[first] - before])]
+            sent = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x)]).cast(pa.binary()) for x in pieces_]
+            numbers = [pa.array(x[first], pa.int32()) for x in (low, high)]
+            doc, tag = (batch.column(n).to_numpy()[owner[first]] for n in ("_doc", "_tag"))
+            places = pa.ListArray.from_arrays(pa.array(np.append(fresh, len(order)).astype(np.int32)), pa.array(anchor[order]))
+            yield pa.record_batch([*sent, *numbers, pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), places.cast(lists)], names=names)
 
-    return open_docs.mapInArrow(run, "_suffix binary, _doc long, _tag int, _starts array<long>")
+    return open_docs.mapInArrow(run, "_suffix binary, _left binary, _low int, _high int, _doc long, _tag int, _at array<long>")
 
 
-def as_words(suffix: np.ndarray) -> np.ndarray:
+def as_words(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of big-endian words: the characters of the multikey quicksort."""
-    padded = np.zeros((len(suffix), -(-LENGTH // 8) * 8), np.uint8)
-    padded[:, :LENGTH] = suffix
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
     return padded.view(">u8").astype(np.uint64)
 
 
+def common_prefixes(rows: np.ndarray) -> np.ndarray:
+    """Bytes that each row but the first shares with the row before."""
+    equal = rows[1:] == rows[:-1]
+    return np.where(equal.all(axis=1), rows.shape[1], equal.argmin(axis=1))
+
+
 def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     """Order of the rows: three-way partition on one word, and on to the next word for the equal part."""
     order, todo, done = np.arange(len(words)), [(0, len(words), 0)], words.shape[1]
@@ -371,35 +420,69 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
 
 
 def sorted_buckets(suffixes: DataFrame, width: int) -> DataFrame:
-    """Spans of windows that an earlier document has, from the sorted suffixes.
-
-    Spark samples the splitters. They are whole windows, so equal windows are never on two sides of
-    one and a bucket has all neighbours that can match. Equal windows are one row per batch of the
-    step before and document, so a bucket holds few rows of one window.
+    """Spans of windows that an earlier document has, and windows left to compare across buckets.
+
+    Spark samples the splitters of the range partitioning (salted, so that a suffix that very many
+    texts share is cut as well). A bucket is sorted by multikey quicksort and neighbours are
+    compared: windows that start ``a`` bytes left of the gram are equal where suffixes share
+    ``LENGTH - a`` bytes and the ``a`` bytes before them. What shares that much with the first or
+    last suffix of a bucket may go on in the next one: there the windows of the first document come
+    back with their bytes in ``_window``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = list(batches)
-        if not sent:
+        if not sent or not sum(b.num_rows for b in sent):
             return
         table = pa.Table.from_batches(sent).combine_chunks()
-        real = pc.equal(pc.binary_length(table["_suffix"]), LENGTH)
-        before, table = table.filter(pc.invert(real)), table.filter(real).combine_chunks()
-        doc, tag = (table[n].to_numpy() for n in ("_doc", "_tag"))
-        data = b"".join(table["_suffix"].to_pylist())
-        words = as_words(np.frombuffer(data, np.uint8).reshape(-1, LENGTH))
-        order = multikey_quicksort(words)
-        fresh = np.flatnonzero(np.concatenate([[True], (words[order][1:] != words[order][:-1]).any(axis=1)])) if len(order) else order
-        lowest = np.repeat(np.minimum.reduceat(doc[order], fresh), np.diff(np.append(fresh, len(order)))) if len(order) else order
-        late = pa.array(np.sort(order[doc[order] > lowest]))
-        taken = pa.concat_tables([table.take(late), before]).combine_chunks()
-        row, start = (f(taken["_starts"].combine_chunks()).to_numpy() for f in (pc.list_parent_indices, pc.list_flatten))
-        doc, tag = taken["_doc"].to_numpy()[row], taken["_tag"].to_numpy()[row]
-        spans = joined_spans(doc, tag, start, start + LENGTH)
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array(c).cast(kind) for c, kind in zip(spans, kinds, strict=True)], names=["_doc", "_tag", "_start", "_end"])
-
-    return suffixes.repartitionByRange(width, "_suffix").mapInArrow(run, SPANS)
+        suffix, left = (np.frombuffer(b"".join(table[n].to_pylist()), np.uint8).reshape(len(table), -1) for n in ("_suffix", "_left"))
+        order = multikey_quicksort(as_words(suffix))
+        suffix, left = suffix[order], left[order]
+        doc, tag, low, high = (table[n].to_numpy()[order] for n in ("_doc", "_tag", "_low", "_high"))
+        places = table["_at"].combine_chunks().take(pa.array(order))
+        row, place = pc.list_parent_indices(places).to_numpy(), pc.list_flatten(places).to_numpy()
+        first = np.searchsorted(row, np.arange(len(order)))
+        many = np.append(first[1:], len(row)) - first
+        together = common_prefixes(suffix)
+        before = np.zeros(len(order), np.uint64)  # hash of the a bytes before the gram
+        found, cross = [], []
+        for a in range(LENGTH - GRAM + 1):
+            if a:
+                before = (before + left[:, -a].astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+            here = np.flatnonzero((low <= a) & (a <= high))
+            if not len(here):
+                continue
+            group = np.concatenate([[0], np.cumsum(together < LENGTH - a)])
+            late = earlier_here(doc[here], before[here], group[here])
+            at_edge = (group[here] == 0) | (group[here] == group[-1])
+            for which, into in ((here[late], found), (here[~late & at_edge], cross)):
+                n = many[which]
+                at = np.repeat(first[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                into.append((row[at], place[at] - a, np.full(len(at), a)))
+        for pieces_, windows in ((found, False), (cross, True)):
+            if not pieces_:
+                continue
+            at, start, a = (np.concatenate(x) for x in zip(*pieces_, strict=True))
+            if windows:
+                both = np.concatenate([left[at], suffix[at]], axis=1)
+                index = (LENGTH - GRAM - a)[:, None] + np.arange(LENGTH)
+                bytes_ = np.ascontiguousarray(np.take_along_axis(both, index, axis=1))
+                told = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(bytes_)]).cast(pa.binary())
+                columns = [doc[at], tag[at], start, start + LENGTH]
+            else:
+                columns = joined_spans(doc[at], tag[at], start, start + LENGTH)
+                told = pa.nulls(len(columns[0]), pa.binary())
+            batch = spans_batch(columns, pa.nulls)
+            yield pa.record_batch([*batch.columns[:4], told], names=["_doc", "_tag", "_start", "_end", "_window"])
+
+    salted = suffixes.repartitionByRange(width, "_suffix", F.xxhash64("_doc", "_left"))
+    return salted.mapInArrow(run, SPANS + ", _window binary")
+
+
+def across_buckets(windows: DataFrame) -> DataFrame:
+    """Spans of the windows that an earlier document has in another bucket."""
+    lowest = windows.groupBy("_window").agg(F.min("_doc").alias("_lowest"))
+    return windows.join(lowest, "_window").where("_doc > _lowest").select("_doc", "_tag", "_start", "_end")
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,12 +498,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = pick(df, id_col, text_col)
     rows = rows.select(F.coalesce("_id", F.lit(LAST)).alias("_doc"), F.pmod(F.xxhash64("_text"), F.lit(1 << TAG_BITS)).cast("int").alias("_tag"), "_text")
     keys = ["_doc", "_tag"]
-    pair = F.collect_list(F.struct("_start", "_end"))  # of one text
     found = settle(compared_runs(run_rows(rows), width), "runs")
-    opened = found.where("_open").groupBy(keys).agg(pair.alias("_runs"))
+    opened = found.where("_anchor is not null").groupBy(keys).agg(F.collect_list(F.struct("_start", "_end", "_anchor")).alias("_runs"))  # of one text
     suffixes = settle(suffix_rows(rows.join(opened, keys).select("_doc", "_tag", "_text", "_runs")), "suffixes")
-    spans = settle(sorted_buckets(suffixes, width), "spans").unionByName(found.where("not _open").drop("_open"))
-    spans = spans.groupBy(keys).agg(pair.alias("_spans"))
+    buckets = settle(sorted_buckets(suffixes, width), "buckets")
+    parts = [found.where("_anchor is null").drop("_anchor"), buckets.where("_window is null").drop("_window"), across_buckets(buckets.where("_window is not null"))]
+    spans = reduce(DataFrame.unionByName, parts).groupBy(keys).agg(F.collect_list(F.struct("_start", "_end")).alias("_spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
