@@ -15,6 +15,7 @@ from quarrylight.operators import evaluate as E
 from quarrylight.operators import faithfulness as Q
 from quarrylight.operators import fusion, routing, sparse
 from quarrylight.operators.sizing import broadcast_if_small
+from quarrylight.session import settle
 
 SPARSE10 = f"{P.INDEX}, {P.BM25}, {P.top('hybrid', 'bm25', 10, where='score > 0')}"
 TXT = P.strip("text")
@@ -34,7 +35,7 @@ def sparse10(t):
 def sources(t):
     picked = fusion.filter_sources(sparse10(t)).select("query_id", "chunk_id", "score", "source_number")
     small = broadcast_if_small(picked, t.questions().select("query_id"), 64)
-    return t.chunks().join(small, "chunk_id")
+    return settle(t.chunks().join(small, "chunk_id"), "sources")
 
 
 def answered(t, src=None):
@@ -523,7 +524,7 @@ def graded(t):
     groups = t.questions().select(
         "query_id", T.query_intent(q).alias("topic"), T.query_type(q).alias("query_type"), F.expr(DIFFICULTY).alias("difficulty")
     )
-    results = reranked(t)
+    results = settle(reranked(t), "reranked")
     metrics = E.retrieval_metrics(as_papers(results), expected(t), t.questions(), 10)
     gate = routing.gate(with_meta(t, results), t.questions()).select("query_id", "deflect")
     return groups.join(metrics, "query_id").join(gate, "query_id").withColumn(

@@ -10,6 +10,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import communities as C
 from quarrylight.operators import graph as G
 from quarrylight.operators import routing
+from quarrylight.session import settle
 
 TRIPLES = """triples AS (
   SELECT sn.n_name AS s_name, 'NATION' AS s_type, replace(o_orderpriority, '-', '_') AS predicate, cn.n_name AS o_name, 'NATION' AS o_type,
@@ -64,7 +65,8 @@ def triples(t):
 
 
 def edges(t):
-    return G.edges_of(triples(t))
+    """The edge table as a stored one, which every query over the graph reads several times."""
+    return settle(G.edges_of(triples(t)), "edges")
 
 
 def asked(t):
@@ -78,7 +80,7 @@ def asked(t):
     f"WITH {EDGES} SELECT s_key, s_type, predicate, o_key, o_type, s_name, o_name, weight, n_chunks, n_docs, round(confidence_sum, 4) AS confidence_sum FROM edges",
 )
 def graph_edges(t):
-    return edges(t).withColumn("confidence_sum", F.round("confidence_sum", 4))
+    return G.edges_of(triples(t)).withColumn("confidence_sum", F.round("confidence_sum", 4))
 
 
 @query(

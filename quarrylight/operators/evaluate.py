@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators.ranking import ranked
+from quarrylight.session import settle
 
 
 def first_occurrence(results: DataFrame, paper: str = "paper") -> DataFrame:
@@ -23,11 +24,13 @@ def retrieval_metrics(
     ``results(query_id, paper, rank)``, ``expected(query_id, paper)``; ``acceptable`` is a wider
     set used for everything but recall. Recall and NDCG are 1 when nothing is expected.
     """
-    papers = first_occurrence(results)
-    wide = expected if acceptable is None else acceptable
+    # Both are read several times and are small next to what they come from.
+    papers = settle(first_occurrence(results), "ranking")
+    expected = settle(expected.select("query_id", "paper").distinct(), "truth")
+    wide = expected if acceptable is None else settle(acceptable.select("query_id", "paper").distinct(), "acceptable")
 
     def against(truth: DataFrame, prefix: str) -> DataFrame:
-        hits = papers.join(truth.select("query_id", "paper").distinct(), ["query_id", "paper"])
+        hits = papers.join(truth, ["query_id", "paper"])
         inside = F.col("place") <= k
         return hits.groupBy("query_id").agg(
             F.count_if(inside).alias(f"{prefix}_hits"),
@@ -36,7 +39,7 @@ def retrieval_metrics(
         )
 
     def size(truth: DataFrame, name: str) -> DataFrame:
-        return truth.select("query_id", "paper").distinct().groupBy("query_id").agg(F.count("*").alias(name))
+        return truth.groupBy("query_id").agg(F.count("*").alias(name))
 
     base = queries.select("query_id")
     for frame in (against(wide, "w"), size(wide, "w_n"), against(expected, "e").select("query_id", "e_hits"), size(expected, "e_n")):
@@ -66,7 +69,9 @@ def citation_metrics(answers: DataFrame, sources: DataFrame, expected: DataFrame
     ``answers(query_id, answer)``, ``sources(query_id, source_number, paper)``,
     ``expected(query_id, paper)``.
     """
-    truth = expected.select("query_id", "paper").distinct()
+    truth = settle(expected.select("query_id", "paper").distinct(), "truth")
+    answers = settle(answers.select("query_id", "answer"), "answers")
+    sources = settle(sources.select("query_id", "source_number", "paper"), "cited-sources")
     cited = answers.select("query_id", F.explode(T.cited_numbers(F.col("answer"))).alias("source_number"))
     named = cited.join(sources.select("query_id", F.col("source_number").cast("bigint"), "paper"), ["query_id", "source_number"])
     right = named.join(truth, ["query_id", "paper"], "left_semi")
