@@ -1,15 +1,14 @@
 """Dense retrieval: exact cosine search, run as one matrix product per Arrow batch.
 
-The query block is bounded (``MAX_BLOCK`` rows) and shipped to the tasks; each batch keeps its
-best ``k`` rows per query, so a batch emits at most ``k`` rows per query however many vectors it
-holds, and the final ranking sees ``k`` rows per query and batch. More queries than one block
-holds are packed into blocks that are joined with salted vector groups of bounded size, which is
-exact as well. Vectors are never shuffled in the first form.
+Questions are the stated query set: they go to the tasks in blocks of bounded size, and every block
+meets every vector where the vector is read. A batch keeps its best ``k`` rows per question, so it
+emits at most that many however many vectors it holds, and the final ranking sees ``k`` rows per
+question and batch. Vectors are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -22,7 +21,6 @@ from quarrylight.functions import vocab as V
 from quarrylight.operators.ranking import top_k
 
 MAX_BLOCK = 4096
-GROUP_ROWS = 50_000
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -82,69 +80,34 @@ def knn(
     ``queries(query_id, vector)`` and ``vectors(chunk_id, vector)``; with ``same_group`` both
     carry a ``group`` column and only equal groups are compared (a metadata filter per query).
     """
-    columns_q = ["query_id", "vector"] + (["group"] if same_group else [])
-    columns_v = ["chunk_id", "vector"] + (["group"] if same_group else [])
-    queries, vectors = queries.select(*columns_q), vectors.select(*columns_v)
-    head = queries.limit(MAX_BLOCK + 1).toPandas()
+    group = ["group"] if same_group else []
+    vectors = vectors.select("chunk_id", "vector", *group)
     schema = "query_id bigint, chunk_id bigint, score double"
-    if head.empty:
-        return top_k(vectors.sparkSession.createDataFrame([], schema), k)
-    if len(head) <= MAX_BLOCK:
-        block = vectors.sparkSession.sparkContext.broadcast(
-            (
-                head["query_id"].to_numpy(),
-                unit_rows(dense_matrix(head["vector"], hashed_dim)),
-                head["group"].to_numpy() if same_group else None,
-            )
-        )
 
+    def found(block) -> DataFrame:
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             query_ids, units, groups = block.value
             for batch in batches:
                 if len(batch):
-                    yield best_in_batch(
-                        query_ids,
-                        units,
-                        groups,
-                        batch["chunk_id"].to_numpy(),
-                        unit_rows(dense_matrix(batch["vector"], hashed_dim)),
-                        batch["group"] if same_group else None,
-                        k,
-                    )
-
-        return top_k(vectors.mapInPandas(scan, schema), k)
-    return top_k(_knn_by_blocks(queries, vectors, k, hashed_dim, same_group, schema), k)
-
-
-def _knn_by_blocks(queries, vectors, k, hashed_dim, same_group, schema, block_rows: int = MAX_BLOCK) -> DataFrame:
-    """Every query block meets every vector group of bounded size in its own task."""
-    n_queries, n_vectors = queries.count(), vectors.count()
-    blocks = -(-n_queries // (block_rows // 2))
-    salts = max(1, -(-n_vectors // (GROUP_ROWS // 2)))
-    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    right = vectors.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts))).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
+                    numbers = unit_rows(dense_matrix(batch["vector"], hashed_dim))
+                    yield best_in_batch(query_ids, units, groups, batch["chunk_id"].to_numpy(), numbers, batch["group"] if same_group else None, k)
+
+        return vectors.mapInPandas(scan, schema)
 
-    def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or vs.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        return best_in_batch(
-            qs["query_id"].to_numpy(),
-            unit_rows(dense_matrix(qs["vector"], hashed_dim)),
-            qs["group"].to_numpy() if same_group else None,
-            vs["chunk_id"].to_numpy(),
-            unit_rows(dense_matrix(vs["vector"], hashed_dim)),
-            vs["group"] if same_group else None,
-            k,
-        )
-
-    keys = [F.col("block").cast("bigint"), F.col("salt").cast("bigint")]
-    left = left.select(*[c for c in left.columns if c not in ("block", "salt")], keys[0].alias("block"), keys[1].alias("salt"))
-    right = right.select(*[c for c in right.columns if c not in ("block", "salt")], keys[0].alias("block"), keys[1].alias("salt"))
-    return left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInPandas(meet, schema)
+    return top_k(over_blocks(queries.select("query_id", "vector", *group), found, hashed_dim, schema), k)
+
+
+def over_blocks(queries: DataFrame, found: Callable[..., DataFrame], hashed_dim: int | None, schema: str) -> DataFrame:
+    """``found`` of every block of questions, brought together; a block holds about half of ``MAX_BLOCK``."""
+    spark = queries.sparkSession
+    blocks = -(-queries.count() // (MAX_BLOCK // 2))
+    parts = []
+    for i in range(blocks):
+        head = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()
+        if len(head):
+            groups = head["group"].to_numpy() if "group" in head else None
+            parts.append(found(spark.sparkContext.broadcast((head["query_id"].to_numpy(), unit_rows(dense_matrix(head["vector"], hashed_dim)), groups))))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def hashed_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -157,43 +120,32 @@ def hashed_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     )
 
 
-def hashed_group_best(queries: DataFrame, chunks: DataFrame, group: str) -> DataFrame:
-    """Best cosine of any chunk per query and group (say, per paper): ``query_id, <group>, score``.
+def hashed_group_best(queries: DataFrame, chunks: DataFrame, group: str, most: int) -> DataFrame:
+    """The ``most`` groups (say, papers) with the best cosine of any chunk per query: ``query_id, <group>, score, rank``.
 
-    Each batch reduces to one row per query and group before the shuffle; the question block is
-    bounded, larger question sets go block by block.
+    A batch passes on its own ``most`` best groups per query; a group that is beaten by as many in
+    the batch of its best chunk is beaten by them everywhere. Equal scores go to the first name.
     """
     asked = queries.select("query_id", T.hash_buckets(F.col("question")).alias("vector"))
-    vectors = chunks.select(F.col(group), T.hash_buckets(F.col("text")).alias("vector"))
-    n_blocks = -(-max(1, queries.count()) // (MAX_BLOCK // 2))
+    vectors = chunks.select(F.col(group).cast("string").alias(group), T.hash_buckets(F.col("text")).alias("vector"))
     schema = f"query_id bigint, {group} string, score double"
-    parts = []
-    for i in range(n_blocks):
-        head = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == i).toPandas()
-        if head.empty:
-            continue
-        block = chunks.sparkSession.sparkContext.broadcast(
-            (head["query_id"].to_numpy(), unit_rows(dense_matrix(head["vector"], V.HASH_DIM)))
-        )
-
-        def scan(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            query_ids, units = block.value
+
+    def found(block) -> DataFrame:
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            query_ids, units, _ = block.value
             for batch in batches:
                 if len(batch):
                     scores = np.round(unit_rows(dense_matrix(batch["vector"], V.HASH_DIM)) @ units.T, 8) + 0.0
-                    best = pd.DataFrame(scores, columns=query_ids).groupby(batch[group].to_numpy()).max()
-                    flat = best.stack()
-                    yield pd.DataFrame(
-                        {
-                            "query_id": flat.index.get_level_values(1).astype("int64"),
-                            group: flat.index.get_level_values(0),
-                            "score": flat.to_numpy(),
-                        }
-                    )
-
-        parts.append(vectors.mapInPandas(scan, schema))
-    merged = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
-    return merged.groupBy("query_id", group).agg(F.max("score").alias("score"))
+                    best = pd.DataFrame(scores).groupby(batch[group].to_numpy()).max()  # sorted by name
+                    order = np.argsort(-best.to_numpy(), axis=0, kind="stable")[:most]
+                    kept = np.take_along_axis(best.to_numpy(), order, axis=0)
+                    names = best.index.to_numpy()[order]
+                    yield pd.DataFrame({"query_id": np.tile(query_ids, len(order)), group: names.ravel(), "score": kept.ravel()})
+
+        return vectors.mapInPandas(scan, schema)
+
+    merged = over_blocks(asked, found, V.HASH_DIM, schema).groupBy("query_id", group).agg(F.max("score").alias("score"))
+    return top_k(merged, most, key=group)
 
 
 def hashed_vector(df: DataFrame, key: str, text: str) -> DataFrame:

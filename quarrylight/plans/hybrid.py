@@ -54,7 +54,7 @@ def hybrid_search(
 def abstract_search(queries: DataFrame, chunks: DataFrame, section: str, papers: int = 3) -> DataFrame:
     """Best papers by their best chunk in one section. The section filter reaches the scan."""
     part = chunks.where(F.col("section") == section)
-    return top_k(hashed_group_best(queries, part, "paper_id"), papers, key="paper_id")
+    return hashed_group_best(queries, part, "paper_id", papers)
 
 
 def search_with_citations(

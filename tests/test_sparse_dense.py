@@ -57,7 +57,7 @@ def test_bm25_matches_the_formula_and_counts_repeated_words(spark):
 def test_saved_index_gives_the_same_hits_and_is_checked(spark, tmp_path):
     queries, chunks = frames(spark, [(1, "masked attention"), (2, "deep reward")])
     index = sparse.build_index(chunks)
-    sparse.save_index(index, str(tmp_path / "ix"), buckets=2)
+    sparse.save_index(index, str(tmp_path / "ix"))
     loaded = sparse.load_index(spark, str(tmp_path / "ix"), expected_docs=5)
     a = sorted(map(tuple, sparse.bm25_search(queries, index, 5).collect()))
     b = sorted(map(tuple, sparse.bm25_search(queries, loaded, 5).collect()))
@@ -73,20 +73,20 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r.chunk_id for r in rows] == [3, 5]
 
 
-def test_block_search_equals_broadcast_search(spark):
+def test_many_blocks_give_the_rows_of_one(spark, monkeypatch):
     rng = np.random.default_rng(7)
     vectors = [(i, rng.normal(size=8).tolist(), int(i % 3)) for i in range(300)]
     vectors += [(1000 + i, vectors[i][1], vectors[i][2]) for i in range(50)]
     qs = [(i, rng.normal(size=8).tolist(), int(i % 3)) for i in range(40)]
     v = spark.createDataFrame(vectors, "chunk_id long, vector array<double>, `group` int")
     q = spark.createDataFrame(qs, "query_id long, vector array<double>, `group` int")
-    schema = "query_id bigint, chunk_id bigint, score double"
     for same in (False, True):
         direct = {tuple(r) for r in dense.knn(q, v, 5, same_group=same).collect()}
-        cols = (["query_id", "vector", "group"], ["chunk_id", "vector", "group"]) if same else (["query_id", "vector"], ["chunk_id", "vector"])
-        blocks = dense.top_k(dense._knn_by_blocks(q.select(*cols[0]), v.select(*cols[1]), 5, None, same, schema, block_rows=8), 5)
-        assert {tuple(r) for r in blocks.collect()} == direct
+        with monkeypatch.context() as patch:
+            patch.setattr(dense, "MAX_BLOCK", 16)
+            assert {tuple(r) for r in dense.knn(q, v, 5, same_group=same).collect()} == direct
         assert len(direct) == 200
+    assert dense.knn(q.where("false"), v, 5).count() == 0
 
 
 def test_zero_vectors_have_zero_cosine(spark):
