@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.catalog import parts as P
 from quarrylight.catalog.registry import query
 from quarrylight.catalog.routing import landmarks, sparse20
 from quarrylight.operators import evaluate as E
@@ -161,3 +162,58 @@ def report_markdown(t):
 def history_last_50(t):
     days = t.events.groupBy(F.floor(F.unix_timestamp("ts") / 21600).alias("day")).agg(F.count("*").alias("n"))
     return sinks.history(days, "day")
+
+
+@query(
+    "eval_query_shapes",
+    """SELECT doc_id::VARCHAR AS id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN source || ',' || lang ELSE '' END AS papers,
+    CASE doc_id % 4 WHEN 0 THEN 'abstract' WHEN 1 THEN 'a,b' ELSE '' END AS sections, doc_id % 4 = 2 AS should_deflect, CASE WHEN doc_id % 4 = 2 THEN 'none' END AS reason FROM documents""",
+)
+def eval_query_shapes(t):
+    kind = F.col("doc_id") % 4
+    shaped = F.to_json(
+        F.struct(
+            F.col("doc_id").cast("string").alias("id"),
+            F.when(kind == 0, F.col("source")).alias("relevant_doc"),
+            F.when(kind == 1, F.array("source", "lang")).alias("relevant_docs"),
+            F.when(kind == 0, "abstract").alias("expected_section"),
+            F.when(kind == 1, F.array(F.lit("a"), F.lit("b"))).alias("expected_sections"),
+            F.when(kind == 2, True).alias("should_deflect"),
+            F.when(kind == 2, "none").alias("reason"),
+        )
+    )
+    rows = evalsets.eval_queries(t.documents.select(F.from_json(shaped, evalsets.EVAL_QUERY).alias("q")).select("q.*"))
+    return rows.select("id", F.array_join("papers", ",").alias("papers"), F.array_join("sections", ",").alias("sections"), "should_deflect", "reason")
+
+
+@query(
+    "judge_quoted_spans",
+    """WITH r AS (SELECT doc_id, text, 'It says "' || substr(text, 1, 12) || '" and "' || replace(substr(text, 5, 15), 'e', 'E') || '" and "short" and "never in this answer".' AS reasoning
+      FROM documents WHERE NOT contains(substr(text, 1, 20), '"'))
+    SELECT doc_id, array_to_string(list_filter(regexp_extract_all(reasoning, '"([^"]{10,})"', 1), lambda q: contains(lower(text), lower(q))), '|') AS spans FROM r""",
+)
+def judge_quoted_spans(t):
+    rows = t.documents.where(~F.contains(F.substring("text", 1, 20), F.lit('"')))
+    reasoning = F.concat(
+        F.lit('It says "'), F.substring("text", 1, 12), F.lit('" and "'), F.replace(F.substring("text", 5, 15), F.lit("e"), F.lit("E")), F.lit('" and "short" and "never in this answer".')
+    )
+    return rows.select("doc_id", F.array_join(evalsets.quoted_spans(reasoning, F.col("text")), "|").alias("spans"))
+
+
+@query(
+    "plan_step_union",
+    f"""WITH {P.CHUNKS}, {P.QUESTIONS}, {P.RELEVANT}, hits AS (SELECT query_id, chunk_id FROM relevant)
+    SELECT query_id, chunk_id, 0.5::DOUBLE AS score, 0 AS step FROM hits UNION ALL SELECT query_id, chunk_id, 0.25::DOUBLE, 1 FROM hits WHERE chunk_id % 2 = 0""",
+)
+def plan_step_union(t):
+    hits = t.relevant()
+    return routing.union_steps([hits, hits.where("chunk_id % 2 = 0").withColumn("score", F.lit(0.25))])
+
+
+@query("context_answers")
+def context_answers(t):
+    """Every exchange answered from its own question as the only passage, and from nothing."""
+    asked = t.exchanges().select("query_id", F.concat(F.lit("How does this model learn: "), F.substring("question", 1, 60), F.lit("?")).alias("question"), F.col("question").alias("text"))
+    context = asked.where("query_id % 3 <> 0").select("query_id", F.lit(1).alias("rank"), F.lit("given").alias("title"), F.lit("body").alias("section"), "text", F.lit(0.9).alias("score"))
+    out = answering.answer_from_context(asked.select("query_id", "question"), context)
+    return out.withColumn("citations", F.array_join("citations", "\n"))

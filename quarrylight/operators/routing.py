@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,18 @@ def merge_results(original: DataFrame, rewritten: DataFrame, k: int) -> DataFram
     return top_k(flat, k)
 
 
+def union_steps(steps: list[DataFrame], default_score: float = 0.5) -> DataFrame:
+    """What the steps of a plan found, one after the other: ``query_id, chunk_id, score, step``.
+
+    Steps that bring no score (graph context) count ``default_score``; nothing is merged here.
+    """
+    rows = []
+    for n, found in enumerate(steps):
+        score = F.col("score") if "score" in found.columns else F.lit(default_score)
+        rows.append(found.select("query_id", "chunk_id", score.cast("double").alias("score"), F.lit(n).alias("step")))
+    return reduce(DataFrame.unionByName, rows)
+
+
 def merge_context(existing: DataFrame, new: DataFrame, k: int) -> DataFrame:
     """Add unseen chunks to a context; rows already there keep their score."""
     unseen = new.join(existing.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")

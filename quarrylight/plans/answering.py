@@ -130,8 +130,29 @@ def answer_questions(queries: DataFrame, chunks: DataFrame, landmarks: DataFrame
     open_ = queries.join(reasons.where("reason = ''").select("query_id"), "query_id", "left_semi")
     allowed = results.join(open_.select("query_id"), "query_id", "left_semi")
     picked = with_landmark(fusion.filter_sources(allowed), allowed, landmarks)
-    texts = chunks.select("chunk_id", "text")
-    sources = settle(texts.join(picked, "chunk_id"), "sources")
+    sources = settle(chunks.select("chunk_id", "text").join(picked, "chunk_id"), "sources")
+    return written_answers(queries, open_, sources, reasons)
+
+
+def answer_from_context(queries: DataFrame, context: DataFrame) -> DataFrame:
+    """Answers from results that are given, as ``answer_questions`` writes them: no search, no boosting.
+
+    ``context(query_id, rank, title, section, text, score)``: passages in order, titles as papers.
+    A question without passages is deflected by the gate.
+    """
+    rows = context.withColumn("chunk_id", F.xxhash64("query_id", "rank"))
+    chunks = rows.select("chunk_id", F.col("title").alias("paper_id"), "text")
+    results = settle(rows.select("query_id", "chunk_id", F.col("title").alias("paper_id"), "section", "score", "rank"), "given")
+    early = early_reason(queries)
+    asked = settle(queries.join(early.where("reason = ''").select("query_id"), "query_id", "left_semi"), "asked")
+    reasons = settle(early.where("reason <> ''").unionByName(gate_reason(results, asked, chunks)), "reasons")
+    open_ = queries.join(reasons.where("reason = ''").select("query_id"), "query_id", "left_semi")
+    picked = fusion.filter_sources(results.join(open_.select("query_id"), "query_id", "left_semi"))
+    return written_answers(queries, open_, settle(chunks.select("chunk_id", "text").join(picked, "chunk_id"), "sources"), reasons)
+
+
+def written_answers(queries: DataFrame, open_: DataFrame, sources: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Write, cite, renumber and check the answers of the open questions; the others keep their reason."""
     written = A.template_answer(open_, sources).select("query_id", gatetext.postprocess_math(F.col("answer")).alias("answer"))
     cited = settle(A.inject_citations(written, sources), "cited")
     renumbered = A.renumber_citations(cited, sources)

@@ -15,6 +15,38 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+EVAL_QUERY = (
+    "id string, question string, difficulty string, category string, answer_type string, reason string, should_deflect boolean, "
+    "relevant_doc string, relevant_docs array<string>, expected_section string, expected_sections array<string>"
+)
+
+
+def read_eval_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation queries in any of their shapes, from a JSON array or JSON lines."""
+    array = spark.read.schema(EVAL_QUERY).option("multiLine", True).json(path)
+    return eval_queries(array)
+
+
+def eval_queries(rows: DataFrame) -> DataFrame:
+    """One shape for rows that name one paper or several, one section or several, or none at all.
+
+    ``id, question, difficulty, category, papers, sections, should_deflect, reason``.
+    """
+    none = F.array().cast("array<string>")
+    several = lambda many, single: F.coalesce(many, F.when(single.isNotNull(), F.array(single)), none)
+    papers = several(F.col("relevant_docs"), F.col("relevant_doc"))
+    return rows.select(
+        "id", "question", "difficulty", "category", papers.alias("papers"), several(F.col("expected_sections"), F.col("expected_section")).alias("sections"),
+        F.coalesce("should_deflect", F.lit(False)).alias("should_deflect"), "reason",
+    )
+
+
+def quoted_spans(reasoning: Column, answer: Column) -> Column:
+    """Quotes of ten characters or more in a judge's reasoning that the answer holds, case aside."""
+    quotes = F.regexp_extract_all(reasoning, F.lit('"([^"]{10,})"'), F.lit(1))
+    return F.filter(quotes, lambda quote: F.contains(F.lower(answer), F.lower(quote)))
+
+
 def parse_spans(raw: Column) -> Column:
     """JSON array of span objects (either key set) or of plain strings."""
     objects = F.from_json(raw, f"array<{SPAN}>")

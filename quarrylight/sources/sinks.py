@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,16 @@ def upsert_table(incoming: DataFrame, path: str, key: str) -> int:
     return number
 
 
+def stage_table(spark: SparkSession, path: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A named stage of a run: read if it was written to its end before, else made and written."""
+    place = f"{path}/stage={name}"
+    try:
+        return spark.read.parquet(place)
+    except AnalysisException:  # not there, or no success marker yet
+        make().write.mode("overwrite").parquet(place)
+        return spark.read.parquet(place)
+
+
 def save_run(metrics: DataFrame, path: str, run_id: str) -> None:
     """Metrics of an experiment below ``run_id=<id>``; saving a run again replaces it."""
     metrics.write.mode("overwrite").json(f"{path}/run_id={run_id}")

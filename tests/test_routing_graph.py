@@ -223,3 +223,35 @@ def test_evidence_of_batches_that_share_documents(spark):
     parts = [graph.evidence(frame.where(f"chunk_id % 2 = {i}")) for i in (0, 1)]
     edge = graph.edges_from(graph.merge_evidence(*parts)).first()
     assert (edge.weight, edge.n_chunks, edge.n_docs, edge.confidence_sum) == (4, 3, 1, 2.0)
+
+
+def test_answers_from_given_context(spark):
+    from quarrylight.plans import answering
+
+    asked = spark.createDataFrame([(1, "How does the attention model work?"), (2, "Nice weather today?"), (3, "How does the attention model work?")], "query_id long, question string")
+    text = "The attention model works by attention over tokens. The attention model learns weights. It is trained on data."
+    context = spark.createDataFrame([(1, 1, "Attention model", "body", text, 0.9), (2, 1, "x", "body", text, 0.9)], "query_id long, rank int, title string, section string, text string, score double")
+    got = {r.query_id: r for r in answering.answer_from_context(asked, context).collect()}
+    assert got[2].deflected and got[2].reason == "off_topic"
+    assert got[3].deflected and not got[3].citations
+    assert not got[1].deflected and "[Source 1] Attention model" in got[1].answer and len(got[1].citations) == 1
+
+
+def test_eval_query_file_and_stage_tables(spark, tmp_path):
+    import json
+
+    from quarrylight.sources import evalsets, sinks
+
+    path = tmp_path / "q.json"
+    path.write_text(json.dumps([{"id": "a", "question": "q", "relevant_doc": "p1"}, {"id": "b", "question": "q", "relevant_docs": ["p1", "p2"], "expected_sections": ["s"]}, {"id": "c", "question": "q", "should_deflect": True}]))
+    got = {r.id: (r.papers, r.sections, r.should_deflect) for r in evalsets.read_eval_queries(spark, str(path)).collect()}
+    assert got == {"a": (["p1"], [], False), "b": (["p1", "p2"], ["s"], False), "c": ([], [], True)}
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert sinks.stage_table(spark, str(tmp_path), "chunks", make).count() == 3
+    assert len(made) == 1
