@@ -95,23 +95,25 @@ REFUSAL_PHRASES = [
 ]
 
 # Substrings that mark a question as being on topic.
-DOMAIN_TERMS = """
-model|neural|network|training|learning|inference|embedding|encoder|decoder|layer|parameter|weight|
-gradient|loss|optimizer|epoch|batch|fine-tun|pretrain|finetun|fine_tun|transformer|attention|
-convolution|recurrent|cnn|rnn|lstm|gru|mlp|feedforward|residual|normalization|softmax|relu|gelu|
-dropout|pooling|language|token|vocab|bert|gpt|llm|nlp|prompt|instruct|chat|generation|translation|
-summariz|sentiment|ner|parsing|corpus|image|vision|diffusion|gan|vae|clip|segmentation|detection|
-recognition|pixel|convolutional|lora|rlhf|peft|rag|retrieval|augment|quantiz|distill|pruning|scaling|
-benchmark|evaluation|metric|perplexity|bleu|rouge|accuracy|f1|paper|arxiv|research|study|experiment|
-dataset|baseline|state-of-the-art|sota|ablation|llama|mistral|gemma|falcon|mixtral|chinchilla|t5|
-roberta|electra|albert|deberta|xlnet|stable diffusion|dalle|midjourney|vit|resnet|yolo|detr|sam|
-whisper|wav2vec|mamba|starcoder|codex|humaneval|swe-bench|deepseek|colbert|dpr|llava|vall-e|
-distilbert|qlora|dora|gptq|awq|smoothquant|flashattention|flash attention|speculative decod|react|
-chain-of-thought|chain of thought|rope|rotary|yarn|dit|graphrag|self-rag|crag|phi-|mmlu|
-chatbot arena|llama guard|swe-agent|openhands|state space|state-space|adam|sgd|cosine|warmup|
-schedule|cross-entropy|contrastive|triplet|reinforcement|reward|policy|agent|multimodal|multi-modal|
-alignment|grounding
-""".replace("\n", "").split("|")
+DOMAIN_TERMS = [
+    "model", "neural", "network", "training", "learning", "inference", "embedding", "encoder", "decoder", "layer",
+    "parameter", "weight", "gradient", "loss", "optimizer", "epoch", "batch", "fine-tun", "pretrain", "finetun",
+    "fine_tun", "transformer", "attention", "convolution", "recurrent", "cnn", "rnn", "lstm", "gru", "mlp",
+    "feedforward", "residual", "normalization", "softmax", "relu", "gelu", "dropout", "pooling", "language", "token",
+    "vocab", "bert", "gpt", "llm", "nlp", "prompt", "instruct", "chat", "generation", "translation", "summariz",
+    "sentiment", "ner", "parsing", "corpus", "image", "vision", "diffusion", "gan", "vae", "clip", "segmentation",
+    "detection", "recognition", "pixel", "convolutional", "lora", "rlhf", "peft", "rag", "retrieval", "augment",
+    "quantiz", "distill", "pruning", "scaling", "benchmark", "evaluation", "metric", "perplexity", "bleu", "rouge",
+    "accuracy", "f1", "paper", "arxiv", "research", "study", "experiment", "dataset", "baseline", "state-of-the-art",
+    "sota", "ablation", "llama", "mistral", "gemma", "falcon", "mixtral", "chinchilla", "t5", "roberta", "electra",
+    "albert", "deberta", "xlnet", "stable diffusion", "dalle", "midjourney", "vit", "resnet", "yolo", "detr", "sam",
+    "whisper", "wav2vec", "mamba", "starcoder", "codex", "humaneval", "swe-bench", "deepseek", "colbert", "dpr",
+    "llava", "vall-e", "distilbert", "qlora", "dora", "gptq", "awq", "smoothquant", "flashattention",
+    "flash attention", "speculative decod", "react", "chain-of-thought", "chain of thought", "rope", "rotary", "yarn",
+    "dit", "graphrag", "self-rag", "crag", "phi-", "mmlu", "chatbot arena", "llama guard", "swe-agent", "openhands",
+    "state space", "state-space", "adam", "sgd", "cosine", "warmup", "schedule", "cross-entropy", "contrastive",
+    "triplet", "reinforcement", "reward", "policy", "agent", "multimodal", "multi-modal", "alignment", "grounding",
+]
 
 # Substrings of a question that asks for an opinion.
 OPINION_PHRASES = [
@@ -347,3 +349,15 @@ USES OUTPERFORMS EXTENDS TRAINED_ON EVALUATED_ON ACHIEVES PART_OF COMPARED_WITH
 
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS = ["dr", "mr", "mrs", "ms", "prof", "jr", "sr", "vs", "etc", "approx", "i.e", "e.g"]
+
+# Factors by age of a paper per kind of question (up to a year, or since a year); other years count 1, or the rest.
+AGE_FACTORS = {
+    "foundational": [(2017, 1.8), (2020, 1.5), (2022, 1.2)],
+    "balanced": [(2018, 1.2), (2021, 1.1)],
+}
+RECENT_FACTORS = [(2023, 1.3), (2021, 1.1)]
+RECENT_REST = 0.9
+
+# Top scores and the share of the top score that keeps a source, with a dominant top and without.
+SOURCE_RATIOS = {"logit": (2.0, 3.0, 0.7, 0.35), "sigmoid": (0.05, 0.7, 0.8, 0.5)}
+DOMINANT_LEAD = 1.8

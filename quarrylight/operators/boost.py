@@ -35,9 +35,8 @@ def topic_papers(queries: DataFrame) -> DataFrame:
 
 
 def age_factor(year: Column, intent: Column) -> Column:
-    old = F.when(year <= 2017, 1.8).when(year <= 2020, 1.5).when(year <= 2022, 1.2).otherwise(1.0)
-    new = F.when(year >= 2023, 1.3).when(year >= 2021, 1.1).otherwise(0.9)
-    even = F.when(year <= 2018, 1.2).when(year <= 2021, 1.1).otherwise(1.0)
+    old, even = (F.coalesce(*[F.when(year <= until, f) for until, f in V.AGE_FACTORS[kind]], F.lit(1.0)) for kind in ("foundational", "balanced"))
+    new = F.coalesce(*[F.when(year >= since, f) for since, f in V.RECENT_FACTORS], F.lit(V.RECENT_REST))
     by_intent = F.when(intent == "foundational", old).when(intent == "recent", new).otherwise(even)
     return F.when(year.isNull(), 1.0).otherwise(by_intent)
 

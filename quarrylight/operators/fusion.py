@@ -155,11 +155,12 @@ def filter_sources(results: DataFrame, most: int = 5, least: int = 3) -> DataFra
     whole = Window.partitionBy("query_id")
     top = F.first("score").over(w)
     second = F.max(F.when(F.col("rank") == 2, F.col("score"))).over(whole)
-    dominant = second.isNull() | (second <= 0) | (F.col("top") >= 1.8 * F.col("second"))
-    ratio = (
-        F.when(F.col("top") > 2.0, F.when((F.col("top") > 3.0) & F.col("dominant"), 0.7).otherwise(0.35))
-        .when(F.col("top") > 0.05, F.when((F.col("top") > 0.7) & F.col("dominant"), 0.8).otherwise(0.5))
-    )
+    dominant = second.isNull() | (second <= 0) | (F.col("top") >= V.DOMINANT_LEAD * F.col("second"))
+    scale = [
+        F.when(F.col("top") > above, F.when((F.col("top") > high) & F.col("dominant"), strict).otherwise(loose))
+        for above, high, strict, loose in (V.SOURCE_RATIOS["logit"], V.SOURCE_RATIOS["sigmoid"])
+    ]
+    ratio = F.coalesce(*scale)
     base = (
         results.withColumn("top", top)
         .withColumn("second", second)
