@@ -201,6 +201,7 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["_bucket", "_i", "_j"]):
+            table = table.sort_by("_node")  # what is connected hangs on its smallest node, the same one in every bucket
             node = table["_node"].to_numpy()
             signature = np.frombuffer(b"".join(table["_signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
             left, right = sides(table)
@@ -230,6 +231,7 @@ def verified(grouped: DataFrame, threshold: float, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["_group", "_i", "_j"]):
+            table = table.sort_by("_node")
             node, copies = table["_node"].to_numpy(), table["_copies"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in table["_set"].to_pylist()]
             left, right = sides(table)
