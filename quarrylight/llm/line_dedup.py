@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import whole_text
+from quarrylight.session import settle
 
 
 def line_hash(line: Column) -> Column:
@@ -70,7 +71,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     blank line; texts that lose all lines become empty and stay as rows.
     """
     lines = site_lines(df, id_col, text_col, F.col("source") if site is None else site)
-    gone = removed_lines(lines, boilerplate(lines, min_sites))
+    # Stored first: joined as a table, whatever lines are frequent can be split off or broadcast against.
+    gone = removed_lines(lines, settle(boilerplate(lines, min_sites), "boilerplate"))
     rows = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_key"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))
     rows = rows.alias("d").join(gone.alias("g"), F.expr("d._key <=> g._id"), "left")
     kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", lambda line: ~F.array_contains(F.col("_gone"), line_hash(line)) | (F.trim(line) == "")))
