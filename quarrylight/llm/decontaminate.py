@@ -119,8 +119,8 @@ class Items:
         return length
 
     def plain_all(self, words: list[str]) -> list[str]:
-        """``plain`` of every word, remembered between batches for as many as a million."""
-        if len(self.plains) > 1 << 20:
+        """``plain`` of every word, remembered between batches for a hundred thousand or so."""
+        if len(self.plains) > 1 << 17:
             self.plains.clear()
         known = self.plains
         return [p if (p := known.get(w)) is not None else known.setdefault(w, plain(w)) for w in words]
