@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.common import by_bytes, pick, short_batches, whole_text
+from quarrylight.session import settle
 
 #: Text of benchmark items that one pass holds in every task; more items take more passes.
 PASS_BYTES = 16 << 20
@@ -77,7 +78,8 @@ class HammingIndex:
 class Items:
     """Benchmark items by length in words, ready to be met by windows of the same length."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int):
+    def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int, shared: dict[str, int] | None = None):
+        """``shared`` tells how many different items of the whole benchmark hold a shingle, if more than one; these rows alone tell it where it is left out."""
         self.size, self.least = size, least
         worded = [(i, plain_words(text)) for i, text in rows]
         worded = [(i, words) for i, words in worded if words]
@@ -85,7 +87,10 @@ class Items:
         coded = [[self.code[w] for w in words] for _, words in worded]
         self.pairs = np.unique(np.array([a * len(self.code) + b for codes in coded for a, b in zip(codes, codes[1:], strict=False)], np.int64))
         self.plains: dict[str, str] = {}
-        self.spread = Counter(s for _, words in worded for s in self.shingles([self.code[w] for w in words]))
+        if shared is None:
+            self.spread = Counter(s for codes in dict.fromkeys(map(tuple, coded)) for s in self.shingles(codes))
+        else:
+            self.spread = {tuple(self.code[w] for w in s.split(" ")): n for s, n in shared.items()}
         grouped = defaultdict(list)
         for i, words in worded:
             grouped[len(words)].append((i, words))
@@ -106,13 +111,13 @@ class Items:
         return {tuple(codes[i : i + size]) for i in range(len(codes) - size + 1)}
 
     def weight(self, shingles) -> float:
-        """A shingle that several items share weighs as much less; one of no item weighs 1."""
+        """A shingle that several different items share weighs as much less."""
         return sum(1.0 / self.spread.get(s, 1) for s in shingles)
 
     def words_needed(self, shingles: set, length: int) -> int:
         """Words of the item that any window similar enough holds: the fewest, heaviest shingles that suffice."""
         have, total = 0.0, self.weight(shingles)
-        for n, w in enumerate(sorted((1.0 / self.spread[s] for s in shingles), reverse=True), 1):
+        for n, w in enumerate(sorted((1.0 / self.spread.get(s, 1) for s in shingles), reverse=True), 1):
             have += w
             if have >= self.least * total - 1e-9:
                 return n + min(self.size, length) - 1
@@ -140,9 +145,10 @@ class Items:
         return told
 
     def similarity(self, window: list[int], item: set) -> float:
-        shingles = self.shingles(window)
-        both = self.weight(shingles & item)
-        return both / (self.weight(shingles) + self.weight(item) - both)
+        """Weighted Jaccard; what the item does not have weighs as much as its own shingles do on average."""
+        shingles, total = self.shingles(window), self.weight(item)
+        common = shingles & item
+        return self.weight(common) / (total + (len(shingles) - len(common)) * total / len(item))
 
     def matches(self, texts: pa.Array) -> list[dict[int, tuple[float, int]]]:
         """For each text the items found in it, with the best similarity and the word it starts at."""
@@ -194,15 +200,45 @@ class Items:
         return found
 
 
+def item_words(rows: DataFrame) -> DataFrame:
+    """``_id, _text`` and ``_words``, the plain words of the text with a space between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([" ".join(plain_words(text)) for text in batch.column("_text").to_pylist()], pa.string())
+            yield pa.record_batch([batch.column("_id"), batch.column("_text"), words], names=["_id", "_text", "_words"])
+
+    return rows.mapInArrow(run, "_id long, _text string, _words string")
+
+
+def shared_shingles(worded: DataFrame, size: int) -> DataFrame:
+    """``_shingle, _items, _blocks``: the shingles of several different items, how many these are and the blocks they are in."""
+    words = worded.where("_words <> ''").select("_words", "_block").distinct().select(F.split("_words", " ", -1).alias("_words"), "_block")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - F.lit(size - 1), F.lit(1)))
+    shingles = F.array_distinct(F.transform(starts, lambda n: F.array_join(F.slice("_words", n, size), " ")))
+    told = words.select(F.explode_outer(shingles).alias("_shingle"), "_block").groupBy("_shingle").agg(F.count("*").alias("_items"), F.collect_set("_block").alias("_blocks"))
+    return told.where("_items > 1")
+
+
 def passes(items: DataFrame, id_col: str, text_col: str, size: int, least: float, radius: int) -> list[Items]:
-    """The items, in as many blocks as their size asks for; each block stays under ``PASS_BYTES`` or so."""
+    """The items, in as many blocks as their size asks for; each block stays under ``PASS_BYTES`` or so.
+
+    Items of the same words are in one block. How many items share a shingle is counted over all blocks.
+    """
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), whole_text(text_col).alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     blocks = math.ceil(total / PASS_BYTES)
-    return [
-        Items([(r["_id"], r["_text"]) for r in rows.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks)) == b).orderBy("_id", "_text").collect()], size, least, radius)
-        for b in range(blocks)
-    ]
+    if not blocks:
+        return []
+    worded = item_words(rows).withColumn("_block", F.pmod(F.xxhash64("_words"), F.lit(blocks)))
+    shared = shared_shingles(worded, size)
+    if blocks > 1:
+        worded, shared = settle(worded, "items"), settle(shared, "shared-shingles")
+    out = []
+    for b in range(blocks):
+        told = {r["_shingle"]: r["_items"] for r in shared.where(F.array_contains("_blocks", F.lit(b).cast("long"))).select("_shingle", "_items").collect()}
+        out.append(Items([(r["_id"], r["_text"]) for r in worded.where(F.col("_block") == b).orderBy("_id", "_text").collect()], size, least, radius, told))
+    return out
 
 
 def find_items(
@@ -214,7 +250,9 @@ def find_items(
     Every window of as many words as an item is met with the items of that length. Windows that
     hold too few words, or too few neighbouring words, of items to reach the similarity are set
     aside first (exact bounds); the others are fingerprinted, all item fingerprints within ``radius`` are found by
-    blocks, and the weighted Jaccard similarity of word shingles decides: ``least`` or more. Words
+    blocks, and the weighted Jaccard similarity of word shingles decides: ``least`` or more. A shingle
+    weighs 1 over the number of different items (by their words) in the whole benchmark that hold it,
+    one the item does not have as much as the item's own on average. Words
     are compared in lower case without punctuation around them. Items are the stated query set, met
     in blocks of bounded size; documents are read once per block and never shuffled. Null and empty
     texts have no hits; items without words match nothing, items shorter than a shingle must occur

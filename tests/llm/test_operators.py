@@ -203,6 +203,18 @@ def test_decontamination_against_every_window(spark, folder):
         assert got[r["doc_id"]] == want
 
 
+@pytest.mark.parametrize("most", [16 << 20, 300])
+def test_decontamination_weights_do_not_depend_on_copies_or_blocks(spark, monkeypatch, most):
+    item, frame = P.prose(61, 100, 10**6).split(), P.prose(62, 30, 10**6)
+    alike = [(10 + n, f"{frame} {P.prose(70 + n, 20, 10**6)}") for n in range(6)]
+    items = spark.createDataFrame([(n, " ".join(item) + "." * n) for n in range(6)] + alike, "item_id long, text string")
+    changed = " ".join([*item[:50], "other", *item[51:]])
+    docs = spark.createDataFrame([(1, changed), (2, f"{frame} {P.prose(80, 20, 10**6)}"), (3, alike[2][1])], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", most)
+    got = {r["_id"]: {h["item_id"]: round(h["similarity"], 9) for h in r["hits"]} for r in decontaminate.find_items(docs, items).collect()}
+    assert got == {1: {n: round(91 / 101, 9) for n in range(6)}, 2: {}, 3: {12: 1.0}}
+
+
 def test_line_dedup(spark, hard, empty):
     rows = [(k, t, None if n % 7 == 3 else f"src{n % 5}") for n, (k, t) in enumerate(ROWS)]
     got = line_dedup.dedup_lines(hard, min_sites=2).collect()
