@@ -1,4 +1,4 @@
-"""Benchmark decontamination: SimHash windows of item size, multi-index Hamming search, exact check."""
+"""Benchmark decontamination: windows of item size around shingles that tell an item, exact bounds, exact check."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,50 +35,14 @@ def plain_words(text: str) -> list[str]:
     return [w for w in map(plain, text.split()) if w]
 
 
-def simhash(words: np.ndarray) -> np.ndarray:
-    """64-bit SimHash of rows of word hashes: per bit the majority over the row's words."""
-    out = np.empty(len(words), np.uint64)
-    for start in range(0, len(words), 512):
-        rows = np.ascontiguousarray(words[start : start + 512])
-        bits = np.unpackbits(rows.view(np.uint8).reshape(*rows.shape, 8), axis=2)
-        out[start : start + 512] = np.packbits(2 * bits.sum(axis=1, dtype=np.int32) > rows.shape[1], axis=1).view(np.uint64).ravel()
-    return out
-
-
-class HammingIndex:
-    """All stored fingerprints within ``radius``: of ``radius + 1`` blocks one must agree exactly."""
-
-    def __init__(self, stored: np.ndarray, radius: int):
-        self.stored, self.radius, self.tables = stored, radius, []
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        for low, high in zip(edges, edges[1:], strict=False):
-            shift, mask = np.uint64(low), np.uint64((1 << int(high - low)) - 1)
-            values = (stored >> shift) & mask
-            order = np.argsort(values, kind="stable")
-            self.tables.append((shift, mask, values[order], order))
-
-    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in ``asked``, place in the store) of distance at most ``radius``, nearest first."""
-        pairs = []
-        for shift, mask, values, order in self.tables:
-            value = (asked >> shift) & mask
-            low, high = np.searchsorted(values, value), np.searchsorted(values, value, side="right")
-            counts = high - low
-            left = np.repeat(np.arange(len(asked)), counts)
-            right = order[np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
-            near = np.bitwise_count(asked[left] ^ self.stored[right]) <= self.radius
-            pairs.append(left[near] * len(self.stored) + right[near])
-        both = np.unique(np.concatenate(pairs))
-        left, right = both // len(self.stored), both % len(self.stored)
-        order = np.argsort(np.bitwise_count(asked[left] ^ self.stored[right]), kind="stable")
-        return left[order], right[order]
-
-
 class Items:
     """Benchmark items by length in words, ready to be met by windows of the same length."""
 
-    def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int, shared: dict[str, int] | None = None):
-        """``shared`` tells how many different items of the whole benchmark hold a shingle, if more than one; these rows alone tell it where it is left out."""
+    def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int | None = None, shared: dict[str, int] | None = None):
+        """``shared`` tells how many different items of the whole benchmark hold a shingle, if more than one; these rows alone tell it where it is left out.
+
+        ``radius`` is what callers gave the fingerprint search that stood here; nothing depends on it.
+        """
         self.size, self.least = size, least
         worded = [(i, plain_words(text)) for i, text in rows]
         worded = [(i, words) for i, words in worded if words]
@@ -95,16 +58,20 @@ class Items:
         for i, words in worded:
             grouped[len(words)].append((i, words))
         self.by_length = []
+        self.telling: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # shingle to places in by_length and in its items
         for length, group in sorted(grouped.items()):
-            known = np.zeros(len(self.code) + 1, bool)
-            sets, need = [], length
-            for _, words in group:
+            known = np.zeros(len(self.code) + 1 if length < size else 0, bool)  # words of items below the shingle size
+            sets, needs, totals = [], [], []
+            for n, (_, words) in enumerate(group):
                 codes = [self.code[w] for w in words]
-                known[codes] = True
+                if length < size:
+                    known[codes] = True
                 sets.append(self.shingles(codes))
-                need = min(need, self.words_needed(sets[-1], length))
-            hashes = np.array([[xxhash.xxh3_64_intdigest(w) for w in words] for _, words in group], np.uint64)
-            self.by_length.append((length, need, known, [i for i, _ in group], sets, HammingIndex(simhash(hashes), radius)))
+                needs.append(self.words_needed(sets[-1], length))
+                totals.append(self.weight(sets[-1]))
+                for shingle in self.tells(sets[-1], totals[-1]):
+                    self.telling[shingle].append((len(self.by_length), n))
+            self.by_length.append((length, needs, known, [i for i, _ in group], sets, totals))
 
     def shingles(self, codes: list[int]) -> set[tuple[int, ...]]:
         size = min(self.size, len(codes))
@@ -123,6 +90,16 @@ class Items:
                 return n + min(self.size, length) - 1
         return length
 
+    def tells(self, shingles: set, total: float) -> list[tuple[int, ...]]:
+        """The fewest, heaviest shingles of an item without all of which no window is similar enough."""
+        have, out = 0.0, []
+        for shingle in sorted(shingles, key=lambda s: (self.spread.get(s, 1), s)):
+            if have > (1 - self.least + 1e-6) * total:
+                break
+            have += 1.0 / self.spread.get(shingle, 1)
+            out.append(shingle)
+        return out
+
     def plain_all(self, words: list[str]) -> list[str]:
         """``plain`` of every word, remembered between batches for a hundred thousand or so."""
         if len(self.plains) > 1 << 17:
@@ -130,19 +107,20 @@ class Items:
         known = self.plains
         return [p if (p := known.get(w)) is not None else known.setdefault(w, plain(w)) for w in words]
 
-    def possible(self, codes: np.ndarray) -> np.ndarray:
-        """Where a shingle starts whose neighbours all are neighbours in some item, repeats of the next one left out."""
+    def possible(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a shingle starts whose neighbours all are neighbours in some item; the same with repeats of the next one left out."""
         outside, last = len(self.code), len(codes) - self.size
-        told = np.zeros(len(codes), bool)
+        held = np.zeros(len(codes), bool)
         if last < 0:
-            return told
+            return held, held
         paired = np.zeros(len(codes), bool)
         both = np.flatnonzero((codes[1:] != outside) & (codes[:-1] != outside))
         paired[both[np.isin(codes[both] * outside + codes[both + 1], self.pairs)]] = True
         equal = np.append(codes[1:] == codes[:-1], False)
-        told[: last + 1] = np.logical_and.reduce([paired[n : n + last + 1] for n in range(self.size - 1)] or [codes[: last + 1] != outside])
+        held[: last + 1] = np.logical_and.reduce([paired[n : n + last + 1] for n in range(self.size - 1)] or [codes[: last + 1] != outside])
+        told = held.copy()
         told[:last] &= ~np.logical_and.reduce([equal[n : n + last] for n in range(self.size)])
-        return told
+        return held, told
 
     def similarity(self, window: list[int], item: set) -> float:
         """Weighted Jaccard; what the item does not have weighs as much as its own shingles do on average."""
@@ -163,42 +141,72 @@ class Items:
             return found
         outside = len(self.code)
         codes = np.array([self.code.get(w, outside) for w in kinds], np.int64)[place]
-        hashes, first = None, {}
+        first: dict[str, int] = {}
         lowest = np.array([first.setdefault(w, n) for n, w in enumerate(kinds)], np.int64)  # one number for spellings that are the same word
-        sums = np.concatenate([[0], np.cumsum(self.possible(codes), dtype=np.int32)])
-        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))[owner]  # where the text of each word ends
-        for length, need, known, ids, sets, index in self.by_length:
-            if len(codes) < length:
+        words = np.where(codes != outside, codes, -1 - lowest[place])
+        counts = np.bincount(owner, minlength=len(texts))
+        ends = np.cumsum(counts)  # where the text ends
+        begins = ends - counts
+        for length, _, known, ids, _, _ in self.by_length:
+            if length >= self.size:
+                break
+            # Items below the shingle size: the whole item in a row, once in each text.
+            starts = np.flatnonzero(known[codes])
+            starts = starts[starts + length <= ends[owner[starts]]]
+            spelled = codes[starts[:, None] + np.arange(length)]
+            whole = known[spelled].all(axis=1)
+            starts, spelled = starts[whole], spelled[whole]
+            _, once = np.unique(np.column_stack([owner[starts], spelled]), axis=0, return_index=True)
+            for start, shingle in zip(starts[once].tolist(), map(tuple, spelled[once].tolist()), strict=True):
+                for _, n in self.telling.get(shingle, ()):
+                    found[owner[start]].setdefault(ids[n], (1.0, start - int(begins[owner[start]])))
+        held, told = self.possible(codes)
+        sums = np.concatenate([[0], np.cumsum(told, dtype=np.int32)])
+        at = np.flatnonzero(held)
+        at = at[at + self.size <= ends[owner[at]]]
+        met = defaultdict(list)
+        for part in range(0, len(at), 1 << 14):
+            some = at[part : part + (1 << 14)]
+            for start, shingle in zip(some.tolist(), map(tuple, codes[some[:, None] + np.arange(self.size)].tolist()), strict=True):
+                for item in self.telling.get(shingle, ()):
+                    met[owner[start], *item].append(start)
+        for (text, group, n), starts in met.items():
+            length, needs, _, ids, sets, totals = self.by_length[group]
+            begin, end = int(begins[text]), int(ends[text])
+            if end - begin < length:
                 continue
-            # Enough shingles that items could have (the last start may have been told as a repeat), then
-            # enough words of the items of this length. Items below the shingle size only have the latter.
-            count, room = len(codes) - length + 1, length - self.size + 1
-            starts = np.flatnonzero(sums[room : room + count] - sums[:count] >= need - self.size) if room > 0 else np.arange(count)
-            starts = starts[starts + length <= ends[starts]]
-            kept = [np.zeros(0, np.int64)]
-            for part in range(0, len(starts), 1 << 14):
-                some = starts[part : part + (1 << 14)]
-                kept.append(some[known[codes[some[:, None] + np.arange(length)]].sum(axis=1) >= need])
-            starts = np.concatenate(kept)
-            if not len(starts):
-                continue
-            if hashes is None:
-                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in kinds], np.uint64)[place]
-            for part in range(0, len(starts), 4096):
-                some = starts[part : part + 4096]
-                for at, item in zip(*index.within(simhash(hashes[some[:, None] + np.arange(length)])), strict=True):
-                    start = int(some[at])
-                    hits = found[int(owner[start])]
-                    best = hits.get(ids[item], (0.0, 0))[0]
-                    if best == 1.0:
-                        continue
-                    span = slice(start, start + length)
-                    window = np.where(codes[span] != outside, codes[span], -1 - lowest[place[span]]).tolist()
-                    like = self.similarity(window, sets[item])
-                    if like >= self.least - 1e-9 and like > best:
-                        hits[ids[item]] = (like, start - int(np.searchsorted(owner, owner[start])))
+            best = self.nearest(words, held, sums, np.array(starts), begin, end, length, needs[n], sets[n], totals[n])
+            if best and best[0] > found[text].get(ids[n], (0.0, 0))[0]:
+                found[text][ids[n]] = best
         return found
 
+    def nearest(self, words, held, sums, met, begin, end, length, need, item, total) -> tuple[float, int] | None:
+        """The window around the starts ``met`` of a text's telling shingles that is most similar to the item, if any is similar enough."""
+        room = length - self.size + 1
+        covered = np.zeros(end - begin + 1, np.int32)
+        np.add.at(covered, np.maximum(met - room + 1, begin) - begin, 1)
+        np.add.at(covered, np.minimum(met, end - length) - begin + 1, -1)
+        starts = begin + np.flatnonzero(np.cumsum(covered) > 0)
+        # Enough shingles that items could have (the last start may have been told as a repeat), then enough weight of this item's.
+        starts = starts[sums[starts + room] - sums[starts] >= need - self.size]
+        if not len(starts):
+            return None
+        low, high = starts[0], starts[-1] + room
+        weights = np.zeros(high - low)
+        for n in np.flatnonzero(held[low:high]).tolist():
+            if (shingle := tuple(words[low + n : low + n + self.size].tolist())) in item:
+                weights[n] = 1.0 / self.spread.get(shingle, 1)
+        sums = np.concatenate([[0.0], np.cumsum(weights)])
+        most = (sums[starts + room - low] - sums[starts - low]) / total
+        best = (0.0, 0)
+        for n in np.argsort(-most, kind="stable").tolist():
+            if most[n] < max(self.least, best[0]) - 1e-6 or best[0] == 1.0:
+                break
+            like = self.similarity(words[starts[n] : starts[n] + length].tolist(), item)
+            if like >= self.least - 1e-9 and like > best[0]:
+                best = (like, int(starts[n]) - begin)
+        return best if best[0] else None
+
 
 def item_words(rows: DataFrame) -> DataFrame:
     """``_id, _text`` and ``_words``, the plain words of the text with a space between them."""
@@ -220,7 +228,7 @@ def shared_shingles(worded: DataFrame, size: int) -> DataFrame:
     return told.where("_items > 1")
 
 
-def passes(items: DataFrame, id_col: str, text_col: str, size: int, least: float, radius: int) -> list[Items]:
+def passes(items: DataFrame, id_col: str, text_col: str, size: int, least: float) -> list[Items]:
     """The items, in as many blocks as their size asks for; each block stays under ``PASS_BYTES`` or so.
 
     Items of the same words are in one block. How many items share a shingle is counted over all blocks.
@@ -237,20 +245,21 @@ def passes(items: DataFrame, id_col: str, text_col: str, size: int, least: float
     out = []
     for b in range(blocks):
         told = {r["_shingle"]: r["_items"] for r in shared.where(F.array_contains("_blocks", F.lit(b).cast("long"))).select("_shingle", "_items").collect()}
-        out.append(Items([(r["_id"], r["_text"]) for r in worded.where(F.col("_block") == b).orderBy("_id", "_text").collect()], size, least, radius, told))
+        out.append(Items([(r["_id"], r["_text"]) for r in worded.where(F.col("_block") == b).orderBy("_id", "_text").collect()], size, least, shared=told))
     return out
 
 
 def find_items(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-    size: int = 5, least: float = 0.8, radius: int = 11,
+    size: int = 5, least: float = 0.8,
 ) -> DataFrame:
     """``_id, hits`` of every document: the items it holds as ``array<struct<item_id, similarity, word>>``.
 
-    Every window of as many words as an item is met with the items of that length. Windows that
-    hold too few words, or too few neighbouring words, of items to reach the similarity are set
-    aside first (exact bounds); the others are fingerprinted, all item fingerprints within ``radius`` are found by
-    blocks, and the weighted Jaccard similarity of word shingles decides: ``least`` or more. A shingle
+    Every window of as many words as an item is met with the items of that length. A similar window
+    holds at least one of the shingles that tell an item, so only windows around these are looked at;
+    those that hold too few shingles of items, or too little weight of the item's, to reach the
+    similarity are set aside (exact bounds), and the weighted Jaccard similarity of word shingles
+    decides about all others: ``least`` or more. Nothing similar enough is lost. A shingle
     weighs 1 over the number of different items (by their words) in the whole benchmark that hold it,
     one the item does not have as much as the item's own on average. Words
     are compared in lower case without punctuation around them. Items are the stated query set, met
@@ -260,7 +269,7 @@ def find_items(
     """
     hit = "array<struct<item_id: bigint, similarity: double, word: int>>"
     rows = pick(docs, id_col, text_col)
-    blocks = passes(items, item_id, item_text, size, least, radius)
+    blocks = passes(items, item_id, item_text, size, least)
     if not blocks:
         return rows.select("_id", F.array().cast(hit).alias("hits"))
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("word", pa.int32())]))
@@ -279,11 +288,11 @@ def find_items(
     return rows.mapInArrow(run, f"_id long, hits {hit}")
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8, radius: int = 11) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """The documents that hold no item, with the columns they came with."""
     short_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    stored = [context.broadcast(block) for block in passes(items, item_id, item_text, size, least, radius)]
+    stored = [context.broadcast(block) for block in passes(items, item_id, item_text, size, least)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, 1 << 20):

@@ -203,6 +203,25 @@ def test_decontamination_against_every_window(spark, folder):
         assert got[r["doc_id"]] == want
 
 
+def test_decontamination_finds_items_edited_at_an_edge():
+    """Last words replaced, the copy at a document's start, end or inside: all that a brute force over windows finds."""
+    import pyarrow as pa
+
+    cut = {30: 2, 40: 4, 50: 5, 59: 6, 100: 9}
+    items = [(k, P.prose(1000 + k, list(cut)[k % 5], 10**6)) for k in range(100)]
+    docs = []
+    for k, text in items:
+        copy = " ".join(text.split()[: -cut[len(text.split())]])
+        for n, (before, after) in enumerate([(60, 0), (0, 60), (60, 60)]):
+            docs.append((k, " ".join([P.prose(2000 + 3 * k + n, before, 10**6), copy, P.prose(3000 + 3 * k + n, after + cut[len(text.split())], 10**6)])))
+    index = decontaminate.Items(items, 5, 0.8)
+    for (k, text), found in zip(docs, index.matches(pa.array([d for _, d in docs])), strict=True):
+        codes = [index.code.get(w, -1 - n) for n, w in enumerate(text.split())]
+        item = [index.code[w] for w in items[k][1].split()]
+        best = max(index.similarity(codes[s : s + len(item)], index.shingles(item)) for s in range(len(codes) - len(item) + 1))
+        assert best >= 0.8 - 1e-9 and found[k][0] == pytest.approx(best)
+
+
 @pytest.mark.parametrize("most", [16 << 20, 300])
 def test_decontamination_weights_do_not_depend_on_copies_or_blocks(spark, monkeypatch, most):
     item, frame = P.prose(61, 100, 10**6).split(), P.prose(62, 30, 10**6)
