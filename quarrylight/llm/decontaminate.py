@@ -173,9 +173,8 @@ class Items:
         for (text, group, n), starts in met.items():
             length, needs, _, ids, sets, totals = self.by_length[group]
             begin, end = int(begins[text]), int(ends[text])
-            if end - begin < length:
-                continue
-            best = self.nearest(words, held, sums, np.array(starts), begin, end, length, needs[n], sets[n], totals[n])
+            # A text with fewer words is one window as a whole.
+            best = self.nearest(words, held, sums, np.array(starts), begin, end, min(length, end - begin), needs[n], sets[n], totals[n])
             if best and best[0] > found[text].get(ids[n], (0.0, 0))[0]:
                 found[text][ids[n]] = best
         return found
@@ -255,7 +254,8 @@ def find_items(
 ) -> DataFrame:
     """``_id, hits`` of every document: the items it holds as ``array<struct<item_id, similarity, word>>``.
 
-    Every window of as many words as an item is met with the items of that length. A similar window
+    Every window of as many words as an item is met with the items of that length, and a document with
+    fewer words than an item is met with it as one window. A similar window
     holds at least one of the shingles that tell an item, so only windows around these are looked at;
     those that hold too few shingles of items, or too little weight of the item's, to reach the
     similarity are set aside (exact bounds), and the weighted Jaccard similarity of word shingles

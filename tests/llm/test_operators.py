@@ -222,6 +222,19 @@ def test_decontamination_finds_items_edited_at_an_edge():
         assert best >= 0.8 - 1e-9 and found[k][0] == pytest.approx(best)
 
 
+def test_decontamination_of_documents_shorter_than_an_item():
+    """Whole documents that are items cut at either end, down to the similarity and not below it."""
+    import pyarrow as pa
+
+    items = [(k, P.prose(500 + k, size, 10**6)) for k, size in enumerate([16, 40, 40, 59, 5, 4])]
+    docs = [(k, sum(cut), " ".join(w[cut[0] : len(w) - cut[1]])) for k, w in ((k, t.split()) for k, t in items) for n in range(len(w)) for cut in ((n, 0), (0, n), (n // 2, n - n // 2))]
+    index = decontaminate.Items(items, 5, 0.8)
+    for (k, gone, text), found in zip(docs, index.matches(pa.array([d for _, _, d in docs])), strict=True):
+        shingles = max(1, len(items[k][1].split()) - 4)
+        like = (shingles - gone) / shingles
+        assert found == ({k: (pytest.approx(like), 0)} if like >= 0.8 - 1e-9 else {})
+
+
 @pytest.mark.parametrize("most", [16 << 20, 300])
 def test_decontamination_weights_do_not_depend_on_copies_or_blocks(spark, monkeypatch, most):
     item, frame = P.prose(61, 100, 10**6).split(), P.prose(62, 30, 10**6)
