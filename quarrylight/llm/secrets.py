@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -22,6 +24,8 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "pwd", "secret", "token", "api", "key", "auth", "bearer", "credential", "signature", "private", "session", "cookie", "login")
 CONTEXT = re.compile(rf"(?:{'|'.join(CONTEXT_WORDS)})[a-z_]*", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: What candidates are made of.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=.-"
 #: Identifiers that code is full of; together with the text around a candidate they prime the compressor.
 IDENTIFIERS = (
     "password username authorization authentication credentials access_token refresh_token client_secret client_id api_key secret_key "
@@ -51,6 +55,18 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
     return len(squeeze.compress(candidate.encode())) - len(squeeze.compress(b""))
 
 
+@lru_cache(1 << 14)
+def random_bytes(kinds: int, length: int) -> int:
+    """Bytes a random string of so many different symbols adds: long ones pack into the bits of a symbol."""
+    return marginal_bytes("".join(random.Random(length).choices(SYMBOLS[:kinds], k=length)), "", "")
+
+
+def bytes_at_random(candidate: str) -> float:
+    """Bytes the candidate would add if it were random in its own symbols, one a character at most."""
+    length, kinds = len(candidate), max(10, len(set(candidate)))
+    return min(length, random_bytes(kinds, length) if length <= 4096 else random_bytes(kinds, 4096) * length / 4096)
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float, reach: int, around: int) -> list[tuple[int, int, str]]:
     """Strings close behind a sensitive word, of letters and digits, that hardly compress."""
     spans, done = [], 0
@@ -61,7 +77,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float, reac
             value, at, done = text[start:end], end, max(done, end)
             if not re.search(r"[0-9]", value) or not re.search(r"[A-Za-z]", value) or any(a < end and start < b for a, b, _ in taken):
                 continue
-            if marginal_bytes(value, text[max(0, start - around) : start], text[end : end + around]) >= least * len(value):
+            if marginal_bytes(value, text[max(0, start - around) : start], text[end : end + around]) >= least * bytes_at_random(value):
                 spans.append((start, end, "novel"))
     return spans
 
@@ -74,8 +90,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``_id, n_assign, n_access, n_hex, base_spans, spans`` for every row, in one pass without a shuffle.
 
     Spans are ``kind:start:end`` in code points. ``novel`` spans are strings within ``reach`` of a
-    sensitive word that need at least ``least`` bytes per character more when the compressor is
-    primed with ``around`` characters on both sides and a list of identifiers; strings that a base
+    sensitive word that add, when the compressor is primed with ``around`` characters on both sides
+    and a list of identifiers, at least ``least`` of the bytes that a random string of as many
+    characters and different symbols adds (of one byte a character, if that is less); strings that a base
     span covers are not told twice. Null and empty texts have no spans; texts are scanned whole.
     """
 

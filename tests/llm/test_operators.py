@@ -359,6 +359,25 @@ def test_novelty(spark):
     assert not got[5]["spans"] and not got[6]["spans"] and "novel" not in got[7]["spans"] and not got[8]["spans"]
 
 
+SECRET_ALPHABETS = {
+    "upper hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base62": secrets.SYMBOLS[:62], "base64": secrets.SYMBOLS[:64], "base64 for links": secrets.SYMBOLS[:62] + "_-",
+}
+
+
+@pytest.mark.parametrize("kind", SECRET_ALPHABETS)
+def test_novelty_of_long_secrets(kind):
+    import random
+
+    draw = random.Random(4)
+    for size in (16, 20, 32, 40, 64, 100, 128, 200, 256, 500, 1000, 2000, 5000):
+        for _ in range(5):
+            value = ("7e" if kind == "lower" else "7E") + "".join(draw.choices(SECRET_ALPHABETS[kind], k=size - 2))
+            assert secrets.novel_spans(f"private_key = {value} and more", [], 0.8, 60, 400) == [(14, 14 + size, "novel")], (size, value)
+    again = P.prose(1, 8, 10**6).replace(" ", "/")
+    assert not secrets.novel_spans(f"private_key = {'/'.join([again] * 40)}", [], 0.8, 60, 400)
+
+
 def test_quality(spark, folder, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
