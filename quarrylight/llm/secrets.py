@@ -68,17 +68,18 @@ def bytes_at_random(candidate: str) -> float:
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, str]], least: float, reach: int, around: int) -> list[tuple[int, int, str]]:
-    """Strings close behind a sensitive word, of letters and digits, that hardly compress."""
+    """Strings close behind a sensitive word, or behind a secret found there, that hardly compress."""
     spans, done = [], 0
     for word in CONTEXT.finditer(text):
         limit, at = word.end() + reach, max(done, word.end())
         while (near := CANDIDATE.search(text, at, limit + 16)) and near.start() < limit:
             start, end = CANDIDATE.match(text, near.start()).span()  # the run may go on behind the reach
             value, at, done = text[start:end], end, max(done, end)
-            if not re.search(r"[0-9]", value) or not re.search(r"[A-Za-z]", value) or any(a < end and start < b for a, b, _ in taken):
-                continue
-            if marginal_bytes(value, text[max(0, start - around) : start], text[end : end + around]) >= least * bytes_at_random(value):
+            if any(a < end and start < b for a, b, _ in taken):
+                limit = end + reach
+            elif marginal_bytes(value, text[max(0, start - around) : start], text[end : end + around]) >= least * bytes_at_random(value):
                 spans.append((start, end, "novel"))
+                limit = end + reach  # keys of many lines
     return spans
 
 
@@ -89,8 +90,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, reach: int = 60, around: int = 400) -> DataFrame:
     """``_id, n_assign, n_access, n_hex, base_spans, spans`` for every row, in one pass without a shuffle.
 
-    Spans are ``kind:start:end`` in code points. ``novel`` spans are strings within ``reach`` of a
-    sensitive word that add, when the compressor is primed with ``around`` characters on both sides
+    Spans are ``kind:start:end`` in code points. ``novel`` spans are strings of 16 characters or more
+    within ``reach`` of a sensitive word, or of the end of a secret found there, that add, when the compressor is primed with ``around`` characters on both sides
     and a list of identifiers, at least ``least`` of the bytes that a random string of as many
     characters and different symbols adds (of one byte a character, if that is less); strings that a base
     span covers are not told twice. Null and empty texts have no spans; texts are scanned whole.

@@ -378,6 +378,23 @@ def test_novelty_of_long_secrets(kind):
     assert not secrets.novel_spans(f"private_key = {'/'.join([again] * 40)}", [], 0.8, 60, 400)
 
 
+def test_novelty_of_letters_and_of_keys_of_many_lines():
+    import random
+
+    draw = random.Random(6)
+    for symbols in (secrets.SYMBOLS[10:62], secrets.SYMBOLS[10:36], secrets.SYMBOLS[:10]):
+        for size in (16, 20, 40, 200):
+            value = "".join(draw.choices(symbols, k=size))
+            assert secrets.novel_spans(f"signature {value} and more", [], 0.8, 60, 400) == [(10, 10 + size, "novel")], value
+    lines = ["".join(draw.choices(secrets.SYMBOLS[:64], k=64)) for _ in range(25)]
+    lines[7] = "".join(draw.choices("0123456789abcdef", k=64))
+    text = "\n".join(["-----BEGIN PRIVATE KEY-----", *lines, "-----END PRIVATE KEY-----"])
+    spans = secrets.base_spans(text)
+    assert spans == [(28 + 65 * 7, 28 + 65 * 7 + 64, "hex")]
+    assert secrets.novel_spans(text, spans, 0.8, 60, 400) == [(28 + 65 * n, 92 + 65 * n, "novel") for n in range(25) if n != 7]
+    assert not secrets.novel_spans("key authenticationauthorization private_key_environment ================================", [], 0.8, 60, 400)
+
+
 def test_quality(spark, folder, hard, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
