@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import decontaminate, fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, quality, secrets, substring_dedup, token_counts
+from quarrylight.llm import (
+    decontaminate,
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    link_trust,
+    lm_scoring,
+    mixing,
+    quality,
+    secrets,
+    substring_dedup,
+    token_counts,
+    turn_repair,
+    whitening,
+)
 from quarrylight.llm.common import documents, fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +151,21 @@ FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source,
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan_copies(documents(spark, sf_dir))
     return planned.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op11_jacobi_davidson")
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("_id", "vec_id")
+
+
+URL_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
+
+
+@query("op12_link_trust")
+def judged_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+@query("op13_auction_repair")
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
