@@ -2,9 +2,9 @@
 
 Hosts that have pages allowed by a rule are trusted seeds, hosts that have blocked pages are blocked
 seeds; a seed weighs the share of its pages the rules decide that way. Trust is personalised PageRank
-along links, distrust the same against them (who links to blocked hosts is suspect). Ranks are not
-divided by the number of hosts, so one threshold serves any size: a host without links to others keeps
-exactly its own shares.
+along links, distrust the same against them (who links to blocked hosts is suspect). Ranks are in units
+of one full seed and not divided by the number of hosts, so one threshold serves any size: a host that no
+other reaches has exactly its own shares.
 
 * A null url, or one without ``://``, has an empty host and path, meets no rule and is allowed.
 * Null html has no links. Comments, scripts and styles hold none either.
@@ -86,32 +86,26 @@ def _shares(links: DataFrame) -> DataFrame:
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """``host, trust, distrust`` from ``seeds(host, trust, distrust)``; hosts no mass reaches are left out.
 
-    Solves ``r = (1 - damping) * seed + damping * sum(share * r)`` for both walks at once. A host's links to
-    itself are solved for directly, and a host without links passes its rank to itself. Each round is one
-    join and one aggregation; its ranks are a written table, so a lost executor costs one round at most.
-    Ends when no rank moves by more than ``tolerance`` (at most ``log(tolerance) / log(damping)`` rounds).
+    Solves ``r = seed + damping * sum(share * r)`` for both walks at once: personalised PageRank in units of what one
+    full seed gives itself. Links within a host tell nothing of others and aren't walked; mass that reaches a
+    host without links ends there. Each round is one join and one aggregation; its ranks are a written table, so a
+    lost executor costs one round at most. Ends when no rank moves by more than ``tolerance``.
     """
-    shares = settle(_shares(links), "host-shares")
-    across = shares.where("node <> dst")
-    loops = shares.groupBy("walk", "node").agg(F.sum(F.when(F.col("node") == F.col("dst"), F.col("share")).otherwise(0.0)).alias("loop"))
-    given = seeds.select(F.explode(F.array(*(F.struct(F.lit(w).alias("walk"), F.col("host").alias("node"), F.col(w).alias("seed")) for w in ("trust", "distrust")))).alias("s"))
-    given = given.select("s.*").where("seed > 0")
-    nodes = shares.select("walk", "node").union(across.select("walk", "dst")).union(given.select("walk", "node")).distinct()
-    fixed = nodes.join(loops, ["walk", "node"], "left").join(given, ["walk", "node"], "left")
-    own = 1 - damping * F.coalesce("loop", F.lit(1.0))
-    fixed = settle(fixed.select("walk", "node", own.alias("own"), ((1 - damping) * F.coalesce("seed", F.lit(0.0)) / own).alias("start")), "host-seeds")
-    ranks = fixed.where("start > 0").select("walk", "node", F.col("start").alias("rank"))
+    shares = settle(_shares(links.where("src <> dst")), "host-shares")
+    walks = F.array(*(F.struct(F.lit(w).alias("walk"), F.col("host").alias("node"), F.col(w).alias("seed")) for w in ("trust", "distrust")))
+    given = settle(seeds.select(F.explode(walks).alias("s")).select("s.*").where("seed > 0"), "host-seeds")
+    ranks = given.select("walk", "node", F.col("seed").alias("rank"))
     while True:
-        came = across.join(ranks, ["walk", "node"]).groupBy("walk", F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("rank")).alias("came"))
-        was = ranks.withColumnRenamed("rank", "was")
-        after = fixed.join(came, ["walk", "node"], "left").join(was, ["walk", "node"], "left")
-        rank = F.col("start") + damping * F.coalesce("came", F.lit(0.0)) / F.col("own")
-        after = settle(after.select("walk", "node", rank.alias("rank"), F.coalesce("was", F.lit(0.0)).alias("was")).where("rank > 0"), "host-ranks")
+        came = shares.join(ranks, ["walk", "node"]).groupBy("walk", F.col("dst").alias("node")).agg((damping * F.sum(F.col("share") * F.col("rank"))).alias("rank"))
+        zero = F.lit(0.0)
+        parts = given.select("walk", "node", F.col("seed").alias("rank"), zero.alias("was")).unionByName(came.withColumn("was", zero))
+        parts = parts.unionByName(ranks.select("walk", "node", zero.alias("rank"), F.col("rank").alias("was")))
+        after = settle(parts.groupBy("walk", "node").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")), "host-ranks")
         ranks = after.select("walk", "node", "rank")
         if after.where(F.abs(F.col("rank") - F.col("was")) > tolerance).isEmpty():
             break
-    by_walk = {w: F.coalesce(F.max(F.when(F.col("walk") == w, F.col("rank"))), F.lit(0.0)).alias(w) for w in ("trust", "distrust")}
-    return ranks.groupBy(F.col("node").alias("host")).agg(*by_walk.values())
+    by_walk = [F.coalesce(F.max(F.when(F.col("walk") == w, F.col("rank"))), F.lit(0.0)).alias(w) for w in ("trust", "distrust")]
+    return ranks.groupBy(F.col("node").alias("host")).agg(*by_walk)
 
 
 def judge_hosts(pages: DataFrame, rules: Sequence[Rule], damping: float = 0.85, tolerance: float = 1e-4, threshold: float = 0.5) -> DataFrame:
