@@ -157,6 +157,29 @@ def each_pair_once(keep: np.ndarray, left: np.ndarray, right: np.ndarray) -> tup
     return a[once], b[once]
 
 
+def spanning(node: np.ndarray, left: np.ndarray, right: np.ndarray, alike) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a block pair (places ``a, b``) and edges (``low, high`` nodes) that connect what they do.
+
+    ``alike(x, y)`` tells which of the places ``x`` and ``y`` are a pair. A block with itself tells one edge per member;
+    two blocks tell edges between their own components only, which are found anew here as the block's
+    own task finds them. So a group of n members has n edges and at most one per block pair and component.
+    """
+    a, b = each_pair_once(alike(left, right), left, right)
+    count = len(node)
+    if len(left) == len(right) and (left == right).all():
+        root = smallest_labels(a, b, count)
+        moved = np.flatnonzero(root != np.arange(count))
+        return a, b, node[root[moved]], node[moved]
+    if not len(a):
+        return a, b, node[:0], node[:0]
+    own = [each_pair_once(alike(side, side), side, side) for side in (left, right)]
+    part = smallest_labels(*(np.concatenate([x[n] for x in own]) for n in (0, 1)), count)
+    root = smallest_labels(part[a], part[b], count)
+    met = np.unique(np.concatenate([part[a], part[b]]))
+    moved = met[root[met] != met]
+    return a, b, node[root[moved]], node[moved]
+
+
 def text_key(text: Column) -> Column:
     """What texts share that are equal but for white space."""
     return F.md5(F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
@@ -204,19 +227,16 @@ def candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Dat
             table = table.sort_by("_node")  # what is connected hangs on its smallest node, the same one in every bucket
             node = table["_node"].to_numpy()
             signature = np.frombuffer(b"".join(table["_signature"].to_pylist()), np.uint32).reshape(-1, HASHES)
-            left, right = sides(table)
-            a, b = each_pair_once(surviving(signature[left], signature[right], need), left, right)
-            root = smallest_labels(a, b, len(node))
-            moved = np.flatnonzero(root != np.arange(len(node)))
-            if len(moved):
-                yield pa.record_batch([pa.array(node[root[moved]]), pa.array(node[moved])], names=["a", "b"])
+            _, _, low, high = spanning(node, *sides(table), lambda x, y: surviving(signature[x], signature[y], need))  # noqa: B023
+            if len(low):
+                yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
 
     edges = rows.select("_bucket", "_i", "_j", "_block", "_node", "_signature").mapInArrow(run, "a long, b long")
     return edges.distinct()
 
 
 def verified(grouped: DataFrame, threshold: float, size: int) -> DataFrame:
-    """``_node, _links, _root`` per member and block pair, from rows ``_group, _node, _copies, _text``."""
+    """Links told per member and block pair (``_node, _links``) and edges (``_node, _root``), from rows ``_group, _node, _copies, _text``."""
     sized = grouped.groupBy("_group").agg(F.count("*").alias("_members"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,16 +254,16 @@ def verified(grouped: DataFrame, threshold: float, size: int) -> DataFrame:
             table = table.sort_by("_node")
             node, copies = table["_node"].to_numpy(), table["_copies"].to_numpy()
             sets = [np.frombuffer(s, np.uint64) for s in table["_set"].to_pylist()]
-            left, right = sides(table)
-            like = exact_similarity([sets[x] for x in left], [sets[x] for x in right]) >= threshold - 1e-6
-            a, b = each_pair_once(like, left, right)
+            alike = lambda x, y: exact_similarity([sets[i] for i in x], [sets[i] for i in y]) >= threshold - 1e-6  # noqa: B023, E731
+            a, b, low, high = spanning(node, *sides(table), alike)
             links = np.zeros(len(node), np.int64)
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            root = smallest_labels(a, b, len(node))
-            told = np.flatnonzero((links > 0) | (root != np.arange(len(node))))
+            told = np.flatnonzero(links > 0)
             if len(told):
-                yield pa.record_batch([pa.array(node[told]), pa.array(links[told]), pa.array(node[root[told]])], names=["_node", "_links", "_root"])
+                counts = np.concatenate([links[told], np.zeros(len(high), np.int64)])
+                roots = pa.array(np.concatenate([node[told], low]))
+                yield pa.record_batch([pa.array(np.concatenate([node[told], high])), pa.array(counts), roots], names=["_node", "_links", "_root"])
 
     return rows.select("_group", "_i", "_j", "_block", "_node", "_copies", "_set").mapInArrow(run, "_node long, _links long, _root long")
 

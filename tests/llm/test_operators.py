@@ -160,6 +160,19 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert [got[n]["class_id"] for n in range(60)] == label
 
 
+def test_edges_of_a_large_group_stay_linear(spark, monkeypatch):
+    """Per bucket a group has one edge a member and at most one per pair of blocks, so edges grow as members do."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    words = P.prose(23, 120, 5000).split()
+    for count in (250, 1000):
+        rows = [(n, " ".join([*words[: n % 120], f"edit{n}", *words[n % 120 + 1 :]])) for n in range(count)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        nodes = jaccard_join.sketched(frame, "doc_id", "text", 5)
+        blocks = -(-count // 64)
+        assert jaccard_join.candidate_edges(nodes, 0.8, 1e-6).count() <= 8 * count + jaccard_join.BANDS * blocks * (blocks - 1) / 2
+        assert graphs.components(jaccard_join.candidate_edges(nodes, 0.8, 1e-6)).select("label").distinct().count() == 1
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     need = jaccard_join.fewest_matches(0.8, 1e-6)
     assert need[0] == 0 and need[128] <= 128 * 0.8 and need[128] > 70 and need == sorted(need)
