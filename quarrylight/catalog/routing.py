@@ -52,17 +52,27 @@ MULTI_DOC = (
     f"({P.any_of('question', V.MULTI_DOC_WORDS)} OR regexp_matches(question, '[\\p{{L}}\\p{{N}}_],\\s*[\\p{{L}}\\p{{N}}_]') "
     "OR (contains(lower(question), ' and ') AND NOT starts_with(lower(question), 'what is')))"
 )
-# Openings that bring about every class; turns of the last kind are nothing but the opening.
+# Openings that bring about every class before whole turns; greetings alone are rows beside them.
 LEADS = [
     "", "What is the transformer? ", "latest state of the art ", "Compare BERT and GPT: ", V.OPINION_PHRASES[0] + " about ", V.REFUSAL_PHRASES[0] + " ",
-    V.ABSTRACT_WORDS[0] + " ", "What is attention, latest? ", "Hello!",
+    V.ABSTRACT_WORDS[0] + " ", "What is attention, latest? ",
 ]
-USER_TURNS = f"turns AS (SELECT conv_id, turn, role, {P.led_sql('(conv_id + turn)', LEADS, f'CASE WHEN (conv_id + turn) % {len(LEADS)} = {len(LEADS) - 1} THEN {P.lit("")} ELSE text END')} AS question FROM conversations)"
+GREETING, GREETED = "Hello!", 9
+USER_TURNS = f"""turns AS (SELECT conv_id, turn, role, {P.led_sql('(conv_id + turn)', LEADS, 'text')} AS question, false AS greeting FROM conversations
+    UNION ALL SELECT conv_id, turn, role, {P.lit(GREETING)}, true FROM conversations WHERE (conv_id + turn) % {GREETED} = 0)"""
+
+
+def user_turns(t):
+    """Every turn whole behind one of the openings, and a bare greeting for one turn in nine."""
+    key = F.col("conv_id") + F.col("turn")
+    turns = t.conversations
+    whole = turns.select("conv_id", "turn", P.led(key, LEADS, F.col("text")).alias("question"), F.lit(False).alias("greeting"))
+    return whole.unionByName(turns.where(key % GREETED == 0).select("conv_id", "turn", F.lit(GREETING).alias("question"), F.lit(True).alias("greeting")))
 
 
 @query(
     "query_predicates",
-    f"""WITH {USER_TURNS} SELECT conv_id, turn, {INTENT} AS intent,
+    f"""WITH {USER_TURNS} SELECT conv_id, turn, greeting, {INTENT} AS intent,
     CASE WHEN {MULTI_HOP} THEN 'multi_hop' ELSE 'simple' END AS query_type,
     {MULTI_DOC} AS multi_document, {P.any_of('question', V.ABSTRACT_WORDS)} AS abstract_analysis,
     {P.any_of('question', V.DOMAIN_TERMS)} AS on_topic, {P.any_of('question', V.OPINION_PHRASES)} AS opinion,
@@ -71,11 +81,11 @@ USER_TURNS = f"turns AS (SELECT conv_id, turn, role, {P.led_sql('(conv_id + turn
       OR length(regexp_replace(lower({P.strip('question')}), '[!?.,]+$', '')) < 3 AS casual FROM turns""",
 )
 def query_predicates(t):
-    key = F.col("conv_id") + F.col("turn")
-    q = P.led(key, LEADS, F.when(key % len(LEADS) == len(LEADS) - 1, "").otherwise(F.col("text")))
-    return t.conversations.select(
+    q = F.col("question")
+    return user_turns(t).select(
         "conv_id",
         "turn",
+        "greeting",
         T.query_intent(q).alias("intent"),
         T.query_type(q).alias("query_type"),
         T.is_multi_document(q).alias("multi_document"),
@@ -205,7 +215,7 @@ def crag_decision_rates(t):
     round(count_if(query_type = 'multi_hop') / greatest(count(*), 1), 8) AS multi_hop_pct FROM kinds""",
 )
 def agent_decision_rates(t):
-    kinds = t.conversations.select(T.query_type(F.col("text")).alias("query_type"))
+    kinds = user_turns(t).select(T.query_type(F.col("question")).alias("query_type"))
     out = routing.rates(kinds, "query_type", ["simple", "multi_hop"])
     return out.select("total_queries", *[F.round(c, 8).alias(c) for c in out.columns[1:]])
 

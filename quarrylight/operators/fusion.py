@@ -107,7 +107,10 @@ def keyword_rerank(
     """
     wanted = broadcast_if_small(candidates.select("chunk_id").distinct(), queries.select("query_id"), per_query * 8)
     features = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", F.lower("text").alias("low"), T.ascii_word_set(F.col("text")).alias("c_words"))
-    featured = candidates.join(features, "chunk_id", "left").select(
+    # Few bytes and much work a row: by size alone the pairs would be merged into a handful of tasks.
+    width = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = candidates.repartition(width, "chunk_id")
+    featured = dealt.join(features.repartition(width, "chunk_id"), "chunk_id", "left").select(
         *candidates.columns, F.coalesce("low", F.lit("")).alias("low"), F.coalesce("c_words", F.array().cast("array<string>")).alias("c_words")
     )
     rows = featured.join(broadcast_if_small(question_features(queries), queries, 16), "query_id")
