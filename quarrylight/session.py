@@ -53,6 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for what this driver stores; it goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -61,14 +70,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = own_folder(spark, name)
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
