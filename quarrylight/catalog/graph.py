@@ -152,6 +152,63 @@ def graph_neighbors_2hop(t):
     return big(G.neighbours_two_hops(starts, edges(t), 500), "place")
 
 
+# Where suppliers and nations lie, and whom each nation's suppliers sell most to: few edges, long ways.
+PLACES = """sold AS (SELECT s_suppkey, s_name, s_nationkey, c_nationkey, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
+    JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY s_suppkey, s_name, s_nationkey, c_nationkey),
+  partner AS (SELECT * FROM (SELECT s_nationkey, c_nationkey, sum(n)::BIGINT AS n, row_number() OVER (PARTITION BY s_nationkey ORDER BY sum(n) DESC, c_nationkey) AS r
+    FROM sold WHERE s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey) WHERE r = 1),
+  places AS (SELECT lower(s_name) AS s_key, 'SUPPLIER' AS s_type, 'IN_NATION' AS predicate, lower(n_name) AS o_key, 'NATION' AS o_type, sum(n)::BIGINT AS weight
+    FROM sold JOIN nation ON n_nationkey = s_nationkey GROUP BY s_name, n_name
+  UNION ALL SELECT lower(n_name), 'NATION', 'IN_REGION', lower(r_name), 'REGION', n_nationkey + 1 FROM nation JOIN region ON r_regionkey = n_regionkey
+  UNION ALL SELECT lower(a.n_name), 'NATION', 'SELLS_MOST_TO', lower(b.n_name), 'NATION', n FROM partner JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey)"""
+
+
+def places(t):
+    customers = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).select("o_orderkey", "c_nationkey")
+    sold = t.lineitem.join(customers, F.col("o_orderkey") == F.col("l_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    sold = settle(sold.groupBy("s_suppkey", "s_name", "s_nationkey", "c_nationkey").agg(F.count("*").alias("n")), "sold")
+    nation = t.nation.select("n_nationkey", "n_name", "n_regionkey")
+    row = lambda s, s_type, predicate, o, o_type, weight: [F.lower(s).alias("s_key"), F.lit(s_type).alias("s_type"), F.lit(predicate).alias("predicate"), F.lower(o).alias("o_key"), F.lit(o_type).alias("o_type"), weight.cast("bigint").alias("weight")]
+    homes = sold.groupBy("s_name", "s_nationkey").agg(F.sum("n").alias("n")).join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    regions = nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey"))
+    sums = sold.where("s_nationkey <> c_nationkey").groupBy("s_nationkey", "c_nationkey").agg(F.sum("n").alias("n"))
+    most = sums.groupBy("s_nationkey").agg(F.min(F.struct((-F.col("n")).alias("less"), "c_nationkey")).alias("m"))
+    pairs = most.join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("a")), "s_nationkey").join(nation.select(F.col("n_nationkey").alias("bk"), F.col("n_name").alias("b")), F.col("bk") == F.col("m.c_nationkey"))
+    parts = [
+        homes.select(*row("s_name", "SUPPLIER", "IN_NATION", "n_name", "NATION", F.col("n"))),
+        regions.select(*row("n_name", "NATION", "IN_REGION", "r_name", "REGION", F.col("n_nationkey") + 1)),
+        pairs.select(*row("a", "NATION", "SELLS_MOST_TO", "b", "NATION", -F.col("m.less"))),
+    ]
+    return settle(parts[0].unionByName(parts[1]).unionByName(parts[2]), "places")
+
+
+def ways_sql(hops: int, limit: int) -> str:
+    return f"""WITH RECURSIVE {PLACES}, numbered AS (SELECT *, row_number() OVER (ORDER BY s_key, s_type, predicate, o_key, o_type) AS e FROM places),
+    seen AS (SELECT s_key AS node, s_type AS node_type, o_key AS neighbour, o_type AS neighbour_type, predicate, weight, e FROM numbered
+      UNION ALL SELECT o_key, o_type, s_key, s_type, predicate, weight, e FROM numbered),
+    walk(key, key_type, node, node_type, way, hops) AS (SELECT DISTINCT node, node_type, node, node_type, []::BIGINT[], 0 FROM seen WHERE node_type <> 'NATION'
+      UNION ALL SELECT key, key_type, neighbour, neighbour_type, list_append(way, e), hops + 1 FROM walk JOIN seen USING (node, node_type) WHERE hops < {hops} AND NOT list_contains(way, e)),
+    used AS (SELECT key, node AS neighbour, node_type AS neighbour_type, unnest(way) AS e, hops FROM walk WHERE hops > 0 AND (node <> key OR node_type <> key_type)),
+    rows AS (SELECT DISTINCT key, neighbour, neighbour_type, predicate, weight, hops FROM used JOIN numbered USING (e))
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY hops, weight DESC, neighbour, neighbour_type, predicate) AS place FROM rows) WHERE place <= {limit}"""
+
+
+def ways_from(t, hops: int, limit: int):
+    table = places(t)
+    starts = G.nodes_of(table.withColumns({"s_name": F.col("s_key"), "o_name": F.col("o_key")})).where("entity_type <> 'NATION'")
+    return big(G.neighbours_n_hops(starts.select("key"), table, hops, limit), "place")
+
+
+@query("graph_neighbors_3hop", ways_sql(3, 30))
+def graph_neighbors_3hop(t):
+    return ways_from(t, 3, 30)
+
+
+@query("graph_neighbors_4hop", ways_sql(4, 60))
+def graph_neighbors_4hop(t):
+    return ways_from(t, 4, 60)
+
+
 # Customers and the suppliers they bought from: a graph whose nodes grow with the tables.
 SHIPPED = """shipped AS (SELECT lower(s_name) AS s_key, lower(c_name) AS o_key, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey
   JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)""".replace(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylight.catalog import parts as P
 from quarrylight.catalog.registry import query
 from quarrylight.operators import block_index, dense, vector_index
+from quarrylight.plans import hybrid
 from quarrylight.session import own_folder, settle
 
 BASE = f"WITH {P.CHUNKS}, {P.QUESTIONS}"
@@ -86,3 +87,19 @@ def ann_recall(t):
     told = vector_index.recall(found, dense.knn(asked, all_vectors(t), 10))
     share = vector_index.scan_share(asked, index, probes).select("scanned_share").scalar()
     return told.select("n_queries", "n_exact", (F.col("recall") >= 0.9).alias("nine_in_ten"), (share < 0.8).alias("fewer_scanned"))
+
+
+@query(
+    "paper_fetch_for_query",
+    f"""{BASE}, {P.HASHED},
+    best_chunk AS (SELECT query_id, paper_id, max(dense.score) AS score FROM dense JOIN chunks USING (chunk_id) WHERE section = 'en' GROUP BY query_id, paper_id),
+    {P.top('papers', 'best_chunk', 3, key='paper_id')},
+    inside AS (SELECT query_id, paper_id, chunk_id, dense.score, row_number() OVER (PARTITION BY query_id, paper_id ORDER BY dense.score DESC, chunk_id) AS rank
+      FROM dense JOIN chunks USING (chunk_id) JOIN papers USING (query_id, paper_id))
+    SELECT query_id, paper_id, chunk_id, score, rank FROM inside WHERE rank <= 3""",
+)
+def paper_fetch_for_query(t):
+    """The chunks of each paper the abstracts point to that are nearest to the question."""
+    questions, chunks = t.questions(), t.chunks()
+    papers = settle(hybrid.abstract_search(questions, chunks, "en", 3), "papers")
+    return dense.group_search(questions, papers, chunks, "paper_id", 3).withColumn("rank", F.col("rank").cast("bigint"))

@@ -13,14 +13,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions import vocab as V
 from quarrylight.operators.ranking import top_k
+from quarrylight.session import settle
 
 MAX_BLOCK = 4096
+#: Vectors of a group one task compares at a time, and questions it compares them with.
+PART_ROWS, ASKED_ROWS = 16_384, 1_024
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -97,6 +100,54 @@ def knn(
     return top_k(over_blocks(queries.select("query_id", "vector", *group), found, hashed_dim, schema), k)
 
 
+def grouped_candidates(asked: DataFrame, vectors: DataFrame, keys: list[str], k: int, hashed_dim: int | None = None) -> DataFrame:
+    """Best ``k`` rows a question in every part of the groups it asks: ``query_id, *keys, chunk_id, score``.
+
+    ``asked(query_id, vector, *keys)`` and ``vectors(chunk_id, vector, *keys)`` meet in cogroups. A group of more than
+    ``PART_ROWS`` vectors is dealt into parts by chunk and one that many ask for into blocks of ``ASKED_ROWS``
+    questions, so a cogroup is bounded whatever the size or the popularity of its group. A question's best
+    rows of a group are the best of those its parts tell.
+    """
+    sizes = vectors.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts"))
+    heads = asked.groupBy(*keys).agg(F.ceil(F.count("*") / ASKED_ROWS).cast("int").alias("_blocks"))
+    cuts = settle(sizes.join(heads, keys), "group-parts")
+    part, block = F.pmod(F.xxhash64("chunk_id"), F.col("_parts")).cast("int"), F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    named = [F.col(key).alias(f"a_{key}") for key in keys]
+    left = asked.join(cuts, keys).withColumn("b", block).withColumn("p", every("_parts")).select("query_id", "vector", "b", "p", *named)
+    right = vectors.join(cuts, keys).withColumn("part", part).withColumn("block", every("_blocks")).select("chunk_id", "vector", "part", "block", *keys)
+    kinds = {name: kind for name, kind in asked.dtypes}
+    schema = ", ".join(f"{name} {kinds[name]}" for name in ("query_id", *keys)) + ", chunk_id bigint, score double"
+
+    def compare(key, heads: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(heads) or not len(rows):
+            return pd.DataFrame({name: [] for name in ("query_id", *keys, "chunk_id", "score")})
+        rows = rows.sort_values("chunk_id", kind="stable")  # equal scores go to the smaller key
+        units, told = unit_rows(dense_matrix(heads["vector"], hashed_dim)), unit_rows(dense_matrix(rows["vector"], hashed_dim))
+        scores = np.round(units @ told.T, 8) + 0.0
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = {"query_id": heads["query_id"].repeat(best.shape[1]).to_numpy()}
+        found |= {name: value for name, value in zip(keys, key)}
+        return pd.DataFrame(found | {"chunk_id": rows["chunk_id"].to_numpy()[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+
+    met = left.groupBy(*(f"a_{key}" for key in keys), "p", "b").cogroup(right.groupBy(*keys, "part", "block"))
+    return met.applyInPandas(compare, schema)
+
+
+def group_search(queries: DataFrame, wanted: DataFrame, chunks: DataFrame, group: str, k: int) -> DataFrame:
+    """The ``k`` chunks of each wanted group that are nearest to the question: ``query_id, <group>, chunk_id, score, rank``.
+
+    ``wanted(query_id, <group>)`` names the groups (say, papers) per question; nothing outside them is compared. Hashed
+    term-frequency vectors; a group without chunks gives no rows, and repeated wishes count once.
+    """
+    heads = queries.select("query_id", T.hash_buckets(F.col("question")).alias("vector"))
+    asked = wanted.select("query_id", group).where(F.col(group).isNotNull()).distinct().join(heads, "query_id")
+    vectors = chunks.select("chunk_id", group, T.hash_buckets(F.col("text")).alias("vector"))
+    found = grouped_candidates(asked.select("query_id", "vector", group), vectors, [group], k, V.HASH_DIM)
+    order = Window.partitionBy("query_id", group).orderBy(F.col("score").desc(), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def over_blocks(queries: DataFrame, found: Callable[..., DataFrame], hashed_dim: int | None, schema: str) -> DataFrame:
     """``found`` of every block of questions, brought together; a block holds about half of ``MAX_BLOCK``."""
     spark = queries.sparkSession

@@ -6,7 +6,7 @@ Edges are ``s_name, s_type, predicate, o_name, o_type, weight, ...`` with lower-
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.operators.ranking import ranked
@@ -167,6 +167,59 @@ def neighbours_two_hops(starts: DataFrame, edges: DataFrame, limit: int = MAX_NE
     return ranked(rows, "key", order, "place").where(F.col("place") <= limit)
 
 
+def typed_view(edges: DataFrame) -> DataFrame:
+    """Every edge from both ends, nodes told apart by name and type: ``node, node_type, neighbour, neighbour_type, predicate, weight, edge``."""
+    edge = F.to_json(F.array(*EDGE_KEY)).alias("edge")
+    ends = [("s_key", "s_type", "o_key", "o_type"), ("o_key", "o_type", "s_key", "s_type")]
+    sides = [
+        edges.select(F.col(a).alias("node"), F.col(b).alias("node_type"), F.col(c).alias("neighbour"), F.col(d).alias("neighbour_type"), "predicate", F.col("weight").cast("bigint").alias("weight"), edge)
+        for a, b, c, d in ends
+    ]
+    return sides[0].unionByName(sides[1])
+
+
+def neighbours_n_hops(starts: DataFrame, edges: DataFrame, hops: int, limit: int = MAX_NEIGHBOURS) -> DataFrame:
+    """Entities within ``hops`` steps of every start name (``key``), with every edge of the ways there, nearest first.
+
+    Rows are distinct ``(key, neighbour, neighbour_type, predicate, weight, hops)`` over all ways of each length that use
+    no edge twice and end elsewhere than they began; the first ``limit`` by hops, falling weight, name, type and predicate stay.
+
+    One frontier for all starts grows a step per round. Levels come first in the order, so a start that has ``limit`` rows
+    is finished, and one that hasn't has few ways: ways are never enumerated around what is full. A node passes on
+    its heaviest edges and those to its first neighbours by name, as many as ``limit`` rows can need after the edges
+    already walked and those back to the start are set aside; only a level that fills its start is cut by that, and such
+    a level isn't walked on from. So a hub costs its bounded list, and the rows are exact.
+    """
+    view = settle(typed_view(edges), "typed-view")
+    at = ["node", "node_type"]
+    same = view.groupBy(*at, "neighbour", "neighbour_type").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    by_weight = Window.partitionBy(*at).orderBy(F.col("weight").desc(), "neighbour", "neighbour_type", "predicate")
+    by_name = Window.partitionBy(*at).orderBy("neighbour", "neighbour_type")
+    heavy = view.withColumn("nth", F.dense_rank().over(by_weight)).where(F.col("nth") <= limit + hops + int(same)).drop("nth")
+    first = view.withColumn("nth", F.dense_rank().over(by_name)).where(F.col("nth") <= limit + hops + 1).drop("nth")
+    steps = settle(heavy.unionByName(first).distinct().withColumnsRenamed({"node": "end", "node_type": "end_type"}), "steps")
+    steps = steps.withColumn("step", F.struct("edge", "predicate", "weight")).select("end", "end_type", "neighbour", "neighbour_type", "step")
+    keys = starts.select("key").distinct()
+    began = view.select(*at).distinct().join(keys.withColumnRenamed("key", "node"), "node", "left_semi")
+    kind = steps.schema["step"].dataType.simpleString()
+    ways = began.select(F.col("node").alias("key"), F.col("node_type").alias("key_type"), F.col("node").alias("end"), F.col("node_type").alias("end_type"), F.array().cast(f"array<{kind}>").alias("way"))
+    order = [F.col("hops"), F.col("weight").desc(), F.col("neighbour"), F.col("neighbour_type"), F.col("predicate")]
+    found = None
+    for n in range(1, hops + 1):
+        fresh = ~F.exists("way", lambda w: w["edge"] == F.col("step.edge"))
+        grown = ways.join(steps, ["end", "end_type"]).where(fresh)
+        ways = settle(grown.select("key", "key_type", F.col("neighbour").alias("end"), F.col("neighbour_type").alias("end_type"), F.concat("way", F.array("step")).alias("way")), "ways")
+        elsewhere = ways.where((F.col("end") != F.col("key")) | (F.col("end_type") != F.col("key_type")))
+        told = elsewhere.select("key", F.col("end").alias("neighbour"), F.col("end_type").alias("neighbour_type"), F.explode("way").alias("w"))
+        told = told.select("key", "neighbour", "neighbour_type", "w.predicate", "w.weight", F.lit(n).alias("hops")).distinct()
+        found = settle((told if found is None else found.unionByName(told)).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= limit).drop("place"), "found")
+        full = found.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
+        ways = ways.join(full, "key", "left_anti")
+        if n == hops or ways.isEmpty():
+            break
+    return ranked(found, "key", order, "place")
+
+
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
     """Undirected unweighted shortest path of every ``(source, target)`` pair: ``hops, path``.
 

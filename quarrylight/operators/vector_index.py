@@ -17,15 +17,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.operators.dense import unit_rows
+from quarrylight.operators.dense import PART_ROWS, grouped_candidates, unit_rows
 from quarrylight.operators.ranking import top_k
 from quarrylight.session import settle
 
 INDEX_VERSION = 1
 #: Vectors the centroids are learned from: the bound on what the driver holds besides the centroids.
 TRAIN_SAMPLE = 20_000
-#: Vectors in one part of a list, and questions compared with a part at a time.
-PART_ROWS, QUESTION_BLOCK = 16_384, 1_024
 
 
 @dataclass(frozen=True)
@@ -143,30 +141,12 @@ def probed(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame:
 def search(queries: DataFrame, index: VectorIndex, k: int, probes: int) -> DataFrame:
     """Approximate cosine top ``k``: ``query_id, chunk_id, score, rank``.
 
-    ``queries(query_id, vector)``. Questions and stored parts meet by list in cogroups: a part holds at most
-    about ``PART_ROWS`` vectors, and the questions of a popular list are dealt into blocks, each of which meets
-    every part of the list. A cogroup passes on ``k`` rows a question, so the ranking sees ``k`` rows per probe.
+    ``queries(query_id, vector)``. Questions and vectors meet by list, large and popular lists in pieces; each piece
+    passes on ``k`` rows a question, so the ranking sees ``k`` rows per probe and piece.
     """
     asked = probed(queries, index, probes)
-    lists = asked.groupBy("list").agg(F.ceil(F.count("*") / QUESTION_BLOCK).cast("int").alias("blocks"))
-    parts = index.rows.select("list", "part").distinct()
-    dealt = asked.join(lists, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
-    left = dealt.join(parts, "list").select(F.col("list").alias("l"), F.col("part").alias("p"), F.col("block").alias("b"), "query_id", F.col("vector").alias("q"))
-    stored = index.rows.join(lists, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = stored.select("list", "part", F.col("block").cast("int").alias("block"), "chunk_id", "vector")
-    kind = queries.schema["query_id"].dataType.simpleString()
-
-    def compare(key, qs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(rows):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        rows = rows.sort_values("chunk_id", kind="stable")
-        ids = rows["chunk_id"].to_numpy()
-        scores = np.round(stacked(qs["q"]) @ stacked(rows["vector"]).T, 8) + 0.0
-        keep = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # rows are in key order, so ties go to the smaller key
-        return pd.DataFrame({"query_id": qs["query_id"].repeat(keep.shape[1]).to_numpy(), "chunk_id": ids[keep].ravel(), "score": np.take_along_axis(scores, keep, axis=1).ravel()})
-
-    found = left.groupBy("l", "p", "b").cogroup(right.groupBy("list", "part", "block")).applyInPandas(compare, f"query_id {kind}, chunk_id bigint, score double")
-    return top_k(found, k)
+    found = grouped_candidates(asked, index.rows.select("list", "chunk_id", "vector"), ["list"], k)
+    return top_k(found.select("query_id", "chunk_id", "score"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -100,8 +100,9 @@ def test_recall_is_high_where_vectors_have_structure(vectors):
 
 @pytest.mark.parametrize("part, block", [(16_384, 1_024), (100, 5)])
 def test_all_lists_are_exact_in_parts_and_blocks_too(vectors, monkeypatch, part, block):
-    monkeypatch.setattr(vector_index, "PART_ROWS", part)
-    monkeypatch.setattr(vector_index, "QUESTION_BLOCK", block)
+    for module in (vector_index, dense):
+        monkeypatch.setattr(module, "PART_ROWS", part)
+    monkeypatch.setattr(dense, "ASKED_ROWS", block)
     index = vector_index.build(vectors, 20)
     assert index.rows.count() == 3061 and index.rows.groupBy("list", "part").count().agg(F.max("count")).first()[0] <= max(1.5 * part, 100)
     known = vectors.where("vector IS NOT NULL")
@@ -126,3 +127,17 @@ def test_vector_index_of_nothing_and_of_copies(spark, vectors):
     hits = vector_index.search(asked(same.limit(1)), vector_index.build(same, 7), 4, 7).orderBy("rank").collect()
     assert [h["chunk_id"] for h in hits] == [0, 1, 2, 3]
     assert vector_index.search(asked(vectors).limit(0), vector_index.build(vectors, 5), 3, 2).count() == 0
+
+
+def test_group_search_stays_inside_the_wanted_groups(spark, corpus, monkeypatch):
+    monkeypatch.setattr(dense, "PART_ROWS", 150)
+    monkeypatch.setattr(dense, "ASKED_ROWS", 2)
+    chunks, questions = corpus
+    wanted = [(q, f"topic{g}") for q in (1, 2, 5, 7, 8) for g in (0, 3)] + [(1, "topic0"), (2, "none"), (3, None), (99, "topic1")]
+    wanted = spark.createDataFrame(wanted, "query_id long, section string")
+    got = dense.group_search(questions, wanted, chunks, "section", 4).collect()
+    for topic in ("topic0", "topic3"):
+        part = chunks.where(F.col("section") == topic)
+        want = rows(dense.hashed_search(questions.where("query_id IN (1, 2, 5, 7, 8)"), part, 4))
+        assert sorted((r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in got if r["section"] == topic) == want
+    assert {r["section"] for r in got} == {"topic0", "topic3"}
