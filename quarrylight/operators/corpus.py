@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions import vocab as V
-from quarrylight.functions.splitting import split_chunks
+from quarrylight.operators.packing import recursive_chunks
 from quarrylight.operators.splits import expand_acronyms
 
 
@@ -126,14 +126,11 @@ def chunk_sections(
     ``acronyms`` names an array column of ``(acronym, full_form)``; their first use in a chunk is
     spelled out.
 
-    Splitting a section is a pandas UDF over whole texts; everything around it is columns. The
-    number of a chunk counts the short ones that are dropped, so numbers may have gaps.
+    The number of a chunk counts the short ones that are dropped, so numbers may have gaps.
     """
-    split = split_chunks(size, overlap)
     extra = [F.col(acronyms).alias("acronyms")] if acronyms else []
-    parts = indexable_sections(sections).select(
-        key, "section", F.col(title).alias("title"), *extra, F.posexplode(split(F.col("text"))).alias("ord", "raw")
-    )
+    texts = indexable_sections(sections).select(key, "section", F.col(title).alias("title"), *extra, "text")
+    parts = recursive_chunks(texts, "text", size, overlap).withColumnRenamed("chunk", "raw")
     if acronyms:
         parts = parts.withColumn("raw", expand_acronyms(F.col("raw"), F.col("acronyms")))
     cleaned = parts.withColumn("body", T.tidy_whitespace(F.col("raw"))).where(F.length("body") >= V.MIN_CHUNK_CHARS)
