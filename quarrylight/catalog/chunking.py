@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from quarrylight.catalog import parts as P
 from quarrylight.catalog.registry import query
 from quarrylight.functions import vocab as V
+from quarrylight.functions.splitting import EQUATIONS
 from quarrylight.operators import packing
 
 SIZE, OVERLAP = 400, 60
+EQUATION = "|".join(EQUATIONS)
+#: ``plain(id, body)`` becomes ``texts(id, body)`` with a short token for every display equation; ``whole(chunk)`` puts them back.
+HIDDEN = f"""found AS (SELECT id, body AS raw, regexp_extract_all(body, {P.lit(EQUATION)}, 0, 's') AS eqs FROM plain),
+    texts AS (SELECT id, array_to_string(list_transform(regexp_split_to_array(raw, {P.lit(EQUATION)}, 's'), lambda p, k: CASE WHEN k <= len(eqs) THEN p || format('__EQ_{{:04d}}__', k - 1) ELSE p END), '') AS body FROM found)"""
+WHOLE = "list_reduce(list_prepend(chunk, list_distinct(regexp_extract_all(chunk, '__EQ_(\\d{4,})__', 1))), lambda c, t: replace(c, '__EQ_' || t || '__', eqs[t::INT + 1]))"
 WHITE = r"^[\s\x1C-\x1F\p{Z}\x{85}]+|[\s\x1C-\x1F\p{Z}\x{85}]+$"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.catalog import parts as P
+from quarrylight.catalog.chunking import HIDDEN, WHOLE, chunks_sql
 from quarrylight.catalog.registry import query
 from quarrylight.catalog.routing import big
 from quarrylight.operators import splits as S
@@ -263,7 +264,19 @@ def indexable_sections(t):
     return C.indexable_sections(sections(t)).select("page_id", "section")
 
 
-@query("chunk_recursive")
+TIDY = P.strip("array_to_string(list_transform(string_split(regexp_replace(chunk, chr(10) || '{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda l: " + P.strip("l") + "), chr(10))")
+
+
+@query(
+    "chunk_recursive",
+    f"""WITH RECURSIVE {SECTIONS}, plain AS (SELECT page_id || '/' || section AS id, text AS body FROM sections
+      WHERE NOT list_contains({P.words(V.SECTION_BLOCKLIST)}, lower(section)) AND length({P.strip('text')}) >= {V.MIN_SECTION_CHARS}),
+    {HIDDEN}, {chunks_sql('texts', V.CHUNK_CHARS, V.CHUNK_OVERLAP_CHARS, V.CHUNK_SEPARATORS)},
+    restored AS (SELECT id, ord, {WHOLE} AS chunk FROM chunks JOIN found USING (id)),
+    tidied AS (SELECT page_id, section, restored.ord AS ord, {TIDY} AS body, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+      array_to_string(list_transform(string_split(replace(section, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS label FROM restored JOIN sections ON id = page_id || '/' || section JOIN pages USING (page_id))
+    SELECT format('{{}}_{{}}_{{:03d}}', page_id, section, ord) AS chunk_id, page_id, section, ord::INT AS ord, title || ' — ' || label || chr(10) || chr(10) || body AS text FROM tidied WHERE length(body) >= {V.MIN_CHUNK_CHARS}""",
+)
 def chunk_recursive(t):
     return C.chunk_sections(sections(t), "page_id", "title")
 
