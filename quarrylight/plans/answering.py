@@ -153,7 +153,7 @@ def answer_from_context(queries: DataFrame, context: DataFrame) -> DataFrame:
 
 def written_answers(queries: DataFrame, open_: DataFrame, sources: DataFrame, reasons: DataFrame) -> DataFrame:
     """Write, cite, renumber and check the answers of the open questions; the others keep their reason."""
-    written = A.template_answer(open_, sources).select("query_id", gatetext.postprocess_math(F.col("answer")).alias("answer"))
+    written = A.template_answer(open_, sources).select("query_id", gatetext.promote_equations(gatetext.postprocess_math(F.col("answer"))).alias("answer"))
     cited = settle(A.inject_citations(written, sources), "cited")
     renumbered = A.renumber_citations(cited, sources)
     kept = renumbered.select("query_id", F.posexplode("kept").alias("pos", "source_number"))

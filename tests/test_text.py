@@ -178,3 +178,16 @@ def test_fixed_lists_have_no_repeats():
     for words in (V.BM25_STOP, V.TITLE_STOP, V.OVERLAP_STOP, V.DOMAIN_TERMS, V.REFUSAL_PHRASES):
         assert len(words) == len(set(words))
     assert len(V.LANDMARK_PAPERS) == 30 and len(V.REFUSAL_PHRASES) == 26
+
+
+def test_equation_lines_become_display_math(spark):
+    cases = {
+        r"Attention(Q, K, V) = softmax($\frac{QK^T}{\sqrt{d_k}}$)V": r"$$\text{Attention}(Q, K, V) = \text{softmax}(\frac{QK^T}{\sqrt{d_k}})V$$",
+        "  y = $x$ [Source 1] [Source 2] ": "$$y = x$$ [Source 1] [Source 2]",
+        "The loss is $L$ = the sum of all terms": None, "y = x": None, "$y$ is x": None, "# y = $x$": None, "- y = $x$": None, "* y = $x$": None,
+        "$$y = x$$": None, "": None, "y = $x$" + " q" * 100: None, "1 = $2$": None, r"$d\$b$ = c": r"$$d\$b = c$$", "y = $$x$$": None,
+        r"\text{softmax} = $x$": r"$$\text{softmax} = x$$", r"[Source 1] $=$": None, "ReLU = GELU($x$), $y$$z$": "$$\\text{ReLU} = \\text{GELU}(x), $y$$z$$$",
+    }
+    text = "\n".join(cases)
+    assert one(spark, text, G.promote_equations).split("\n") == [k if v is None else v for k, v in cases.items()]
+    assert one(spark, None, G.promote_equations) is None
