@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.catalog import parts as P
+from quarrylight.catalog.answers import CONFUSION, DETECT, flagged
 from quarrylight.catalog.registry import query
 from quarrylight.catalog.routing import landmarks, sparse20
 from quarrylight.operators import evaluate as E
 from quarrylight.operators import faithfulness as Q
-from quarrylight.operators import routing
+from quarrylight.operators import routing, sparse
+from quarrylight.operators import runs as runs_of
 from quarrylight.plans import answering, corrective
 from quarrylight.sources import evalsets, sinks
 
@@ -69,15 +71,24 @@ def annotated_responses(t):
     return loaded(t).select("id", "source_id", F.md5("context").alias("context"), F.size("spans").alias("n_spans"), "has_hallucination")
 
 
-@query("annotated_run_report")
+@query(
+    "annotated_run_report",
+    f"""WITH {RESPONSES}, pairs AS (SELECT id AS query_id, response AS answer, context FROM loaded), {DETECT}, {flagged(0.20, 'f')},
+    s AS (SELECT l.id AS query_id, coalesce(f.spans, []) AS ps, CASE WHEN n_spans > 0 THEN [response] ELSE [] END AS gs FROM loaded l LEFT JOIN f ON f.query_id = l.id),
+    k AS (SELECT *, list_distinct(flatten(list_transform(ps, lambda x: {P.word_list('x')}))) AS pw, list_distinct(flatten(list_transform(gs, lambda x: {P.word_list('x')}))) AS gw FROM s),
+    b AS (SELECT len(gs) > 0 AS g, len(ps) > 0 AS p, len(list_intersect(pw, gw)) AS c, len(pw) AS np, len(gw) AS ng FROM k),
+    m AS (SELECT count(*) AS total, round(avg(p::INT), 6) AS predicted_rate, round(avg(g::INT), 6) AS gold_rate,
+      round(avg(CASE WHEN NOT g AND NOT p THEN 1.0 WHEN c > 0 THEN 2.0 * c / (np + ng) ELSE 0.0 END), 6) AS mean_span_f1 FROM b),
+    {CONFUSION.replace(" FROM rates", ", total, predicted_rate, gold_rate, mean_span_f1 FROM rates, m")}""",
+)
 def annotated_run_report(t):
     rows = loaded(t)
     found = Q.detect_unsupported(rows.select(F.col("id").alias("query_id"), F.col("response").alias("answer"), "context"))
-    both = rows.join(found.withColumnRenamed("query_id", "id").withColumnRenamed("spans", "predicted"), "id")
-    scored = both.select("*", *Q.span_f1(F.col("predicted"), F.transform("spans", lambda s: s["text"])))
-    rates = E.confusion(scored, F.col("has_hallucination"), F.size("predicted") > 0)
-    mean = scored.agg(F.avg("span_f1").alias("mean_span_f1")).select("mean_span_f1").scalar()
-    return rates.withColumn("mean_span_f1", mean)
+    both = rows.join(found.withColumnRenamed("query_id", "id").withColumnRenamed("spans", "predicted_spans"), "id")
+    scored = both.select("*", *Q.span_f1(F.col("predicted_spans"), F.transform("spans", lambda s: s["text"])))
+    judged = scored.select(F.col("has_hallucination").alias("gold"), (F.size("predicted_spans") > 0).alias("predicted"), "span_f1", F.lit(None).cast("double").alias("latency_ms"))
+    told = runs_of.annotated_summary(judged).drop("avg_latency_ms")
+    return told.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "fpr", "f1", "predicted_rate", "gold_rate", "mean_span_f1")})
 
 
 @query(
@@ -188,32 +199,34 @@ def eval_query_shapes(t):
 
 @query(
     "judge_quoted_spans",
-    """WITH r AS (SELECT doc_id, text, 'It says "' || substr(text, 1, 12) || '" and "' || replace(substr(text, 5, 15), 'e', 'E') || '" and "short" and "never in this answer".' AS reasoning
-      FROM documents WHERE NOT contains(substr(text, 1, 20), '"'))
+    """WITH r AS (SELECT doc_id, text, 'It says ' || array_to_string(list_transform(string_split(text, chr(10)), lambda l: '"' || replace(l, '"', chr(39)) || '"'), ' and ')
+      || ' and "' || replace(substr(text, 5, 15), 'e', 'E') || '" and "short" and "never in this answer".' AS reasoning FROM documents)
     SELECT doc_id, array_to_string(list_filter(regexp_extract_all(reasoning, '"([^"]{10,})"', 1), lambda q: contains(lower(text), lower(q))), '|') AS spans FROM r""",
 )
 def judge_quoted_spans(t):
-    rows = t.documents.where(~F.contains(F.substring("text", 1, 20), F.lit('"')))
+    """Every line of every text is quoted (with its own quotes changed), and what the text does not say besides."""
+    lines = F.transform(F.split("text", "\n", -1), lambda line: F.concat(F.lit('"'), F.replace(line, F.lit('"'), F.lit("'")), F.lit('"')))
     reasoning = F.concat(
-        F.lit('It says "'), F.substring("text", 1, 12), F.lit('" and "'), F.replace(F.substring("text", 5, 15), F.lit("e"), F.lit("E")), F.lit('" and "short" and "never in this answer".')
+        F.lit("It says "), F.array_join(lines, " and "), F.lit(' and "'), F.replace(F.substring("text", 5, 15), F.lit("e"), F.lit("E")), F.lit('" and "short" and "never in this answer".')
     )
-    return rows.select("doc_id", F.array_join(evalsets.quoted_spans(reasoning, F.col("text")), "|").alias("spans"))
+    return t.documents.select("doc_id", F.array_join(evalsets.quoted_spans(reasoning, F.col("text")), "|").alias("spans"))
 
 
 @query(
     "plan_step_union",
-    f"""WITH {P.CHUNKS}, {P.QUESTIONS}, {P.RELEVANT}, hits AS (SELECT query_id, chunk_id FROM relevant)
-    SELECT query_id, chunk_id, 0.5::DOUBLE AS score, 0 AS step FROM hits UNION ALL SELECT query_id, chunk_id, 0.25::DOUBLE, 1 FROM hits WHERE chunk_id % 2 = 0""",
+    f"""WITH {P.CHUNKS}, {P.QUESTIONS}, {P.RELEVANT}, {P.INDEX}, {P.BM25}, {P.top('best', 'bm25', 5, where='score > 0')}
+    SELECT query_id, chunk_id, 0.5::DOUBLE AS score, 0 AS step FROM relevant UNION ALL SELECT query_id, chunk_id, score, 1 FROM best""",
 )
 def plan_step_union(t):
-    hits = t.relevant()
-    return routing.union_steps([hits, hits.where("chunk_id % 2 = 0").withColumn("score", F.lit(0.25))])
+    """What holds the question, which brings no score, and a search as the second step."""
+    return routing.union_steps([t.relevant(), sparse.bm25_search(t.questions(), sparse.build_index(t.chunks()), 5)])
 
 
 @query("context_answers")
 def context_answers(t):
-    """Every exchange answered from its own question as the only passage, and from nothing."""
-    asked = t.exchanges().select("query_id", F.concat(F.lit("How does this model learn: "), F.substring("question", 1, 60), F.lit("?")).alias("question"), F.col("question").alias("text"))
-    context = asked.where("query_id % 3 <> 0").select("query_id", F.lit(1).alias("rank"), F.lit("given").alias("title"), F.lit("body").alias("section"), "text", F.lit(0.9).alias("score"))
-    out = answering.answer_from_context(asked.select("query_id", "question"), context)
+    """Every exchange answered from its whole question as the only passage, and once more from nothing (negative ids)."""
+    asked = t.exchanges().select("query_id", F.concat(F.lit("How does this model learn: "), "question", F.lit("?")).alias("question"), F.col("question").alias("text"))
+    context = asked.select("query_id", F.lit(1).alias("rank"), F.lit("given").alias("title"), F.lit("body").alias("section"), "text", F.lit(0.9).alias("score"))
+    bare = asked.select((-F.col("query_id") - 1).alias("query_id"), "question")
+    out = answering.answer_from_context(asked.select("query_id", "question").unionByName(bare), context)
     return out.withColumn("citations", F.array_join("citations", "\n"))
