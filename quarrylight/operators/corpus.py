@@ -181,6 +181,22 @@ def list_papers(chunks: DataFrame) -> DataFrame:
     )
 
 
+def paper_list(chunks: DataFrame) -> DataFrame:
+    """Papers by title: ``paper_id, title, year, arxiv_id, chunk_count, sections`` as the first chunk of each tells them.
+
+    ``chunks(chunk_id, paper_id, title, year, arxiv_id, section)``. A paper without a title is 'Unknown', without a
+    year 0; chunks that name no paper are left out. Equal titles go by id; the order is one range-partitioned sort.
+    """
+    named = chunks.where(F.coalesce("paper_id", F.lit("")) != "")
+    first = F.min_by(F.struct("title", "year", "arxiv_id"), "chunk_id").alias("first")
+    papers = named.groupBy("paper_id").agg(first, F.count("*").alias("chunk_count"), F.array_sort(F.collect_set(F.nullif("section", F.lit("")))).alias("sections"))
+    rows = papers.select(
+        "paper_id", F.coalesce("first.title", F.lit("Unknown")).alias("title"), F.coalesce("first.year", F.lit(0)).alias("year"),
+        F.coalesce("first.arxiv_id", F.lit("")).alias("arxiv_id"), "chunk_count", "sections",
+    )
+    return rows.orderBy("title", "paper_id")
+
+
 def section_position(section: Column) -> Column:
     """Reading order of a section name."""
     order = F.create_map(*[x for name, at in V.SECTION_ORDER.items() for x in (F.lit(name), F.lit(at))])
@@ -202,24 +218,42 @@ def preferred_chunks(chunks: DataFrame, wanted: DataFrame, most: int = 3) -> Dat
     return chunks.join(wanted, "paper_id", "left_semi").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
 
 
-def document_context(sections: DataFrame, key: str, title: str, max_chars: int) -> DataFrame:
+# Characters a token stands for, tokens kept for the prompt around the context, authors that are named.
+CHARS_PER_TOKEN, PROMPT_TOKENS, MOST_AUTHORS, PREVIEW_CHARS = 3.5, 512, 5, 200
+
+
+def context_chars(max_tokens: int) -> int:
+    """Characters of context that fit into a window of ``max_tokens`` beside the prompt."""
+    return int((max_tokens - PROMPT_TOKENS) * CHARS_PER_TOKEN)
+
+
+def author_line(authors: Column) -> Column:
+    """``Authors: ...`` of an array (its first five) or of a text; null where there are none."""
+    named = F.array_join(F.slice(authors, 1, MOST_AUTHORS), ", ")
+    return F.when(F.size(authors) > 0, F.concat(F.lit("Authors: "), named))
+
+
+def document_context(sections: DataFrame, key: str, title: str, max_chars: int, authors: str | None = None) -> DataFrame:
     """Whole text of a paper for a prompt, or a preview of each section when it is too long.
 
-    ``sections(key, ord, section, text, title)``.
+    ``sections(key, ord, section, text, title)``; ``authors`` names an array column of author names.
     """
     from quarrylight.operators.answers import in_order
 
     label = F.initcap(F.replace(F.col("section"), F.lit("_"), F.lit(" ")))
     full = F.concat(F.lit("\n## "), label, F.lit("\n"), F.col("text"))
-    head = F.regexp_replace(F.substring("text", 1, 200), r" [^ ]*$", "")
-    short = F.when((F.length("text") > 200) & (F.lower("section") != "abstract"), F.concat(head, F.lit("…"))).otherwise(F.col("text"))
+    head = F.regexp_replace(F.substring("text", 1, PREVIEW_CHARS), r" [^ ]*$", "")
+    short = F.when((F.length("text") > PREVIEW_CHARS) & (F.lower("section") != "abstract"), F.concat(head, F.lit("…"))).otherwise(F.col("text"))
     preview = F.concat(F.lit("\n## "), label, F.lit("\n"), short)
     first = F.when(F.lower("section") == "abstract", F.lit(-1)).otherwise(F.col("ord"))
     marked = sections.withColumn("full", full).withColumn("preview", preview).withColumn("first", first)
+    line = author_line(F.col(authors)) if authors else F.lit(None).cast("string")
     built = marked.groupBy(key, title).agg(
-        F.array_join(in_order("ord", "full"), "\n").alias("full"), F.array_join(in_order("first", "preview"), "\n").alias("preview")
+        F.first(line, ignorenulls=True).alias("authors_line"),
+        F.array_join(in_order("ord", "full"), "\n").alias("full"),
+        F.array_join(in_order("first", "preview"), "\n").alias("preview"),
     )
-    lead = F.concat(F.lit("Title: "), F.col(title), F.lit("\n"))
+    lead = F.concat(F.lit("Title: "), F.col(title), F.lit("\n"), F.coalesce(F.concat("authors_line", F.lit("\n")), F.lit("")))
     whole, less = F.concat(lead, "full"), F.concat(lead, "preview")
     cut = F.when(F.length(less) > max_chars, F.concat(F.substring(less, 1, max_chars), F.lit("\n[truncated]"))).otherwise(less)
     return built.select(key, F.when(F.length(whole) <= max_chars, whole).otherwise(cut).alias("context"))

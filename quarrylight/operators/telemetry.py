@@ -93,6 +93,12 @@ def rolling_percentiles(events: DataFrame, key: str, order: list[str], value: st
     return spread.groupBy("segment").applyInPandas(roll, f"{key} bigint, n bigint, p50 double, p90 double, p99 double")
 
 
+def stage_means(events: DataFrame, stage: str, value: str, order: list[Column], n: int = V.RING_REQUESTS) -> DataFrame:
+    """``stage, n, mean`` over the last ``n`` positive values of each stage; a stage that took no time wasn't measured."""
+    ring = ring_buffer(events.where(F.col(value) > 0), stage, order, n)
+    return ring.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+
+
 def histogram(events: DataFrame, value: str, bounds: list[float], by: list[str | Column]) -> DataFrame:
     """Cumulative bucket counts ``..., le, n``, with ``le = inf`` for all rows.
 
