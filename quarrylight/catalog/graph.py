@@ -66,7 +66,7 @@ def triples(t):
 
 def edges(t):
     """The edge table as a stored one, which every query over the graph reads several times."""
-    return settle(G.edges_of(triples(t)), "edges")
+    return settle(G.weighted_edges(triples(t)), "edges")
 
 
 def asked(t):

@@ -85,6 +85,16 @@ def edges_from(rows: DataFrame) -> DataFrame:
     return found.select(*EDGE_KEY, "s_name", "o_name", "weight", "n_chunks", "n_docs", "confidence_sum")
 
 
+def weighted_edges(triples: DataFrame) -> DataFrame:
+    """Edges with how often they are stated and no counts of who states them: what lookups and walks read.
+
+    One aggregation with partial sums per task, however many chunks state an edge.
+    """
+    keyed = triples.withColumn("s_key", F.lower("s_name")).withColumn("o_key", F.lower("o_name"))
+    found = keyed.groupBy(*EDGE_KEY).agg(F.min("s_name").alias("s_name"), F.min("o_name").alias("o_name"), F.count("*").alias("weight"))
+    return found.select(*EDGE_KEY, "s_name", "o_name", "weight")
+
+
 def provenance(triples: DataFrame, doc: str = "doc_id") -> DataFrame:
     keyed = triples.select(F.lower("s_name").alias("s_key"), "s_type", "predicate", F.lower("o_name").alias("o_key"), "o_type", doc)
     return keyed.distinct()
