@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from quarrylight.catalog import parts as P
 from quarrylight.catalog.answers import CONFUSION, DETECT, flagged
 from quarrylight.catalog.registry import query
-from quarrylight.catalog.routing import landmarks, sparse20
+from quarrylight.catalog.retrieval import HYBRID
+from quarrylight.catalog.routing import CRAG, PROFILE, landmarks, sparse20
+from quarrylight.functions import vocab as V
 from quarrylight.operators import evaluate as E
 from quarrylight.operators import faithfulness as Q
 from quarrylight.operators import routing, sparse
@@ -16,14 +18,39 @@ from quarrylight.plans import answering, corrective
 from quarrylight.sources import evalsets, sinks
 
 
-@query("crag_retrieval")
+# Every question as it is and by its content words alone, searched side by side: odd ids are the rewritten ones.
+TWICE = f"""{P.CHUNKS}, asked AS (SELECT item_id AS query_id, text AS question FROM benchmark),
+  words AS (SELECT *, regexp_extract_all(lower(coalesce(question, '')), '[a-z0-9]+') AS r FROM asked),
+  questions AS (SELECT query_id * 2 AS query_id, question FROM asked
+    UNION ALL SELECT query_id * 2 + 1, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i AND length(x) > 1 AND NOT list_contains({P.words(V.OVERLAP_STOP)}, x)), ' ') FROM words),
+  {HYBRID}, told AS (SELECT query_id // 2 AS query_id, query_id % 2 = 1 AS again, chunk_id, score, rank FROM hybrid)"""
+
+
+@query(
+    "crag_retrieval",
+    f"""WITH {TWICE}, {PROFILE}, {CRAG}, graded AS (SELECT query_id // 2 AS query_id, confidence FROM crag WHERE query_id % 2 = 0),
+    marked AS (SELECT t.*, confidence FROM told t JOIN graded USING (query_id)),
+    best AS (SELECT query_id, chunk_id, max(score) AS score FROM marked WHERE confidence = 'incorrect' GROUP BY query_id, chunk_id),
+    merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM best) WHERE rank <= {V.TOP_K})
+    SELECT query_id, chunk_id, score, rank FROM marked WHERE NOT again AND (confidence = 'correct' OR (confidence = 'ambiguous' AND (score >= 0.3 OR rank = 1)))
+    UNION ALL SELECT query_id, chunk_id, score, rank FROM merged WHERE score >= 0.3 OR rank = 1""",
+)
 def crag_retrieval(t):
-    return corrective.corrective_search(t.questions(), t.chunks(), corrective.keyword_rewrite)
+    out = corrective.corrective_search(t.questions(), t.chunks(), corrective.keyword_rewrite)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("agent_retrieval")
+@query(
+    "agent_retrieval",
+    f"""WITH {TWICE}, pending AS (SELECT query_id FROM asked WHERE query_id NOT IN (SELECT query_id FROM told WHERE NOT again AND score >= 0.85 GROUP BY query_id HAVING count(*) >= 2)),
+    joined AS (SELECT query_id, chunk_id, score FROM told WHERE NOT again
+      UNION ALL SELECT a.query_id, a.chunk_id, a.score FROM told a WHERE again AND query_id IN (SELECT query_id FROM pending) AND NOT EXISTS (SELECT 1 FROM told b WHERE NOT b.again AND b.query_id = a.query_id AND b.chunk_id = a.chunk_id)),
+    merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM joined) WHERE rank <= {V.TOP_K})
+    SELECT query_id, chunk_id, score, rank, CASE WHEN query_id IN (SELECT query_id FROM pending) THEN 2 ELSE 1 END AS rounds FROM merged""",
+)
 def agent_retrieval(t):
-    return corrective.agent_search(t.questions(), t.chunks(), [corrective.keyword_rewrite])
+    out = corrective.agent_search(t.questions(), t.chunks(), [corrective.keyword_rewrite])
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query("full_answer")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.catalog import parts as P
 from quarrylight.catalog.registry import query
+from quarrylight.catalog.retrieval import HYBRID
 from quarrylight.operators import block_index, dense, vector_index
 from quarrylight.plans import hybrid
 from quarrylight.session import own_folder, settle
@@ -41,6 +42,13 @@ def indexed_terms(t):
     return index.terms.select("term", "df", n.alias("n_docs"), F.round(avgdl, 6).alias("avgdl"))
 
 
+@query("indexed_hybrid", f"{BASE}, {HYBRID} SELECT query_id, chunk_id, score, rank FROM hybrid")
+def indexed_hybrid(t):
+    """Hybrid retrieval whose sparse half searches the stored postings."""
+    best = hybrid.hybrid_search(t.questions(), t.chunks(), index=stored_postings(t))
+    return best.select("query_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
 ASKED = """asked AS (SELECT vec_id AS query_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id % 100 = 0),
 sims AS (SELECT query_id, vec_id AS chunk_id, round(list_cosine_similarity(q, list_transform(embedding, lambda x: x::DOUBLE)), 8) AS score FROM asked, embeddings)"""
 

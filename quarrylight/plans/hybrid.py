@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import vocab as V
+from quarrylight.operators import block_index
+from quarrylight.operators.block_index import BlockIndex
 from quarrylight.operators.dense import hashed_group_best, hashed_search
 from quarrylight.operators.fusion import (
     inject,
@@ -20,9 +22,9 @@ from quarrylight.operators.sparse import bm25_search, build_index
 from quarrylight.session import settle
 
 
-def first_stage(queries: DataFrame, chunks: DataFrame, k: int = V.FIRST_STAGE_K) -> DataFrame:
-    """Sparse and dense top ``k``, fused."""
-    sparse = bm25_search(queries, build_index(chunks), k)
+def first_stage(queries: DataFrame, chunks: DataFrame, k: int = V.FIRST_STAGE_K, index: BlockIndex | None = None) -> DataFrame:
+    """Sparse and dense top ``k``, fused. With a stored index of the chunks the sparse half reads no texts."""
+    sparse = bm25_search(queries, build_index(chunks), k) if index is None else block_index.search(queries, index, k)
     return reciprocal_rank_fusion(sparse, hashed_search(queries, chunks, k))
 
 
@@ -34,9 +36,10 @@ def hybrid_search(
     first_k: int = V.FIRST_STAGE_K,
     threshold: float = 0.0,
     injections: DataFrame | None = None,
+    index: BlockIndex | None = None,
 ) -> DataFrame:
     """``query_id, chunk_id, score, rank, injected`` after fusion, injection and reranking."""
-    candidates = top_k(first_stage(queries, chunks, first_k), pool).select("query_id", "chunk_id", "rank")
+    candidates = top_k(first_stage(queries, chunks, first_k, index), pool).select("query_id", "chunk_id", "rank")
     if injections is None:
         candidates = candidates.select("query_id", "chunk_id", F.lit(False).alias("injected"))
     else:
