@@ -8,7 +8,7 @@ from quarrylight.catalog import parts as P
 from quarrylight.catalog.answers import CONFUSION, DETECT, flagged
 from quarrylight.catalog.registry import query
 from quarrylight.catalog.retrieval import HYBRID
-from quarrylight.catalog.routing import CRAG, PROFILE, landmarks, sparse20
+from quarrylight.catalog.routing import CRAG, PROFILE, SPARSE20, TOP_TEXT, landmarks, sparse20
 from quarrylight.functions import vocab as V
 from quarrylight.operators import evaluate as E
 from quarrylight.operators import faithfulness as Q
@@ -65,9 +65,28 @@ def text_gates(t):
     return answering.text_gates(sparse20(t), t.questions(), t.chunks())
 
 
-@query("focal_gate")
+# Whole questions behind openings that ask for a detail: none, a specific thing, what something is used for.
+FOCAL_LEADS = ["", "What specific ", "It is used to train "]
+FOCAL_QUESTIONS = f"questions AS (SELECT item_id AS query_id, {P.led_sql('item_id', FOCAL_LEADS, 'text')} AS question FROM benchmark)"
+
+
+def focal_count(pattern: str, least: int) -> str:
+    focal = f"regexp_extract(q, {P.lit(pattern)}, 1)"
+    times = [f"len(list_filter({tokens}, lambda w: w = {focal}))" for tokens in ("a", "b")]
+    return f"(length({focal}) > 3 AND greatest({', '.join(times)}) < {least})"
+
+
+@query(
+    "focal_gate",
+    rf"""WITH {P.CHUNKS}, {FOCAL_QUESTIONS}, {SPARSE20}, {TOP_TEXT.format(n=5)},
+    f AS (SELECT query_id, lower(question) AS q, lower(coalesce(passage, '')) AS p FROM questions LEFT JOIN passages USING (query_id)),
+    t AS (SELECT query_id, q, regexp_extract_all(p, '[\p{{L}}\p{{N}}_-]+') AS a, regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+') AS b FROM f)
+    SELECT query_id, {" OR ".join(focal_count(pattern, least) for pattern, least in routing.FOCAL_SHAPES)} AS deflect FROM t""",
+)
 def focal_gate(t):
-    return routing.focal_gate(sparse20(t), t.questions(), t.chunks().select("chunk_id", "text"))
+    asked = t.questions().select("query_id", P.led(F.col("query_id"), FOCAL_LEADS, F.col("question")).alias("question"))
+    hits = sparse.bm25_search(asked, sparse.build_index(t.chunks()), 20)
+    return routing.focal_gate(hits, asked, t.chunks().select("chunk_id", "text"))
 
 
 RESPONSES = """sources AS (SELECT conv_id AS source_id, arg_max(text, turn) AS context FROM conversations WHERE role = 'user' GROUP BY conv_id),

@@ -281,12 +281,29 @@ def chunk_recursive(t):
     return C.chunk_sections(sections(t), "page_id", "title")
 
 
-@query("chunk_documents")
+PAIR = r"'([A-Za-z][A-Za-z\s\-]{2,50})\s*\(([A-Z][A-Z0-9]{1,10})\)'"
+SPELLED = "p.f || ' (' || p.a || ')'"
+
+
+@query(
+    "chunk_documents",
+    rf"""WITH RECURSIVE sections AS (SELECT doc_id, source, text || ' Retrieval ' || upper(lang) || ' Index (R' || upper(lang) || ') and R' || upper(lang) || ' again.' AS text FROM documents),
+    plain AS (SELECT doc_id AS id, text AS body FROM sections WHERE length({P.strip('text')}) >= {V.MIN_SECTION_CHARS}),
+    {HIDDEN}, {chunks_sql('texts', V.CHUNK_CHARS, V.CHUNK_OVERLAP_CHARS, V.CHUNK_SEPARATORS)},
+    named AS (SELECT doc_id, list_filter(list_transform(list_zip(regexp_extract_all(text, {PAIR}, 2), regexp_extract_all(text, {PAIR}, 1)), lambda z: {{'a': z[1], 'f': {P.strip('z[2]')}}}),
+      lambda p: len(regexp_extract_all(p.f, '(?:^|\s)[A-Za-z]')) >= 2) AS every FROM sections),
+    pairs AS (SELECT doc_id, list_transform(list_filter(every, lambda p, i: len(list_filter(every[i + 1:], lambda q: q.a = p.a)) = 0), lambda p: {{'a': p.a, 'f': p.f, 't': ''}}) AS pairs FROM named),
+    restored AS (SELECT chunks.id AS doc_id, ord, {WHOLE} AS raw FROM chunks JOIN found ON found.id = chunks.id),
+    spelled AS (SELECT doc_id, ord, list_reduce(list_prepend({{'a': '', 'f': '', 't': raw}}, pairs), lambda s, p: {{'a': '', 'f': '',
+      't': CASE WHEN contains(s.t, {SPELLED}) THEN s.t ELSE regexp_replace(s.t, '\b' || p.a || '\b', {SPELLED}) END}}).t AS chunk FROM restored JOIN pairs USING (doc_id)),
+    tidied AS (SELECT doc_id, ord, source AS title, {TIDY} AS body FROM spelled JOIN sections USING (doc_id))
+    SELECT format('{{}}_full_text_{{:03d}}', doc_id, ord) AS chunk_id, doc_id, 'full_text' AS section, ord::INT AS ord, title || ' — Full Text' || chr(10) || chr(10) || body AS text FROM tidied WHERE length(body) >= {V.MIN_CHUNK_CHARS}""",
+)
 def chunk_documents(t):
-    rows = t.documents.select(
-        "doc_id", F.lit("full_text").alias("section"), F.col("source").alias("title"), "text", T.acronym_pairs(F.col("text")).alias("acronyms")
-    )
-    return C.chunk_sections(rows, "doc_id", "title", acronyms="acronyms")
+    """Every document whole, with an acronym behind it that is spelled out where it comes up again."""
+    tail = F.concat(F.lit(" Retrieval "), F.upper("lang"), F.lit(" Index (R"), F.upper("lang"), F.lit(") and R"), F.upper("lang"), F.lit(" again."))
+    texts = t.documents.select("doc_id", F.lit("full_text").alias("section"), F.col("source").alias("title"), F.concat("text", tail).alias("text"))
+    return C.chunk_sections(texts.withColumn("acronyms", T.acronym_pairs(F.col("text"))), "doc_id", "title", acronyms="acronyms")
 
 
 @query("chunk_semantic")

@@ -207,6 +207,15 @@ def occurrences(words: Column, word: Column) -> Column:
     return F.size(F.filter(words, lambda w: w == word))
 
 
+# The three question shapes that ask for a detail, and how often it must occur.
+FOCAL_WORD = r"([\p{L}\p{N}_][\p{L}\p{N}_-]+)"
+FOCAL_SHAPES = [
+    (r"what\s+(?:specific|particular|exact)\s+([\p{L}\p{N}_]+)", 3),
+    (r"\buse(?:s|d)?\s+to\s+[\p{L}\p{N}_]+\s+" + FOCAL_WORD, 2),
+    (r"\bused\s+to\s+[\p{L}\p{N}_]+\s+" + FOCAL_WORD, 2),
+]
+
+
 def focal_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
     """Deflect when the detail a question asks for is hardly in its five best passages."""
     top5 = results.where(F.col("rank") <= 5).select("query_id", "chunk_id", "rank")
@@ -216,16 +225,9 @@ def focal_gate(results: DataFrame, queries: DataFrame, texts: DataFrame) -> Data
         .agg(F.lower(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda p: p["text"]), " ")).alias("passage"))
     )
     lowered = F.lower(F.col("question"))
-    word = r"([\p{L}\p{N}_][\p{L}\p{N}_-]+)"
-    # The three question shapes and how often the detail must occur.
-    shapes = [
-        (r"what\s+(?:specific|particular|exact)\s+([\p{L}\p{N}_]+)", 3),
-        (r"\buse(?:s|d)?\s+to\s+[\p{L}\p{N}_]+\s+" + word, 2),
-        (r"\bused\s+to\s+[\p{L}\p{N}_]+\s+" + word, 2),
-    ]
     rows = queries.join(passages, "query_id", "left").withColumn("passage", F.coalesce("passage", F.lit("")))
     verdict = None
-    for pattern, least in shapes:
+    for pattern, least in FOCAL_SHAPES:
         focal = F.regexp_extract(lowered, pattern, 1)
         tokens = F.regexp_extract_all("passage", F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0))
         plain = F.regexp_extract_all("passage", F.lit(T.WORD), F.lit(0))
