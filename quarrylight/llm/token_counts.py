@@ -76,12 +76,13 @@ def lengths(texts: list[str], path: str, batch_bytes: int, part_chars: int) -> l
 
     for i, text in enumerate(texts):
         for part in safe_parts(text, part_chars) if splits and len(text) > part_chars else [text]:
-            if held + len(part) > batch_bytes and parts:
+            size = len(part) if part.isascii() else len(part.encode())
+            if held + size > batch_bytes and parts:
                 flush()
                 held = 0
             parts.append(part)
             owners.append(i)
-            held += len(part)
+            held += size
     if parts:
         flush()
     return counts

@@ -90,6 +90,19 @@ def test_token_counts(hard, empty):
     assert sorted(r["n_tokens"] for r in got) == sorted(len(other.encode(t or "", add_special_tokens=False).ids) for _, t in ROWS)
 
 
+def test_token_batches_are_balanced_by_bytes(monkeypatch):
+    seen = []
+
+    def encode(parts):
+        seen.append(sum(len(p.encode()) for p in parts))
+        return [len(p) for p in parts]
+
+    monkeypatch.setattr(token_counts, "encoder", lambda path: (encode, True))
+    texts = ["字" * 30] * 20 + ["a" * 90] * 20
+    assert token_counts.lengths(texts, "any", 200, 1000) == [30] * 20 + [90] * 20
+    assert max(seen) <= 200 and len(seen) == 20
+
+
 def edited_plain(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, -(rows[i][0] or 0)))
     return order
