@@ -53,12 +53,24 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def own_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for what this driver stores; it goes when the driver's JVM ends."""
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove what lies at a path when the driver's JVM ends; there must be something by now."""
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder in the shared one for what this driver stores; it goes when the driver's JVM ends."""
+    path = new_path(spark, name)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(place)
+    gone_at_exit(spark, path)
     return path
 
 
@@ -70,11 +82,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     driver's JVM ends.
     """
     spark = df.sparkSession
-    path = own_folder(spark, name)
+    path = new_path(spark, name)
     before = spark.conf.get(CLEAN_SHUFFLES, "false")
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEAN_SHUFFLES, before)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
