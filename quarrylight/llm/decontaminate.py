@@ -1,4 +1,4 @@
-"""Benchmark decontamination: windows of item size around shingles that tell an item, exact bounds, exact check."""
+"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact check; exact bounds for what lies beyond the radius."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,71 @@ def plain_words(text: str) -> list[str]:
     return [w for w in map(plain, text.split()) if w]
 
 
+def radius_for(length: int, size: int, least: float, spare: float = 2.33) -> int:
+    """Bits in which the fingerprints of an item and of a window just similar enough may differ.
+
+    A run of new words at an edge keeps the similarity at ``least`` with the most words changed. If a
+    share c of the words changes, a bit flips with probability acos(1 - c) / pi; ``spare`` standard
+    deviations above the mean hold all but about one in a hundred of such windows, and windows that
+    are more alike with fewer exceptions.
+    """
+    changed = max(length - size + 1, 1) * (1 - least) / (1 + least) / length
+    flips = math.acos(1 - changed) / math.pi
+    return min(64, math.ceil(64 * flips + spare * math.sqrt(64 * flips * (1 - flips))))
+
+
+def simhash(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit SimHash of the windows of ``length`` words at the sorted ``starts``: per bit the majority over a window's words."""
+    out = np.empty(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        low = starts[done]
+        upto = int(np.searchsorted(starts, low + (1 << 13)))
+        some = starts[done:upto] - low
+        words = np.ascontiguousarray(hashes[low : low + some[-1] + length])
+        bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1)
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
+        out[done:upto] = np.packbits(2 * (sums[some + length] - sums[some]) > length, axis=1).view(np.uint64).ravel()
+        done = upto
+    return out
+
+
+class HammingIndex:
+    """All stored fingerprints within ``radius``: of ``radius + 1`` blocks of bits one must agree exactly."""
+
+    def __init__(self, stored: np.ndarray, radius: int):
+        self.stored, self.radius, self.tables = stored, radius, []
+        edges = np.linspace(0, 64, min(radius + 1, 64) + 1).astype(int)
+        for low, high in zip(edges, edges[1:], strict=False):
+            shift, mask = np.uint64(low), np.uint64((1 << int(high - low)) - 1)
+            values = (stored >> shift) & mask
+            order = np.argsort(values, kind="stable")
+            self.tables.append((shift, mask, values[order], order))
+
+    def within(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (place in ``asked``, place in the store) of distance at most ``radius``, nearest first."""
+        pairs = []
+        for shift, mask, values, order in self.tables:
+            value = (asked >> shift) & mask
+            low, high = np.searchsorted(values, value), np.searchsorted(values, value, side="right")
+            counts = high - low
+            left = np.repeat(np.arange(len(asked)), counts)
+            right = order[np.arange(len(left)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)]
+            near = np.bitwise_count(asked[left] ^ self.stored[right]) <= self.radius
+            pairs.append(left[near] * len(self.stored) + right[near])
+        both = np.unique(np.concatenate(pairs))
+        left, right = both // len(self.stored), both % len(self.stored)
+        order = np.argsort(np.bitwise_count(asked[left] ^ self.stored[right]), kind="stable")
+        return left[order], right[order]
+
+
 class Items:
     """Benchmark items by length in words, ready to be met by windows of the same length."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int | None = None, shared: dict[str, int] | None = None):
         """``shared`` tells how many different items of the whole benchmark hold a shingle, if more than one; these rows alone tell it where it is left out.
 
-        ``radius`` is what callers gave the fingerprint search that stood here; nothing depends on it.
+        ``radius`` is that of the fingerprint search; left out, it follows from each item's length and ``least``.
         """
         self.size, self.least = size, least
         worded = [(i, plain_words(text)) for i, text in rows]
@@ -57,7 +116,7 @@ class Items:
         grouped = defaultdict(list)
         for i, words in worded:
             grouped[len(words)].append((i, words))
-        self.by_length = []
+        self.by_length, self.indexes = [], []
         self.telling: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)  # shingle to places in by_length and in its items
         for length, group in sorted(grouped.items()):
             known = np.zeros(len(self.code) + 1 if length < size else 0, bool)  # words of items below the shingle size
@@ -72,6 +131,9 @@ class Items:
                 for shingle in self.tells(sets[-1], totals[-1]):
                     self.telling[shingle].append((len(self.by_length), n))
             self.by_length.append((length, needs, known, [i for i, _ in group], sets, totals))
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for _, words in group for w in words], np.uint64)
+            reach = radius_for(length, size, least) if radius is None else radius
+            self.indexes.append(HammingIndex(simhash(hashes, np.arange(len(group)) * length, length), reach))
 
     def shingles(self, codes: list[int]) -> set[tuple[int, ...]]:
         size = min(self.size, len(codes))
@@ -128,8 +190,11 @@ class Items:
         common = shingles & item
         return self.weight(common) / (total + (len(shingles) - len(common)) * total / len(item))
 
-    def matches(self, texts: pa.Array) -> list[dict[int, tuple[float, int]]]:
-        """For each text the items found in it, with the best similarity and the word it starts at."""
+    def matches(self, texts: pa.Array, beyond: bool = True) -> list[dict[int, tuple[float, int]]]:
+        """For each text the items found in it, with the best similarity and the word it starts at.
+
+        Without ``beyond`` only what the fingerprints tell, to see how much of all that is.
+        """
         found: list[dict[int, tuple[float, int]]] = [{} for _ in range(len(texts))]
         split = pc.utf8_split_whitespace(texts.cast(pa.large_string()))
         coded = pc.list_flatten(split).dictionary_encode()
@@ -170,24 +235,53 @@ class Items:
             for start, shingle in zip(some.tolist(), map(tuple, codes[some[:, None] + np.arange(self.size)].tolist()), strict=True):
                 for item in self.telling.get(shingle, ()):
                     met[owner[start], *item].append(start)
-        for (text, group, n), starts in met.items():
+        if not met:
+            return found
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in kinds], np.uint64)[place]
+        grouped = defaultdict(list)
+        for (text, group, _), starts in met.items():
+            grouped[text, group] += starts
+        for (text, group), starts in grouped.items():
+            length, needs, _, ids, sets, _ = self.by_length[group]
+            begin, end = int(begins[text]), int(ends[text])
+            width = min(length, end - begin)
+            starts = self.around(sums, np.array(starts), begin, end, width, min(needs))
+            for start, n in self.alike(hashes, starts, width, self.indexes[group]):
+                best = found[text].get(ids[n], (0.0, 0))[0]
+                if best < 1.0 and (like := self.similarity(words[start : start + width].tolist(), sets[n])) >= self.least - 1e-9 and like > best:
+                    found[text][ids[n]] = (like, start - begin)
+        for (text, group, n), starts in met.items() if beyond else ():
             length, needs, _, ids, sets, totals = self.by_length[group]
             begin, end = int(begins[text]), int(ends[text])
-            # A text with fewer words is one window as a whole.
-            best = self.nearest(words, held, sums, np.array(starts), begin, end, min(length, end - begin), needs[n], sets[n], totals[n])
-            if best and best[0] > found[text].get(ids[n], (0.0, 0))[0]:
-                found[text][ids[n]] = best
+            told = found[text].get(ids[n], (0.0, 0))
+            if told[0] < 1.0:
+                # A text with fewer words is one window as a whole.
+                best = self.nearest(words, held, sums, np.array(starts), begin, end, min(length, end - begin), needs[n], sets[n], totals[n])
+                if best and best[0] > told[0]:
+                    found[text][ids[n]] = best
         return found
 
-    def nearest(self, words, held, sums, met, begin, end, length, need, item, total) -> tuple[float, int] | None:
-        """The window around the starts ``met`` of a text's telling shingles that is most similar to the item, if any is similar enough."""
+    def around(self, sums, met, begin, end, length, need) -> np.ndarray:
+        """Starts of the windows that hold a shingle of ``met`` and enough shingles that items could have (the last one may have been told as a repeat)."""
         room = length - self.size + 1
         covered = np.zeros(end - begin + 1, np.int32)
         np.add.at(covered, np.maximum(met - room + 1, begin) - begin, 1)
         np.add.at(covered, np.minimum(met, end - length) - begin + 1, -1)
         starts = begin + np.flatnonzero(np.cumsum(covered) > 0)
-        # Enough shingles that items could have (the last start may have been told as a repeat), then enough weight of this item's.
-        starts = starts[sums[starts + room] - sums[starts] >= need - self.size]
+        return starts[sums[starts + room] - sums[starts] >= need - self.size]
+
+    def alike(self, hashes, starts, length, index: HammingIndex) -> Iterator[tuple[int, int]]:
+        """Windows and items of one length whose fingerprints are within the radius, nearest first in each part; pairs at a time are bounded."""
+        part = max(1, min(4096, (1 << 22) // len(index.stored)))
+        for n in range(0, len(starts), part):
+            some = starts[n : n + part]
+            left, right = index.within(simhash(hashes, some, length))
+            yield from zip(some[left].tolist(), right.tolist(), strict=True)
+
+    def nearest(self, words, held, sums, met, begin, end, length, need, item, total) -> tuple[float, int] | None:
+        """The window around the starts ``met`` of a text's telling shingles that is most similar to the item, if any is similar enough."""
+        room = length - self.size + 1
+        starts = self.around(sums, met, begin, end, length, need)
         if not len(starts):
             return None
         low, high = starts[0], starts[-1] + room
@@ -256,10 +350,13 @@ def find_items(
 
     Every window of as many words as an item is met with the items of that length, and a document with
     fewer words than an item is met with it as one window. A similar window
-    holds at least one of the shingles that tell an item, so only windows around these are looked at;
-    those that hold too few shingles of items, or too little weight of the item's, to reach the
-    similarity are set aside (exact bounds), and the weighted Jaccard similarity of word shingles
-    decides about all others: ``least`` or more. Nothing similar enough is lost. A shingle
+    holds at least one of the shingles that tell an item, so only windows around these are looked at,
+    and those that hold too few shingles of items to reach the similarity are set aside (exact
+    bounds). All others get a SimHash of their words; multi-index blocks give every item whose
+    fingerprint is within a radius that follows from length and similarity (``radius_for``), and the
+    weighted Jaccard similarity of word shingles decides: ``least`` or more. Items that a document's
+    fingerprints did not tell as they are, are compared with the windows beyond the radius as well, by weight of
+    shingles (exact bounds), so nothing similar enough is lost. A shingle
     weighs 1 over the number of different items (by their words) in the whole benchmark that hold it,
     one the item does not have as much as the item's own on average. Words
     are compared in lower case without punctuation around them. Items are the stated query set, met

@@ -248,6 +248,56 @@ def test_decontamination_finds_items_edited_at_an_edge():
         assert best >= 0.8 - 1e-9 and found[k][0] == pytest.approx(best)
 
 
+def test_fingerprint_search_is_complete_within_its_radius():
+    import random
+
+    import numpy as np
+
+    draw = random.Random(3)
+    hashes = np.array([draw.getrandbits(64) for _ in range(400)], np.uint64)
+    starts = np.array([0, 1, 7, 8, 300, 371], np.int64)
+    got = decontaminate.simhash(hashes, starts, 29)
+    for start, print_ in zip(starts.tolist(), got.tolist(), strict=True):
+        ones = np.unpackbits(hashes[start : start + 29].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        assert int(np.packbits(ones > 14.5).view(np.uint64)[0]) == print_
+    stored = [draw.getrandbits(64) for _ in range(50)]
+    asked = [s ^ sum(1 << b for b in draw.sample(range(64), flips)) for s in stored for flips in (0, 1, 9, 10, 11, 12)]
+    for radius in (0, 5, 11, 17, 64):
+        left, right = decontaminate.HammingIndex(np.array(stored, np.uint64), radius).within(np.array(asked, np.uint64))
+        want = {(n, m) for n, a in enumerate(asked) for m, b in enumerate(stored) if (a ^ b).bit_count() <= radius}
+        assert len(left) == len(want) and set(zip(left.tolist(), right.tolist(), strict=True)) == want
+
+
+def test_fingerprints_alone_find_nearly_all_and_the_bounds_find_the_rest():
+    """Random edits down to a similarity of 0.8, by a plain count of weighted shingles: recall of the fingerprints 0.99, of the operator 1."""
+    import itertools
+    import random
+
+    import pyarrow as pa
+
+    draw, fresh = random.Random(11), map("new{}".format, itertools.count())
+    items = [(k, P.prose(5000 + k, draw.choice([20, 35, 50, 80, 150]), 10**6)) for k in range(400)]
+    held = Counter(s for _, text in items for s in {tuple(text.split()[n : n + 5]) for n in range(len(text.split()) - 4)})
+    docs, wanted = [], []
+    for k, text in items:
+        words, own = text.split(), {tuple(text.split()[n : n + 5]) for n in range(len(text.split()) - 4)}
+        total = sum(1 / held[s] for s in own)
+        for _ in range(3):
+            copy = list(words)
+            edge = draw.random() < 0.5
+            for _ in range(draw.randint(0, max(1, len(words) // 10))):
+                at = len(copy) - 1 - sum(a != b for a, b in zip(copy, words, strict=True)) if edge else draw.randrange(len(copy))
+                copy[at] = next(fresh)
+            got = {tuple(copy[n : n + 5]) for n in range(len(copy) - 4)}
+            if sum(1 / held[s] for s in got & own) / (total + len(got - own) * total / len(own)) >= 0.8:
+                docs.append(" ".join([next(fresh) for _ in range(40)] + copy + [next(fresh) for _ in range(40)]))
+                wanted.append(k)
+    index, texts = decontaminate.Items(items, 5, 0.8), pa.array(docs)
+    alone = [k in found for k, found in zip(wanted, index.matches(texts, beyond=False), strict=True)]
+    assert len(alone) > 500 and sum(alone) / len(alone) >= 0.99
+    assert all(k in found for k, found in zip(wanted, index.matches(texts), strict=True))
+
+
 def test_decontamination_of_documents_shorter_than_an_item():
     """Whole documents that are items cut at either end, down to the similarity and not below it."""
     import pyarrow as pa
