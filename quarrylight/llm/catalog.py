@@ -86,7 +86,8 @@ LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 spread AS (
-  SELECT trim(line) AS line, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+  SELECT trim(line) AS line, min(doc_id) AS first FROM lines WHERE trim(line) <> '' GROUP BY 1
+  HAVING count(DISTINCT site) >= (SELECT least(10, greatest(2, ceil(count(DISTINCT coalesce(source, '')) * 2 / 5))) FROM documents)),
 placed AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,23 @@ def line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, line_hash))
 
 
+def site_name(site: Column) -> Column:
+    return F.concat(F.lit("="), F.coalesce(site.cast("string"), F.lit("")))  # sketches skip empty strings
+
+
+def fewest_sites(sites: int) -> int:
+    """Sites a line must be on to be boilerplate: two in five of those there are, at least 2 and at most 10.
+
+    A corpus of few sites has boilerplate too, and one that is mostly a single site shows a passage on
+    fewer of them; where there are many sites, ten that share a line are enough.
+    """
+    return min(10, max(2, math.ceil(sites * 2 / 5)))
+
+
 def site_lines(df: DataFrame, id_col: str, text_col: str, site: Column) -> DataFrame:
     return df.select(
         F.col(id_col).cast("long").alias("_id"),
-        F.concat(F.lit("="), F.coalesce(site.cast("string"), F.lit(""))).alias("_site"),  # sketches skip empty strings
+        site_name(site).alias("_site"),
         F.explode(line_hashes(whole_text(text_col))).alias("_line"),
     )
 
@@ -60,17 +75,21 @@ def removed_lines(lines: DataFrame, spread: DataFrame) -> DataFrame:
     return gone.groupBy("_id").agg(F.collect_set("_line").alias("_gone"))  # at most a document's own lines
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site: Column | None = None, min_sites: int = 10) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site: Column | None = None, min_sites: int | None = None) -> DataFrame:
     """Every row with its text rid of cross-site boilerplate: ``_row, n_lines, n_removed, kept_text``.
 
     ``_row`` is the row as it came, whatever its columns are called. A line is what stands between
     line feeds, compared without the spaces around it; blank lines stay. ``site`` defaults to the
-    column ``source``; a null site is a site. A line on ``min_sites`` sites or more stays in the
+    column ``source``; a null site is a site. A line on ``min_sites`` sites or more (left out:
+    what ``fewest_sites`` says of the exact number of sites of all rows) stays in the
     document with the smallest key only (in each of its rows, if the key repeats) and goes
     everywhere else; if no document with it has a key, it stays. Null and empty texts keep one
     blank line; texts that lose all lines become empty and stay as rows.
     """
-    lines = site_lines(df, id_col, text_col, F.col("source") if site is None else site)
+    site = F.col("source") if site is None else site
+    if min_sites is None:
+        min_sites = fewest_sites(df.select(site_name(site).alias("_site")).distinct().count())
+    lines = site_lines(df, id_col, text_col, site)
     # Stored first: joined as a table, whatever lines are frequent can be split off or broadcast against.
     gone = removed_lines(lines, settle(boilerplate(lines, min_sites), "boilerplate"))
     rows = df.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_key"), F.split(whole_text(text_col), "\n", -1).alias("_lines"))

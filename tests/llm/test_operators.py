@@ -335,6 +335,18 @@ def test_line_dedup(spark, hard, empty):
     assert merged == whole
 
 
+def test_line_threshold_follows_the_sites(spark):
+    """Few sites, and one site with most of the rows: a passage on two in five of the sites goes, one on fewer stays."""
+    assert [line_dedup.fewest_sites(n) for n in (0, 1, 5, 6, 20, 25, 26, 10_000)] == [2, 2, 2, 3, 8, 10, 10, 10]
+    few = [(1, "shared\nown 1", "a"), (2, "shared\nown 2", "b"), (3, "own 3\nown 3", "c"), (4, "own 3", "c"), (5, None, "d"), (6, "", None)]
+    frame = spark.createDataFrame(few, "doc_id long, text string, source string")
+    assert {r["_row"]["doc_id"]: r["kept_text"] for r in line_dedup.dedup_lines(frame).collect()} == {1: "shared\nown 1", 2: "own 2", 3: "own 3\nown 3", 4: "own 3", 5: "", 6: ""}
+    hot = [(n, "passage", "hot") for n in range(40)] + [(100 + n, "passage", f"s{n}") for n in range(7)] + [(200 + n, "rare", f"s{n}") for n in range(7)] + [(300 + n, f"own {n}", f"s{n % 19}") for n in range(19)]
+    frame = spark.createDataFrame(hot, "doc_id long, text string, source string")
+    gone = {r["_row"]["doc_id"] for r in line_dedup.dedup_lines(frame).collect() if r["n_removed"]}
+    assert gone == set(range(1, 40)) | set(range(100, 107))
+
+
 def test_line_spread_near_the_threshold(spark):
     rows = [(n, f"line{m}", f"site{n}") for m in range(6, 15) for n in range(m)] + [(1000 + n, "wide", f"s{n}") for n in range(500)]
     frame = spark.createDataFrame([(i, t, s) for i, (_, t, s) in enumerate(rows)], "doc_id long, text string, source string")
