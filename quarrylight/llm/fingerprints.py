@@ -152,9 +152,11 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of every text and of the text whose last third gives way to the next document's start.
 
     The next document is the one with the next smaller key (after the last: the first). Returns
-    ``_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    ``_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, and
+    estimates from the same sketches: ``shingles`` (distinct ones of the text), ``contained_edited`` and
+    ``contained_next`` (share of them in the edited text, in the next document; 1 for a text without any).
     """
-    names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shingles", "contained_edited", "contained_next"]
 
     def rows_of(ids: list, texts: list[str]) -> pa.RecordBatch:
         """Rows for all texts but the last, which is only the next of the one before."""
@@ -173,6 +175,9 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                 pa.array(map(written, new), pa.string()),
                 pa.array([resemblance(a, b, k) for a, b in zip(own, new, strict=False)], pa.float64()),
                 pa.array([resemblance(a, b, k) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
+                pa.array([distinct_count(a, k) for a in own[:-1]], pa.float64()),
+                pa.array([containment(a, b, k) for a, b in zip(own, new, strict=False)], pa.float64()),
+                pa.array([containment(a, b, k) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
             ],
             names=names,
         )
@@ -189,5 +194,5 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield rows_of(ids, texts)
                 ids, texts = ids[-1:], texts[-1:]
 
-    schema = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shingles double, contained_edited double, contained_next double"
     return with_next(df, id_col, text_col).select("_id", "_text", "_last").mapInArrow(run, schema)

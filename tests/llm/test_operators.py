@@ -124,6 +124,10 @@ def test_fingerprints(spark, hard, empty):
             want = P.jaccard(P.shingles(text), P.shingles(other))
             exact = len(P.shingles(text) | P.shingles(other)) <= 64
             assert abs(r[name] - want) < (1e-9 if exact else 0.25)
+            own, held = P.shingles(text), P.shingles(other)
+            share = len(own & held) / len(own) if own else 1.0
+            assert abs(r[name.replace("near", "contained")] - share) < (1e-9 if exact else 0.4)
+            assert r["shingles"] == pytest.approx(len(own), rel=1e-9 if len(own) < 64 else 0.5)
     again = fingerprints.edited_fingerprints(hard).collect()
     assert len(again) == len(ROWS)
     assert fingerprints.edited_fingerprints(empty).count() == 0
