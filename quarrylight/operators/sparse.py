@@ -2,9 +2,9 @@
 
 A search works on the query vocabulary only. Texts are tokenised where they lie, tokens outside
 the vocabulary are dropped by a broadcast semi join before anything is shuffled, and the rest is
-hash-partitioned by chunk once. Counting terms, joining the query weights (broadcast while their
-size bound holds) and summing per ``(query, chunk)`` all run inside that partitioning, and each
-task passes on at most ``k`` rows per query. A very frequent term never gathers in one task.
+hash-partitioned by chunk once, to so many tasks that each has a bounded number of pairs to sum.
+Counting terms, joining the query weights (broadcast while their size bound holds) and summing per
+``(query, chunk)`` all run inside that partitioning, and each task passes on at most ``k`` rows per query. A very frequent term never gathers in one task.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from quarrylight.operators.sizing import broadcast_if_small
 INDEX_VERSION = 1
 # A question byte yields at most half a token; a token row takes well under 64 bytes.
 TERM_GROWTH = 32
+#: Pairs of question and chunk that a task may have to add up at once.
+TASK_PAIRS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -32,13 +34,15 @@ class SparseIndex:
     tokens: DataFrame | None = None
     stored: DataFrame | None = None
 
-    def postings(self, vocabulary: DataFrame | None = None) -> DataFrame:
-        """``chunk_id, dl, term, tf``, restricted to ``vocabulary(term)`` when given."""
+    def postings(self, vocabulary: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+        """``chunk_id, dl, term, tf``, restricted to ``vocabulary(term)`` when given, and dealt to ``tasks`` by chunk."""
+        deal = lambda rows: rows.repartition(*([tasks] if tasks else []), "chunk_id")
         if self.stored is not None:
-            return self.stored if vocabulary is None else self.stored.join(vocabulary, "term", "left_semi")
+            rows = self.stored if vocabulary is None else self.stored.join(vocabulary, "term", "left_semi")
+            return deal(rows) if tasks else rows
         terms = self.tokens.select("chunk_id", "dl", T.unnest(F.col("tokens")).alias("term"))
         if vocabulary is not None:
-            terms = terms.join(vocabulary, "term", "left_semi").repartition("chunk_id")
+            terms = deal(terms.join(vocabulary, "term", "left_semi"))
         return terms.where("term IS NOT NULL").groupBy("chunk_id", "dl", "term").agg(
             F.least(F.count("*"), F.lit(V.BM25_TF_CAP)).alias("tf")
         )
@@ -47,12 +51,12 @@ class SparseIndex:
         """One row: number of chunks (empty ones too) and their mean length."""
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-    def terms(self, vocabulary: DataFrame | None = None) -> DataFrame:
+    def terms(self, vocabulary: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
         """``term, df, idf``."""
         n = self.corpus().select("n_docs").scalar()
         df = F.col("df")
         return (
-            self.postings(vocabulary)
+            self.postings(vocabulary, tasks)
             .groupBy("term")
             .agg(F.count("*").alias("df"))
             .withColumn("idf", F.log((n - df + 0.5) / (df + 0.5) + 1.0))
@@ -105,21 +109,32 @@ def vocabulary_of(queries: DataFrame) -> DataFrame:
     return broadcast_if_small(query_terms(queries).select("term").distinct(), queries, TERM_GROWTH)
 
 
-def term_weights(queries: DataFrame, index: SparseIndex) -> DataFrame:
-    return query_terms(queries).join(index.terms(vocabulary_of(queries)), "term").select(
+def scoring_tasks(queries: DataFrame, index: SparseIndex) -> int:
+    """Tasks the chunks are dealt to, so that the pairs of each stay bounded however many chunks there are.
+
+    Frequent terms make a pair of nearly every question and chunk, and adaptive execution, which sees only
+    the bytes of the postings, would leave all of them to a few tasks.
+    """
+    pairs = index.lengths.count() * queries.count()
+    return max(queries.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_PAIRS))
+
+
+def term_weights(queries: DataFrame, index: SparseIndex, tasks: int | None = None) -> DataFrame:
+    return query_terms(queries).join(index.terms(vocabulary_of(queries), tasks), "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")
     )
 
 
 def bm25_scores(queries: DataFrame, index: SparseIndex) -> DataFrame:
     """``query_id, chunk_id, score`` for every chunk that shares a term with the query."""
-    weights = broadcast_if_small(term_weights(queries, index), queries, TERM_GROWTH)
+    tasks = scoring_tasks(queries, index)
+    weights = broadcast_if_small(term_weights(queries, index, tasks), queries, TERM_GROWTH)
     avgdl = index.corpus().select("avgdl").scalar()
     tf, dl = F.col("tf"), F.col("dl")
     norm = tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * dl / avgdl)
     gain = F.col("weight") * tf * (V.BM25_K1 + 1) / norm
     return (
-        index.postings(vocabulary_of(queries))
+        index.postings(vocabulary_of(queries), tasks)
         .join(weights, "term")
         .groupBy("query_id", "chunk_id")
         .agg(F.round(F.sum(gain), 8).alias("score"))

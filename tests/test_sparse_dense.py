@@ -66,6 +66,17 @@ def test_saved_index_gives_the_same_hits_and_is_checked(spark, tmp_path):
     assert sparse.load_index(spark, str(tmp_path / "none"), expected_docs=5) is None
 
 
+def test_scoring_tasks_follow_the_pairs_and_not_the_bytes(spark, monkeypatch, tmp_path):
+    queries, chunks = frames(spark, [(i, "masked attention in deep learning") for i in range(30)])
+    index = sparse.build_index(chunks)
+    sparse.save_index(index, str(tmp_path / "ix"))
+    want = sorted(map(tuple, sparse.bm25_search(queries, index, 5).collect()))
+    monkeypatch.setattr(sparse, "TASK_PAIRS", 4)
+    for each in (index, sparse.load_index(spark, str(tmp_path / "ix"), expected_docs=5)):
+        assert sparse.bm25_scores(queries, each).rdd.getNumPartitions() == 38
+        assert sorted(map(tuple, sparse.bm25_search(queries, each, 5).collect())) == want and want
+
+
 def test_ties_go_to_the_smaller_id(spark):
     chunks = spark.createDataFrame([(9, "alpha beta"), (3, "alpha beta"), (5, "alpha beta")], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, "alpha")], "query_id long, question string")
