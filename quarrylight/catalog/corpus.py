@@ -332,8 +332,8 @@ def repaired_texts(t):
 )
 def acronym_definitions(t):
     text = F.concat("text", F.lit(" Retrieval "), F.upper("lang"), F.lit(" Index (R"), F.upper("lang"), F.lit(")"))
-    rows = t.documents.select("doc_id", F.explode(T.acronym_pairs(text)).alias("p"))
-    return rows.select("doc_id", "p.acronym", "p.full_form")
+    rows = t.documents.select("doc_id", T.unnest(T.acronym_pairs(text)).alias("p"))
+    return rows.where("p IS NOT NULL").select("doc_id", "p.acronym", "p.full_form")
 
 
 @query("tidy_whitespace", f"""SELECT doc_id, md5({P.strip("array_to_string(list_transform(string_split(regexp_replace(text, chr(10) || '{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda l: " + P.strip('l') + "), chr(10))")}) AS digest FROM documents""")

@@ -70,6 +70,14 @@ def test_acronyms(spark):
     assert [(p.acronym, p.full_form) for p in got] == [("MIPS", "Maximum Inner Product Search")]
 
 
+def test_acronym_runs_and_one_look_at_the_text(spark):
+    long = "word " * 5000
+    text = f"{long}Index\n Search-tree  \t(IST2), {long}. Alpha Beta (AB)(CD) a Gamma Delta (AB) e\u0301Word Run (TOOLONGACRONYM) x y (XY"
+    got = [(p.acronym, p.full_form) for p in one(spark, text, T.acronym_pairs)]
+    assert got == [("IST2", "rd word word word word word word Index\n Search-tree"), ("AB", "a Gamma Delta")]
+    assert str(T.acronym_pairs(F.col("whole_text"))).count("whole_text") == 1
+
+
 def test_unsupported_claims(spark):
     text = "The model has 12 layers in its architecture. It has 12 layers [Source 1] in the architecture. Short 5 loss."
     assert one(spark, text, T.unsupported_claims) == 1
