@@ -133,7 +133,9 @@ def chunk_sections(
     parts = recursive_chunks(texts, "text", size, overlap).withColumnRenamed("chunk", "raw")
     if acronyms:
         parts = parts.withColumn("raw", expand_acronyms(F.col("raw"), F.col("acronyms")))
-    cleaned = parts.withColumn("body", T.tidy_whitespace(F.col("raw"))).where(F.length("body") >= V.MIN_CHUNK_CHARS)
+    # As an array, so that the filter on its length does not compute the body a second time.
+    long_enough = F.filter(F.array(T.tidy_whitespace(F.col("raw"))), lambda b: F.length(b) >= V.MIN_CHUNK_CHARS)
+    cleaned = parts.withColumn("body", T.unnest(long_enough)).where("body IS NOT NULL")
     label = F.initcap(F.replace(F.col("section"), F.lit("_"), F.lit(" ")))
     return cleaned.select(
         F.format_string("%s_%s_%03d", F.col(key).cast("string"), "section", "ord").alias("chunk_id"),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vocab as V
 from quarrylight.functions.splitting import EQUATIONS
+from quarrylight.functions.text import once
 
 EQUATION = "(?s)" + "|".join(EQUATIONS)
 #: A piece may still be cut, may be packed with its neighbours, or is a chunk of its own.
@@ -105,7 +106,7 @@ def packed_rows(rows: DataFrame, size: int, overlap: int) -> DataFrame:
     joined = F.transform(cuts, lambda c: stripped(F.array_join(F.transform(F.slice("p", c["a"] + 1, c["b"] - c["a"]), lambda w: w["body"]), "")))
     chunks = F.when(F.col("kind") == DONE, F.col("p.body")).otherwise(F.filter(joined, lambda c: F.length(c) > 0))
     head = F.first("_head", ignorenulls=True).over(Window.partitionBy("_row").orderBy("_at"))
-    return runs.select("_row", "_at", head.alias("_head"), chunks.alias("c")).select("_row", "_at", "_head", F.posexplode("c").alias("_nth", "chunk"))
+    return runs.select("_row", "_at", head.alias("_head"), chunks.alias("c")).select("_row", "_at", "_head", F.posexplode_outer("c").alias("_nth", "chunk")).where("chunk IS NOT NULL")
 
 
 def hidden(text: Column, equations: Column) -> Column:
@@ -139,8 +140,8 @@ def recursive_chunks(
     body = F.coalesce(F.col(text), F.lit(""))
     found = F.regexp_extract_all(body, F.lit(EQUATION), 0) if whole_equations else F.array().cast("array<string>")
     rows = texts.select(F.monotonically_increasing_id().alias("_row"), F.struct(found.alias("_eqs"), *rest).alias("_head"), body.alias("_body"))
-    cut = atoms(hidden(F.col("_body"), F.col("_head._eqs")) if whole_equations else F.col("_body"), size, overlap, separators)
-    pieces = rows.select("_row", "_head", F.posexplode(cut).alias("_at", "a"))
+    cut = atoms(once(F.col("_head._eqs"), lambda eqs: hidden(F.col("_body"), eqs)) if whole_equations else F.col("_body"), size, overlap, separators)
+    pieces = rows.select("_row", "_head", F.posexplode_outer(cut).alias("_at", "a")).where("_at IS NOT NULL")
     chunks = packed_rows(pieces.select("_row", "_at", F.when(F.col("_at") == 0, F.col("_head")).alias("_head"), "a.body", "a.parent", "a.kind"), size, overlap)
     order = F.row_number().over(Window.partitionBy("_row").orderBy("_at", "_nth")) - 1
     return chunks.select(*(F.col(f"_head.{c}") for c in rest), order.alias("ord"), restored(F.col("chunk"), F.col("_head._eqs")).alias("chunk"))

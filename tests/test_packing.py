@@ -49,3 +49,9 @@ def test_repeated_rows_and_defaults(spark):
     assert chunked(spark, [text, text], V.CHUNK_CHARS, V.CHUNK_OVERLAP_CHARS) == [S.split_around_equations(text, V.CHUNK_CHARS, V.CHUNK_OVERLAP_CHARS)] * 2
     with pytest.raises(ValueError):
         packing.recursive_chunks(spark.createDataFrame([("x",)], "text string"), "text", 10, 10)
+
+
+def test_cuts_are_computed_once(spark):
+    texts = spark.createDataFrame([(1, "a b. c d")], "id long, body string")
+    plan = packing.recursive_chunks(texts, "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("flatten(") and "size(flatten(" not in plan
