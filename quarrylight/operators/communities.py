@@ -1,10 +1,13 @@
 """Weighted modularity communities (Louvain) as joins and aggregations.
 
-Every round is one join of the adjacency with the current labels, one aggregation per node, and
-one choice of the best neighbouring community; no task ever holds the graph. Half of the nodes
-(by a hash that changes each round) may move at a time, which keeps neighbours from swapping
-labels forever. A level ends when a round of both halves moves nothing or stops raising
-modularity; communities then become the nodes of the next level.
+No task ever holds the graph. The links of a level are kept partitioned by node, so a pass over
+them shuffles labels only: every link looks up the community at its far end, and sums per node and
+community, the choice of the best one and modularity follow where the links lie. Where the labels are
+too many to broadcast, they meet the links by key and only sums per node and community are shuffled.
+
+Half of the nodes (by a hash that changes each round) may move at a time, which keeps neighbours
+from swapping labels forever. A level ends when a round of both halves moves nothing or stops
+raising modularity; communities then become the nodes of the next level.
 """
 
 from __future__ import annotations
@@ -15,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.operators.ranking import ranked
+from quarrylight.operators.sizing import BROADCAST_BYTES
 from quarrylight.session import settle
 
 # Resolution and the smallest community that counts.
 RESOLUTION, MIN_SIZE = 1.0, 3
+#: Links that a task of a pass reads, and bytes a node takes in a broadcast.
+TASK_LINKS, NODE_BYTES = 1 << 20, 32
 
 
 def modularity(links: DataFrame, labels: DataFrame, total: float, resolution: float) -> float:
@@ -32,76 +38,96 @@ def modularity(links: DataFrame, labels: DataFrame, total: float, resolution: fl
     return float(value or 0.0)
 
 
-def _one_level(links: DataFrame, total: float, resolution: float) -> tuple[DataFrame, float]:
+def _kept(links: DataFrame, nodes: DataFrame, near: str, far: str) -> DataFrame:
+    """The links between nodes, and each node once as its own neighbour of no weight, partitioned by ``a``."""
+    rows = links.where("a <> b").join(nodes.withColumnRenamed("node", near), near).select("a", "b", "w", "degree")
+    own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w"), "degree")
+    cores, n = links.sparkSession.sparkContext.defaultParallelism, links.count()
+    kept = rows.unionByName(own).repartition(max(min(cores, 1 + n // (TASK_LINKS >> 4)), -(-n // TASK_LINKS)), "a").persist()
+    kept.count()
+    return kept
+
+
+def _one_level(links: DataFrame, total: float, resolution: float, most: int = BROADCAST_BYTES) -> tuple[DataFrame, float]:
+    """``node, label`` of the best round and its modularity."""
     nodes = settle(links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("degree")), "nodes")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    best, best_q = labels, modularity(links, labels, total, resolution)
-    for r in count():
-        changed = 0
-        for half in (0, 1):
-            mine = nodes.join(labels, "node")
-            volume = mine.groupBy("label").agg(F.sum("degree").alias("volume"))
-            to = (
-                links.where(F.col("a") != F.col("b"))
-                .join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b")
-                .groupBy(F.col("a").alias("node"), "other")
-                .agg(F.sum("w").alias("k_in"))
-            )
-            stay = mine.select("node", F.col("label").alias("other"), F.lit(0.0).alias("k_in"))
-            options = to.unionByName(stay).groupBy("node", "other").agg(F.sum("k_in").alias("k_in"))
-            own = F.col("other") == F.col("label")
-            rest = F.col("volume") - F.when(own, F.col("degree")).otherwise(0.0)
-            gain = F.round(F.col("k_in") - resolution * F.col("degree") * rest / total, 9)
-            choice = (
-                options.join(mine, "node")
-                .join(volume.withColumnRenamed("label", "other"), "other")
-                .groupBy("node", "label")
-                .agg(F.max(F.struct(gain.alias("gain"), own.alias("own"), F.col("other"))).alias("c"))
-            )
-            turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half
-            moved = settle(
-                choice.select(
-                    "node",
-                    F.when(turn, F.col("c.other")).otherwise(F.col("label")).alias("label"),
-                    (turn & (F.col("c.other") != F.col("label"))).alias("changed"),
-                ),
-                "labels",
-            )
-            changed += moved.where("changed").count()
-            labels = moved.select("node", "label")
-        if changed == 0:
-            break
-        q = modularity(links, labels, total, resolution)
-        if q <= best_q + 1e-9:
-            break
-        best, best_q = labels, q
-    return best, best_q
+    inner = float(links.where("a = b").agg(F.sum("w")).first()[0] or 0.0)
+    small = nodes.count() * NODE_BYTES <= most
+    near, far = ("a", "b") if small else ("b", "a")
+    kept = _kept(links, nodes, near, far)
+    # The first labels need no pass: every node is a community.
+    labels = nodes.select("node", F.col("node").alias("label"), "degree", F.lit(False).alias("moved"))
+    best, best_q = labels, None
+    try:
+        for r in count():
+            for half in (0, 1):
+                volume = labels.groupBy("label").agg(F.sum("degree").alias("volume"))
+                at = labels.join(volume, "label").select(F.col("node").alias(far), F.col("label").alias("other"), "volume")
+                turn = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == half
+                # The first half reads all nodes, as their sums give the modularity that the round starts from.
+                reads = kept if half == 0 else kept.where(F.pmod(F.xxhash64(near, F.lit(r)), F.lit(2)) == half)
+                options = (
+                    reads.join(F.broadcast(at) if small else at, far)
+                    .groupBy(F.col(near).alias("node"), "other")
+                    .agg(F.sum("w").alias("k_in"), F.max("volume").alias("volume"), F.max("degree").alias("degree"), F.max(F.col(near) == F.col(far)).alias("own"))
+                )
+                rest = F.col("volume") - F.when(F.col("own"), F.col("degree")).otherwise(0.0)
+                gain = F.round(F.col("k_in") - resolution * F.col("degree") * rest / total, 9)
+                choice = options.groupBy("node").agg(
+                    F.max("degree").alias("degree"),
+                    F.max(F.struct(gain.alias("gain"), "own", "other")).alias("c"),
+                    F.max(F.when(F.col("own"), F.struct("other", "k_in", "volume"))).alias("mine"),
+                )
+                moves = turn & (F.col("c.other") != F.col("mine.other"))
+                step = choice.select("node", F.when(turn, F.col("c.other")).otherwise(F.col("mine.other")).alias("label"), "degree", moves.alias("moved"), "mine.k_in", "mine.volume")
+                if half:
+                    step = step.drop("k_in", "volume").unionByName(labels.where(~turn).select("node", "label", "degree", "moved"))
+                    labels = settle(step, "labels")
+                    continue
+                step = settle(step, "labels")
+                inside, squares = F.sum("k_in").alias("inside"), F.sum(F.col("degree") * F.col("volume")).alias("squares")
+                sums = step.agg(inside, squares).crossJoin(labels.agg(F.count_if("moved").alias("moved"))).first()
+                q = (sums["inside"] + inner) / total - resolution * sums["squares"] / total / total
+                if best_q is not None and (sums["moved"] == 0 or q <= best_q + 1e-9):
+                    return best.select("node", "label"), best_q
+                best, best_q = labels, q
+                labels = step.select("node", "label", "degree", "moved")
+    finally:
+        kept.unpersist()
+
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """``node, id`` with a different number for every name, the same on every run, and the seed that gives them."""
+    names = settle(pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct(), "names")
+    for seed in count():
+        found = names.select("node", F.xxhash64(F.lit(seed), "node").alias("id"))
+        if not found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+            return found, seed
 
 
 def louvain(pairs: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
-    """``node, community`` for ``pairs(u, v, weight)``; a community is named by a member.
+    """``node, community`` for ``pairs(u, v, weight)``; a community is named by its first member.
 
     Rounds and levels go on until nothing moves or modularity stops rising.
     """
-    w = F.col("weight").cast("double")
-    links = settle(
-        pairs.select(F.col("u").alias("a"), F.col("v").alias("b"), w.alias("w")).unionByName(
-            pairs.select(F.col("v").alias("a"), F.col("u").alias("b"), w.alias("w"))
-        ),
-        "links",
-    )
+    pairs = settle(pairs.select("u", "v", F.col("weight").cast("double").alias("w")), "pairs")
+    names, seed = _numbered(pairs)
+    u, v = (F.xxhash64(F.lit(seed), c) for c in ("u", "v"))
+    links = pairs.select(u.alias("a"), v.alias("b"), "w").unionByName(pairs.select(v.alias("a"), u.alias("b"), "w"))
     total = float(links.agg(F.sum("w")).first()[0] or 0.0)
-    members = links.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     if total == 0:
-        return members
-    before = None
+        return names.select("node", F.col("node").alias("community"))
+    members, before = None, None
     while True:
         labels, q = _one_level(links, total, resolution)
         if before is not None and q <= before + 1e-9:
             break
         before = q
-        step = labels.select(F.col("node").alias("community"), "label")
-        members = settle(members.join(step, "community").select("node", F.col("label").alias("community")), "members")
+        if members is None:
+            members = names.join(labels.select(F.col("node").alias("id"), "label"), "id").select("node", F.col("label").alias("community"))
+        else:
+            members = members.join(labels.select(F.col("node").alias("community"), "label"), "community").select("node", F.col("label").alias("community"))
+        members = settle(members, "members")
         links = settle(
             links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
             .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
@@ -109,7 +135,8 @@ def louvain(pairs: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
             .agg(F.sum("w").alias("w")),
             "links",
         )
-    return members
+    first = members.groupBy("community").agg(F.min("node").alias("first"))
+    return members.join(first, "community").select("node", F.col("first").alias("community"))
 
 
 def community_table(members: DataFrame, min_size: int = MIN_SIZE) -> DataFrame:

@@ -178,6 +178,26 @@ def test_communities_of_two_clusters(spark):
     assert len({members[n] for n in "abcd"}) == 1 and len({members[n] for n in "wxyz"}) == 1 and members["a"] != members["w"]
 
 
+def ring_of_clusters(spark):
+    """Six cliques of five, each linked to the next."""
+    inside = [(f"{c}{i}", f"{c}{j}", 1) for c in "abcdef" for i in range(5) for j in range(i + 1, 5)]
+    across = [(f"{c}0", f"{d}1", 1) for c, d in zip("abcdef", "bcdefa", strict=True)]
+    return spark.createDataFrame([*inside, *across], "u string, v string, weight long")
+
+
+def test_communities_are_named_by_their_first_member(spark):
+    members = {r.node: r.community for r in communities.louvain(ring_of_clusters(spark)).collect()}
+    assert {n: f"{n[0]}0" for n in members} == members and len(members) == 30
+
+
+def test_communities_without_broadcast(spark):
+    pairs = ring_of_clusters(spark)
+    links = pairs.selectExpr("xxhash64(u) a", "xxhash64(v) b", "double(weight) w").unionByName(pairs.selectExpr("xxhash64(v) a", "xxhash64(u) b", "double(weight) w"))
+    (labels, q), (met, met_q) = (communities._one_level(links, 132.0, 1.0, most) for most in (1 << 20, 0))
+    assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, met.collect())) and abs(q - met_q) < 1e-9
+    assert abs(communities.modularity(links, labels, 132.0, 1.0) - q) < 1e-9
+
+
 def test_sections_and_upsert(spark):
     papers = spark.createDataFrame(
         [(1, "intro text\n# 1. Method\nfirst\n## Results\nrows\n##### deep\n# Method\nsecond\n")], "doc_id long, text string"
