@@ -37,27 +37,70 @@ def hashed_words(rows: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "nth", "bucket", (F.col("n") / norm).alias("value"))
 
 
+def hashed_vector(sentence: Column) -> Column:
+    """The vector of ``hashed_words`` as a map from bucket to value, without rows for words."""
+    words = F.regexp_extract_all(F.lower(sentence), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    told = F.array_sort(F.transform(words, lambda w: (F.crc32(w) % 256).cast("int")))
+    # In sorted order a bucket's count is the way from its first place to the next bucket's.
+    firsts = lambda h: F.transform(F.array_distinct(h), lambda d: F.struct(d.alias("bucket"), F.array_position(h, d).alias("at")))
+    sized = lambda f, end: F.transform(f, lambda x, i: F.struct(x["bucket"].alias("bucket"), (F.coalesce(F.get(f, i + 1)["at"], end) - x["at"]).cast("double").alias("n")))
+    counts = _once(told, lambda h: _once(firsts(h), lambda f: sized(f, F.size(h) + 1)))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda total, x: total + x["n"] * x["n"]))
+    unit = lambda c, length: F.transform(c, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / length).alias("value")))
+    return F.map_from_entries(_once(counts, lambda c: _once(norm(c), lambda length: unit(c, length))))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where lambdas name it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _with_similarity(rows: DataFrame, key: str, window: int) -> DataFrame:
+    """``rows(key, nth, vector, ...)`` with the ``similarity`` of the gap before each sentence; none before the first.
+
+    Only products of sentences fewer than ``2 * window`` apart count. Every sentence meets those behind it, and a gap
+    adds up the products of its sides, so nothing is copied to gaps and nothing leaves the text's partition.
+    """
+    order = Window.partitionBy(key).orderBy("nth")
+    reach = range(1, 2 * window)
+    near = rows.select("*", *[F.lead("vector", k).over(order).alias(f"_next{k}") for k in reach])
+    dot = lambda u, v: F.aggregate(F.map_entries(v), F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at(u, e["key"]), F.lit(0.0)))
+    dots = F.array(*[F.coalesce(dot(F.col("vector"), F.col(other)), F.lit(0.0)) for other in ("vector", *(f"_next{k}" for k in reach))])
+    told = near.withColumn("_dots", dots).drop("vector", *(f"_next{k}" for k in reach))
+    places = range(-window, window)
+    told = told.select("*", *[F.lag("_dots", -i).over(order).alias(f"_dots{i + window}") for i in places])
+    product = lambda i, j: F.coalesce(F.get(F.col(f"_dots{min(i, j) + window}"), F.lit(abs(i - j))), F.lit(0.0))
+    left, right = range(-window, 0), range(window)
+    total = lambda ones, others: sum((product(i, j) for i in ones for j in others), F.lit(0.0))
+    cosine = total(left, right) / F.nullif(F.sqrt(total(left, left) * total(right, right)), F.lit(0.0))
+    similarity = F.when(F.col("nth") > 0, F.round(F.coalesce(cosine, F.lit(0.0)), 12))
+    return told.withColumn("similarity", similarity).drop("_dots", *(f"_dots{i + window}" for i in places))
+
+
+def _vectored(rows: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``vectors(key, nth, bucket, value)`` say of each sentence as a map."""
+    summed = vectors.groupBy(key, "nth", "bucket").agg(F.sum("value").alias("value"))
+    maps = summed.groupBy(key, "nth").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("vector"))
+    return rows.join(maps, [key, "nth"], "left")
+
+
 def gap_similarity(vectors: DataFrame, rows: DataFrame, key: str, window: int = WINDOW) -> DataFrame:
     """``key, gap, similarity`` of up to ``window`` sentences before and behind each gap; gap n is before sentence n.
 
-    A sum has the direction of the mean, so each sentence adds its vector to the gaps it is near.
+    A sum has the direction of the mean, so the sides are sums of their sentences' vectors.
     """
-    near = vectors.select("*", F.explode(F.sequence(F.col("nth") - window + 1, F.col("nth") + window)).alias("gap"))
-    left = F.sum(F.when(F.col("gap") > F.col("nth"), F.col("value")).otherwise(0.0))
-    right = F.sum(F.when(F.col("gap") <= F.col("nth"), F.col("value")).otherwise(0.0))
-    sides = near.groupBy(key, "gap", "bucket").agg(left.alias("l"), right.alias("r"))
-    cosine = F.sum(F.col("l") * F.col("r")) / F.nullif(F.sqrt(F.sum(F.col("l") * F.col("l")) * F.sum(F.col("r") * F.col("r"))), F.lit(0.0))
-    found = sides.groupBy(key, "gap").agg(cosine.alias("similarity"))
-    gaps = rows.where("nth > 0").select(key, F.col("nth").alias("gap"))
-    return gaps.join(found, [key, "gap"], "left").select(key, "gap", F.round(F.coalesce("similarity", F.lit(0.0)), 12).alias("similarity"))
+    return _with_similarity(_vectored(rows, vectors, key), key, window).where("nth > 0").select(key, F.col("nth").alias("gap"), "similarity")
 
 
-def topic_gaps(similarity: DataFrame, key: str, spread: float = SPREAD) -> DataFrame:
-    """``key, gap`` where the similarity is ``spread`` deviations under the mean of the text."""
+def _drops(key: str, spread: float) -> Column:
     text = Window.partitionBy(key)
     mean, deviation = F.avg("similarity").over(text), F.stddev_pop("similarity").over(text)
-    drop = similarity.select(key, "gap", ((deviation >= FLAT) & (F.col("similarity") < mean - spread * deviation)).alias("cut"))
-    return drop.where("cut").select(key, "gap")
+    return (deviation >= FLAT) & (F.col("similarity") < mean - spread * deviation)
+
+
+def topic_gaps(similarity: DataFrame, key: str, spread: float = SPREAD) -> DataFrame:
+    """``key, gap`` where the similarity is ``spread`` deviations under the mean of the text."""
+    return similarity.select(key, "gap", _drops(key, spread).alias("cut")).where("cut").select(key, "gap")
 
 
 def packed(pieces: Column, low: int, high: int) -> Column:
@@ -102,10 +145,11 @@ def semantic_chunks(
     """
     if not 0 <= low < high or spread < 0:
         raise ValueError("need 0 <= low < high and spread >= 0")
-    rows = sentences(texts, key, text)
-    gaps = topic_gaps(gap_similarity(embed(rows, key), rows, key, window), key, spread).withColumn("cut", F.lit(1))
-    marked = rows.join(gaps.withColumnRenamed("gap", "nth"), [key, "nth"], "left")
-    piece = F.sum(F.coalesce("cut", F.lit(0))).over(Window.partitionBy(key).orderBy("nth"))
+    # Dealt out by text once; every step behind it groups by the text, so nothing is shuffled again.
+    rows = sentences(texts.repartition(key), key, text)
+    vectored = rows.withColumn("vector", hashed_vector(F.col("sentence"))) if embed is hashed_words else _vectored(rows, embed(rows, key), key)
+    marked = _with_similarity(vectored, key, window).withColumn("cut", F.coalesce(_drops(key, spread).cast("int"), F.lit(0)))
+    piece = F.sum("cut").over(Window.partitionBy(key).orderBy("nth"))
     pieces = marked.withColumn("piece", piece).groupBy(key, "piece").agg(F.array_join(in_order("nth", "sentence"), " ").alias("body"))
     whole = pieces.groupBy(key).agg(in_order("piece", "body").alias("pieces"))
     runs = whole.select(key, "pieces", F.explode(packed(F.col("pieces"), low, high)).alias("run"))

@@ -112,6 +112,16 @@ def test_semantic_split_at_a_topic_change(spark):
     assert [r["chunk"] for r in P.semantic_chunks(texts, "id", "text").collect()] == ["See Dr. Who. It ends!"]
 
 
+def test_semantic_chunks_are_dealt_out_once(spark):
+    topics = ["red apples fall down.", "red apples fall far.", "cold rivers run north.", "cold rivers run deep."]
+    texts = spark.createDataFrame([(n, " ".join(s for s in topics for _ in range(1 + n % 3))) for n in range(9)], "id long, text string")
+    found = P.semantic_chunks(texts, "id", "text", low=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and len({r["id"] for r in found.collect() if r["ord"] > 0}) > 0
+    by_rows = P.semantic_chunks(texts, "id", "text", embed=lambda rows, key: P.hashed_words(rows, key), low=10)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, by_rows.collect()))
+
+
 def test_pieces_are_packed_to_size(spark):
     pieces = ["a" * 50, "b" * 50, "c" * 10]
     runs = one(spark, pieces, lambda c: P.packed(c, 40, 200), "array<string>")
