@@ -15,6 +15,8 @@ from quarrylight.session import settle
 
 # Limits of the graph lookups.
 MAX_NEIGHBOURS, MAX_ENTITIES, MAX_NGRAM, MIN_ENTITY_CHARS = 50, 5, 4, 2
+#: Rows that a task of a walk may have to hold at once.
+TASK_ROWS = 1 << 18
 EDGE_KEY = ["s_key", "s_type", "predicate", "o_key", "o_type"]
 
 
@@ -198,7 +200,8 @@ def neighbours_n_hops(starts: DataFrame, edges: DataFrame, hops: int, limit: int
     is finished, and one that hasn't has few ways: ways are never enumerated around what is full. A node passes on
     its heaviest edges and those to its first neighbours by name, as many as ``limit`` rows can need after the edges
     already walked and those back to the start are set aside; only a level that fills its start is cut by that, and such
-    a level isn't walked on from. So a hub costs its bounded list, and the rows are exact.
+    a level isn't walked on from. So a hub costs its bounded list, and the rows are exact. Adaptive execution sees only the
+    few bytes of the ways before a step, so the tasks behind it are counted.
     """
     view = settle(typed_view(edges), "typed-view")
     at = ["node", "node_type"]
@@ -209,25 +212,47 @@ def neighbours_n_hops(starts: DataFrame, edges: DataFrame, hops: int, limit: int
     first = view.withColumn("nth", F.dense_rank().over(by_name)).where(F.col("nth") <= limit + hops + 1).drop("nth")
     steps = settle(heavy.unionByName(first).distinct().withColumnsRenamed({"node": "end", "node_type": "end_type"}), "steps")
     steps = steps.withColumn("step", F.struct("edge", "predicate", "weight")).select("end", "end_type", "neighbour", "neighbour_type", "step")
+    outs = settle(steps.groupBy("end", "end_type").agg(F.count("*").alias("n_out")), "outs")
     keys = starts.select("key").distinct()
     began = view.select(*at).distinct().join(keys.withColumnRenamed("key", "node"), "node", "left_semi")
     kind = steps.schema["step"].dataType.simpleString()
-    ways = began.select(F.col("node").alias("key"), F.col("node_type").alias("key_type"), F.col("node").alias("end"), F.col("node_type").alias("end_type"), F.array().cast(f"array<{kind}>").alias("way"))
-    order = [F.col("hops"), F.col("weight").desc(), F.col("neighbour"), F.col("neighbour_type"), F.col("predicate")]
-    found = None
+    ways = settle(began.select(F.col("node").alias("key"), F.col("node_type").alias("key_type"), F.col("node").alias("end"), F.col("node_type").alias("end_type"), F.array().cast(f"array<{kind}>").alias("way")), "ways")
+    order = [F.col("weight").desc(), F.col("neighbour"), F.col("neighbour_type"), F.col("predicate")]
+    found, told_rows = None, 0
     for n in range(1, hops + 1):
-        fresh = ~F.exists("way", lambda w: w["edge"] == F.col("step.edge"))
-        grown = ways.join(steps, ["end", "end_type"]).where(fresh)
-        ways = settle(grown.select("key", "key_type", F.col("neighbour").alias("end"), F.col("neighbour_type").alias("end_type"), F.concat("way", F.array("step")).alias("way")), "ways")
-        elsewhere = ways.where((F.col("end") != F.col("key")) | (F.col("end_type") != F.col("key_type")))
+        grown, tasks = _grown(ways, steps, outs, n)
+        grown = grown.repartition(tasks, "key").persist()
+        elsewhere = grown.where((F.col("end") != F.col("key")) | (F.col("end_type") != F.col("key_type")))
         told = elsewhere.select("key", F.col("end").alias("neighbour"), F.col("end_type").alias("neighbour_type"), F.explode("way").alias("w"))
-        told = told.select("key", "neighbour", "neighbour_type", "w.predicate", "w.weight", F.lit(n).alias("hops")).distinct()
-        found = settle((told if found is None else found.unionByName(told)).withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("place") <= limit).drop("place"), "found")
-        full = found.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
-        ways = ways.join(full, "key", "left_anti")
-        if n == hops or ways.isEmpty():
+        told = told.select("key", "neighbour", "neighbour_type", "w.predicate", "w.weight").distinct()
+        level = settle(ranked(told, "key", order, "place").where(F.col("place") <= limit).drop("place").withColumn("hops", F.lit(n)), "found")
+        told_rows += level.count()
+        found = level if found is None else found.unionByName(level)
+        if n < hops:
+            full = found.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= limit)
+            ways = settle(grown.join(full, "key", "left_anti"), "ways")
+        grown.unpersist()
+        if n < hops and ways.isEmpty():
             break
-    return ranked(found, "key", order, "place")
+    dealt = found.repartition(1 + told_rows // TASK_ROWS, "key")
+    return ranked(dealt, "key", [F.col("hops"), *order], "place").where(F.col("place") <= limit)
+
+
+def _grown(ways: DataFrame, steps: DataFrame, outs: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The ways a step longer, no edge twice, and the tasks that their ``n`` rows each are dealt to.
+
+    Many starts meet in a hub, so the ways that end there are dealt to as many copies of its steps as keep a task bounded.
+    """
+    at = ["end", "end_type"]
+    met = settle(ways.groupBy(*at).agg(F.count("*").alias("n_ways")).join(outs, at), "met")
+    tasks = 1 + n * int(met.agg(F.sum(F.col("n_ways") * F.col("n_out"))).first()[0] or 0) // TASK_ROWS
+    copies = met.select(*at, F.ceil(F.col("n_ways") * F.col("n_out") * n / TASK_ROWS).alias("copies"))
+    salted = ways.join(copies, at).withColumn("salt", F.pmod(F.xxhash64("key", "way"), F.col("copies"))).drop("copies")
+    copied = steps.join(copies, at).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    met_at = [*at, "salt"]
+    fresh = ~F.exists("way", lambda w: w["edge"] == F.col("step.edge"))
+    grown = salted.repartition(tasks, *met_at).join(copied.repartition(tasks, *met_at).hint("merge"), met_at).where(fresh)
+    return grown.select("key", "key_type", F.col("neighbour").alias("end"), F.col("neighbour_type").alias("end_type"), F.concat("way", F.array("step")).alias("way")), tasks
 
 
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylight.operators import graph
+from quarrylight.session import settle
 
 COLUMNS = "s_key string, s_type string, predicate string, o_key string, o_type string, weight long"
 
@@ -54,3 +56,20 @@ def test_ways_of_several_hops(spark, seed, nodes, count, hub, hops, limit):
 
 def test_no_edges_give_no_ways(spark):
     assert graph.neighbours_n_hops(spark.createDataFrame([("x",)], "key string"), spark.createDataFrame([], COLUMNS), 3).count() == 0
+
+
+def test_a_hub_of_many_starts_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 64)
+    names = [f"n{i}" for i in range(1, 41)]
+    edges = [(n, "T", "P0", "n0", "T", i + 1) for i, n in enumerate(names)]
+    starts = spark.createDataFrame([(n,) for n in names], "key string")
+    got = graph.neighbours_n_hops(starts, spark.createDataFrame(edges, COLUMNS), 2, 30).collect()
+    for start in names[::13]:
+        mine = sorted((r for r in got if r["key"] == start), key=lambda r: r["place"])
+        assert [(r["neighbour"], r["neighbour_type"], r["predicate"], r["weight"], r["hops"], r["place"]) for r in mine] == plain(edges, start, 2, 30)
+    ways = settle(starts.select("key", F.lit("T").alias("key_type"), F.lit("n0").alias("end"), F.lit("T").alias("end_type"), F.array().cast("array<struct<edge:string>>").alias("way")), "ways")
+    step = F.struct(F.col("key").alias("edge")).alias("step")
+    steps = settle(starts.select(F.lit("n0").alias("end"), F.lit("T").alias("end_type"), F.col("key").alias("neighbour"), F.lit("T").alias("neighbour_type"), step), "steps")
+    grown, tasks = graph._grown(ways, steps, steps.groupBy("end", "end_type").agg(F.count("*").alias("n_out")), 1)
+    held = [r["count"] for r in grown.groupBy(F.spark_partition_id()).count().collect()]
+    assert tasks == 26 and sum(held) == 1600 and max(held) < 400
