@@ -10,6 +10,7 @@ from quarrylight.functions import text as T
 from quarrylight.operators import communities as C
 from quarrylight.operators import graph as G
 from quarrylight.operators import routing
+from quarrylight.operators.sizing import broadcast_if_small
 from quarrylight.session import settle
 
 TRIPLES = """triples AS (
@@ -217,15 +218,18 @@ SHIPPED = """shipped AS (SELECT lower(s_name) AS s_key, lower(c_name) AS o_key,
 
 
 def shipped(t):
+    # Names come to orders and suppliers, so that sales, which are many, are shuffled by order and by names only.
+    buyers = t.customer.select("c_custkey", F.lower("c_name").alias("o_key"))
+    sellers = t.supplier.select("s_suppkey", F.lower("s_name").alias("s_key"))
+    bought = t.orders.select("o_orderkey", "o_custkey").join(broadcast_if_small(buyers), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_key")
     rows = (
         t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag")
-        .join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t.customer.select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(t.supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(broadcast_if_small(sellers), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
+    )
+    return rows.groupBy("s_key", "o_key").agg(F.count("*").alias("weight"), F.min("l_returnflag").alias("predicate")).withColumns(
+        {"s_type": F.lit("SUPPLIER"), "o_type": F.lit("CUSTOMER")}
     )
-    return rows.groupBy(F.lower("s_name").alias("s_key"), F.lower("c_name").alias("o_key")).agg(
-        F.count("*").alias("weight"), F.min("l_returnflag").alias("predicate")
-    ).withColumns({"s_type": F.lit("SUPPLIER"), "o_type": F.lit("CUSTOMER")})
 
 
 @query(

@@ -258,41 +258,56 @@ def _grown(ways: DataFrame, steps: DataFrame, outs: DataFrame, n: int) -> tuple[
 def shortest_paths(pairs: DataFrame, edges: DataFrame, max_hops: int = 4) -> DataFrame:
     """Undirected unweighted shortest path of every ``(source, target)`` pair: ``hops, path``.
 
-    Breadth-first search for all sources at once. A level keeps one row per source and entity with
-    its alphabetically first predecessor, is written out, and the search ends early when a level
-    is empty. Paths are read back through the predecessors.
+    Breadth-first search for all pairs at once, from both ends: a round takes the sources and the targets of all open
+    pairs a step further in one pass over the links, and a pair is done when its two sides meet. So a side goes
+    half of the way only, and what it sees follows the links around the ends and not the size of the graph.
+
+    Of equally short paths the one whose entities, read back from the target, come first stays. A side keeps one row per
+    end and entity with its first way there: a source's goes over the alphabetically first predecessor, a target's is the
+    first as a whole, so the first way of a target to a middle entity and the way of the source to it are the path.
     """
-    adjacent = settle(both_ways(edges).select(F.col("key").alias("node"), F.col("neighbour").alias("next")).distinct(), "adjacent")
-    level = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.lit(None).cast("string").alias("via"))
-    levels = [settle(level, "level")]
-    for _ in range(max_hops):
-        seen = levels[0]
-        for earlier in levels[1:]:
-            seen = seen.unionByName(earlier)
-        nxt = settle(
-            levels[-1].select("source", "node").join(adjacent, "node")
-            .groupBy("source", F.col("next").alias("found"))
-            .agg(F.min("node").alias("via"))
-            .withColumnRenamed("found", "node")
-            .join(seen.select("source", "node"), ["source", "node"], "left_anti")
-            .select("source", "node", "via"),
-            "level",
-        )
+    links = settle(edges.select(F.col("s_key").alias("node"), F.col("o_key").alias("next")).where("node <> next"), "links")
+    links = links.unionByName(links.select(F.col("next").alias("node"), F.col("node").alias("next")))
+    left = settle(pairs.select("source", "target").distinct(), "open")
+    ends = [left.select(F.lit(c == "source").alias("forward"), F.col(c).alias("origin"), F.col(c).alias("node"), F.array(c).alias("way")) for c in ("source", "target")]
+    level = settle(ends[0].unionByName(ends[1]).distinct(), "level")
+    before, found = level.limit(0), [settle(_meeting(left, level, level, 0), "found")]
+    for hops in range(1, max_hops + 1, 2):
+        left = settle(left.join(found[-1], ["source", "target"], "left_anti"), "open")
+        far = left.select(F.lit(True).alias("forward"), F.col("source").alias("origin"))
+        if hops < max_hops:
+            far = far.unionByName(left.select(F.lit(False).alias("forward"), F.col("target").alias("origin")))
+        nxt = settle(_stepped(level.join(far.distinct(), ["forward", "origin"], "left_semi"), links, before.unionByName(level)), "level")
         if nxt.isEmpty():
             break
-        levels.append(nxt)
-    answers = None
-    for hops, reached in enumerate(levels):
-        found = pairs.join(reached.select("source", F.col("node").alias("target"), "via"), ["source", "target"])
-        path = found.select("source", "target", "via", F.array("target").alias("path"))
-        for back in range(hops - 1, -1, -1):
-            step = levels[back].select("source", F.col("node").alias("via"), F.col("via").alias("before"))
-            path = path.join(step, ["source", "via"]).select(
-                "source", "target", F.col("before").alias("via"), F.concat(F.array("via"), "path").alias("path")
-            )
-        part = path.select("source", "target", F.lit(hops).alias("hops"), "path")
-        answers = part if answers is None else answers.unionByName(part)
-    return answers
+        found.append(settle(_meeting(left, nxt, level, hops), "found"))
+        if hops < max_hops:
+            left = settle(left.join(found[-1], ["source", "target"], "left_anti"), "open")
+            found.append(settle(_meeting(left, nxt, nxt, hops + 1), "found"))
+        before, level = level, nxt
+    answers = found[0]
+    for part in found[1:]:
+        answers = answers.unionByName(part)
+    return pairs.join(answers, ["source", "target"]).select("source", "target", "hops", "path")
+
+
+def _stepped(front: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+    """The entities a step behind a level, which no end has ``seen``, with the first way there."""
+    front = settle(front, "front")
+    steps = links.join(broadcast_if_small(front), "node")
+    order = F.when(F.col("forward"), F.array("node")).otherwise(F.col("way"))
+    first = steps.groupBy("forward", "origin", F.col("next").alias("found")).agg(F.min(F.struct(order.alias("order"), "way")).alias("first"))
+    fresh = first.withColumnRenamed("found", "node").join(seen.select("forward", "origin", "node"), ["forward", "origin", "node"], "left_anti")
+    return fresh.select("forward", "origin", "node", F.concat("first.way", F.array("node")).alias("way"))
+
+
+def _meeting(left: DataFrame, sources: DataFrame, targets: DataFrame, hops: int) -> DataFrame:
+    """The pairs whose levels share an entity: ``source, target, hops, path``."""
+    there = sources.where("forward").select(F.col("origin").alias("source"), "node", F.col("way").alias("there"))
+    back = targets.where("NOT forward").select(F.col("origin").alias("target"), "node", F.col("way").alias("back"))
+    met = left.join(there, "source").join(back, ["target", "node"]).groupBy("source", "target").agg(F.min(F.struct("back", "there")).alias("m"))
+    path = F.concat("m.there", F.reverse(F.slice("m.back", F.lit(1), F.size("m.back") - 1)))
+    return met.select("source", "target", F.lit(hops).alias("hops"), path.alias("path"))
 
 
 def entity_triples(names: DataFrame, edges: DataFrame, limit: int = MAX_NEIGHBOURS) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from quarrylight.operators import answers as A
@@ -148,6 +151,58 @@ def test_paths_and_neighbours(spark):
     assert two == {("attention", "USES", 2, 1), ("gpt", "USES", 2, 2), ("gpt", "USES", 1, 2)}
 
 
+def plain_path(links, source, target, most):
+    """Breadth-first search from the source, read back over the first predecessor by name."""
+    via, level = {source: None}, [source]
+    for _ in range(most):
+        step = {}
+        for node in level:
+            for there in sorted(links[node]):
+                if there not in via:
+                    step[there] = min(step.get(there, node), node)
+        via, level = via | step, sorted(step)
+    if target not in via:
+        return None
+    path = [target]
+    while via[path[-1]] is not None:
+        path.append(via[path[-1]])
+    return path[::-1]
+
+
+def test_paths_are_those_of_a_plain_search(spark):
+    draw = random.Random(7)
+    names = [f"n{i:02d}" for i in range(60)]
+    rows = {(draw.choice(names), draw.choice(names), p) for _ in range(75) for p in "xy"}
+    links = defaultdict(set)
+    for a, b, _ in rows:
+        links[a].add(b)
+        links[b].add(a)
+    edges = spark.createDataFrame([*((a, "T", p, b, "T", 1) for a, b, p in rows), (None, "T", "x", "n00", "T", 1)], "s_key string, s_type string, predicate string, o_key string, o_type string, weight long")
+    asked = [(draw.choice(names), draw.choice(names)) for _ in range(150)]
+    asked += [asked[0], ("n01", None), (None, "n01"), ("off", "off"), ("off", "n01")]
+    pairs = spark.createDataFrame(asked, "source string, target string")
+    for most in (0, 1, 3, 4, 5):
+        got = sorted((r.source, r.target, r.hops, r.path) for r in graph.shortest_paths(pairs, edges, most).collect())
+        plain = [(a, b, plain_path(links, a, b, most)) for a, b in asked if a and b]
+        assert got == sorted((a, b, len(p) - 1, p) for a, b, p in plain if p) and {len(p) for _, _, p in plain if p} == set(range(1, most + 2))
+
+
+def test_a_path_does_not_see_what_lies_around_its_middle(spark, monkeypatch):
+    rows = [("s", "a"), ("a", "b"), ("b", "c"), ("c", "t"), *(("b", f"leaf{i:03d}") for i in range(300))]
+    edges = spark.createDataFrame([(a, "T", "x", b, "T", 1) for a, b in rows], "s_key string, s_type string, predicate string, o_key string, o_type string, weight long")
+    pairs = spark.createDataFrame([("s", "t")], "source string, target string")
+    sizes = []
+
+    def counted(df, name, real=graph.settle):
+        out = real(df, name)
+        sizes.append(out.count() if name == "level" else 0)
+        return out
+
+    monkeypatch.setattr(graph, "settle", counted)
+    assert [tuple(r) for r in graph.shortest_paths(pairs, edges).collect()] == [("s", "t", 4, list("sabct"))]
+    assert 0 < max(sizes) < 10
+
+
 def test_entity_matching_prefers_longer_runs(spark):
     edges = edge_table(spark)
     asked = spark.createDataFrame([(1, "Does GPT, trained on Web Text, use attention?")], "query_id long, question string")
