@@ -217,21 +217,31 @@ SHIPPED = """shipped AS (SELECT lower(s_name) AS s_key, lower(c_name) AS o_key,
 )
 
 
-def shipped(t):
-    # Names come to orders and suppliers, so that sales, which are many, are shuffled by order and by names only.
+def sold(t):
+    """An edge of weight 1 for every sale."""
+    # Names come to orders and suppliers, so that sales, which are many, are shuffled by order only.
     buyers = t.customer.select("c_custkey", F.lower("c_name").alias("o_key"))
     sellers = t.supplier.select("s_suppkey", F.lower("s_name").alias("s_key"))
     bought = t.orders.select("o_orderkey", "o_custkey").join(broadcast_if_small(buyers), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_key")
     rows = (
-        t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag")
+        t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_returnflag").alias("predicate"))
         .join(broadcast_if_small(sellers), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
     )
-    return rows.groupBy("s_key", "o_key").agg(F.count("*").alias("weight"), F.min("l_returnflag").alias("predicate")).withColumns(
+    return rows.select("s_key", "o_key", F.lit(1).cast("bigint").alias("weight"), "predicate")
+
+
+def shipped(t):
+    return sold(t).groupBy("s_key", "o_key").agg(F.sum("weight").alias("weight"), F.min("predicate").alias("predicate")).withColumns(
         {"s_type": F.lit("SUPPLIER"), "o_type": F.lit("CUSTOMER")}
     )
 
 
+def shipped_pairs(t):
+    """The pairs of ``shipped`` without their direction: sales add up at once."""
+    return settle(G.undirected(sold(t)), "shipped-pairs")
+
+
 @query(
     "graph_shortest_path",
     f"""WITH RECURSIVE {SHIPPED}, adj AS (SELECT DISTINCT s_key AS a, o_key AS b FROM shipped UNION SELECT DISTINCT o_key, s_key FROM shipped),
@@ -383,10 +393,10 @@ def community_members_of_entity(t):
 
 @query("communities_louvain")
 def communities_louvain(t):
-    return C.louvain(G.undirected(shipped(t)))
+    return C.louvain(shipped_pairs(t))
 
 
 @query("community_summaries")
 def community_summaries(t):
-    pairs = G.undirected(shipped(t))
-    return C.describe(C.louvain(pairs), pairs)
+    pairs = shipped_pairs(t)
+    return C.describe(settle(C.louvain(pairs), "communities"), pairs)

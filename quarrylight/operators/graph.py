@@ -401,9 +401,10 @@ def expand_queries(queries: DataFrame, edges: DataFrame, most: int = 8) -> DataF
 def undirected(edges: DataFrame) -> DataFrame:
     """``u, v, weight, predicate`` per unordered pair; weights add up, the first predicate stays."""
     pairs = edges.select(F.least("s_key", "o_key").alias("u"), F.greatest("s_key", "o_key").alias("v"), "predicate", "weight")
-    return pairs.where(F.col("u") != F.col("v")).groupBy("u", "v").agg(
+    # The first of strings is told by sorting, and names often begin alike, so a number leads the keys.
+    return pairs.where(F.col("u") != F.col("v")).groupBy(F.xxhash64("u", "v").alias("pair"), "u", "v").agg(
         F.sum("weight").alias("weight"), F.min("predicate").alias("predicate")
-    )
+    ).drop("pair")
 
 
 def stats(edges: DataFrame) -> DataFrame:

@@ -253,6 +253,55 @@ def test_communities_without_broadcast(spark):
     assert abs(communities.modularity(links, labels, 132.0, 1.0) - q) < 1e-9
 
 
+def test_arrays_give_the_levels_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(communities, "BLOCK_LINKS", 7)
+    draw = random.Random(3)
+    ids = [draw.getrandbits(64) - (1 << 63) for _ in range(60)]
+    # Thirds of the nodes hang together, and the first node with all; its links go over several blocks.
+    rows = {(ids[0], x): 1.0 for x in ids[1:]} | {(draw.choice(ids[i::3]), draw.choice(ids[i::3])): float(draw.randint(1, 4)) for i in range(3) for _ in range(90)}
+    rows = {(min(a, b), max(a, b)): w for (a, b), w in rows.items()}
+    half = spark.createDataFrame([(a, b, w) for (a, b), w in rows.items()], "a long, b long, w double")
+    links = communities._both_ways(half)
+    total = links.groupBy().sum("w").first()[0]
+    for most in (1, 2):
+        (labels, q), (met, met_q) = (communities._one_level(communities._both_ways(half), total, 1.0, most) for most in (1 << 20, 0))
+        assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, met.collect())) and abs(q - met_q) < 1e-9
+        assert abs(communities.modularity(communities._both_ways(half), labels, total, 1.0) - q) < 1e-9
+        merged, other = (sorted(map(tuple, communities._merged(half, labels, most).collect())) for most in (1 << 20, 0))
+        assert merged == other and sum(w * (1 + (a != b)) for a, b, w in merged) == total
+        assert 1 < len({r.label for r in labels.collect()}) < len(ids)
+        half = spark.createDataFrame(merged, "a long, b long, w double")
+
+
+def test_rounds_of_a_level_write_no_tables(spark, monkeypatch):
+    written, levels = [], []
+    settle, one_level = communities.settle, communities._one_level
+    monkeypatch.setattr(communities, "settle", lambda df, name: written.append(name) or settle(df, name))
+    monkeypatch.setattr(communities, "_one_level", lambda *a, **k: levels.append(1) or one_level(*a, **k))
+    assert len({r.community for r in communities.louvain(ring_of_clusters(spark)).collect()}) == 6
+    assert written.count("labels") == len(levels) > 1
+
+
+def test_summaries_read_the_sales_once(spark, folder, monkeypatch):
+    from quarrylight.catalog import graph as catalog
+    from quarrylight.sources.tables import Tables
+
+    reads = []
+
+    class Counted(Tables):
+        def read(self, name):
+            reads.append(name)
+            return super().read(name)
+
+    monkeypatch.setattr(catalog.C, "louvain", lambda pairs: reads.append(catalog.C.is_plain(pairs)) or pairs.select(F.col("u").alias("node"), F.lit("all").alias("community")).distinct())
+    t = Counted(spark, folder)
+    pairs = catalog.shipped_pairs(t)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, graph.undirected(catalog.shipped(t)).collect()))
+    reads.clear()
+    catalog.C.louvain(catalog.shipped_pairs(t))
+    assert reads.count("lineitem") == 1 and reads[-1] is True
+
+
 def test_sections_and_upsert(spark):
     papers = spark.createDataFrame(
         [(1, "intro text\n# 1. Method\nfirst\n## Results\nrows\n##### deep\n# Method\nsecond\n")], "doc_id long, text string"
